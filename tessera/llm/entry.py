@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tessera.llm import chat, decontam, packing, simhash, token_counts
+from tessera.llm import chat, decontam, kneser_ney, packing, simhash, suffix_dedup, token_counts, topk, toxicity, urls
 
 BPE = "byte_bpe_50k.json"
 
@@ -26,6 +26,23 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE))
 
 
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.scored(_table(spark, sf_dir, "documents"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.verdicts(_table(spark, sf_dir, "pages"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantized(_table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % topk.EVERY == 0))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE))
 
@@ -34,6 +51,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "</s>[INST] ok [/INST]"
     extra = spark.sql(f"select -1L as conv_id, t as turn, r as role, '{own}' as text from values (0L, 'user'), (1L, 'assistant') as x(t, r)")
@@ -44,15 +65,21 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
+    "op3_kneser_ney": op3_kneser_ney,
     "op4_token_counts": op4_token_counts,
+    "op5_url_filter": op5_url_filter,
+    "op6_toxicity": op6_toxicity,
+    "op7_top_k": op7_top_k,
     "op8_simhash": op8_simhash,
     "op9_chat": op9_chat,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 _WORDS = "case when trim(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g')) = '' then [] else string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g')), ' ') end"
 _SHINGLES = "select distinct {0}, array_to_string(w[i:i + 4], ' ') as s from {1}, unnest(range(1, len(w) - 3)) as u(i)"
 
 LLM_ORACLE: dict[str, str] = {
+    "op7_top_k": "with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as q from embeddings where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0), s as (select a.vec_id as query_id, b.vec_id, list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i]))::bigint as score from v a join v b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id and len(a.q) = len(b.q)) select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s qualify rank <= 20",
     "op1_decontamination": f"with d as (select doc_id, {_WORDS} as w from documents), b as (select item_id, {_WORDS} as w from benchmark), ds as ({_SHINGLES.format('doc_id', 'd')}), bs as ({_SHINGLES.format('item_id', 'b')}), n as (select item_id, count(*) as n_shingles from bs group by item_id), x as (select doc_id, item_id, count(*) as n_shared from ds join bs on ds.s = bs.s group by doc_id, item_id) select doc_id, x.item_id, n_shared, n_shingles, n_shared::double / n_shingles as containment from x join n on x.item_id = n.item_id where n_shared >= n_shingles * 0.8 - 1e-9",
     "op9_chat": (
         "with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -1, x.t, x.r, '</s>[INST] ok [/INST]' from (values (0, 'user'), (1, 'assistant')) as x(t, r)),"
