@@ -48,7 +48,7 @@ RANGE_BITS = 8
 _POSITION = np.uint64((1 << 32) - 1)
 _TABLE = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64)) for k in range(5)]
-_MIX = np.uint64(0xD6E8FEB86659FD93)
+_MIX, _SPREAD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def pieces(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -80,7 +80,9 @@ def pieces(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarra
     at, text = at[starts], text[starts]
     new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])]))
     last = np.append(new[1:], len(starts)) - 1
-    return text[new], starts[new], starts[last], at[new], h[at[new]]
+    anchor = h[at[new]]
+    anchor = (anchor ^ (anchor >> np.uint64(31))) * _SPREAD  # anchors have small hashes; their leading bits shall be even
+    return text[new], starts[new], starts[last], at[new], anchor ^ (anchor >> np.uint64(33))
 
 
 def _chunks(b: pa.RecordBatch) -> Iterator[tuple[list, list, np.ndarray, np.ndarray]]:
