@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a broadcast side may have at most; keys and ids, so some tens of MB.
@@ -14,6 +14,18 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= limit else df
 
 
+#: Bytes of one Arrow batch: what a Python worker and its executor hold of a partition at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets the session hand over at most BATCH_BYTES at a time; long texts and packed blocks make 64 MB of few rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key, "0").rstrip("b") or 0) if spark.conf.get(key, "0").rstrip("b").lstrip("-").isdigit() else 0
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def share(key: Column, parts: int) -> Column:
     """crc32 of ``key`` as text, modulo ``parts``."""
     return F.crc32(key.cast("string").cast("binary")) % parts
@@ -21,4 +33,5 @@ def share(key: Column, parts: int) -> Column:
 
 def documents_of(docs: DataFrame, *columns: str) -> DataFrame:
     """doc_id and text (null: empty) alone, so that further columns of any name do no harm."""
+    small_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), *[docs[c] for c in columns])

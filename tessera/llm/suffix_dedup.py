@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import small_batches
 from tessera.llm.mapped import Arrays, save, shared_folder
 from tessera.plans.lineage import written
 
@@ -237,6 +238,7 @@ def _by_range(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Each row of ``docs`` (doc_id, text and any other columns) with kept (binary), n_bytes, n_removed and n_spans."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(docs["text"], F.lit("")).cast("binary")
     d = docs.select(F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"), F.coalesce(docs["doc_id"].cast("bigint"), F.lit(2**63 - 1)).alias("d"), F.xxhash64(text).alias("th"), text.alias("text"))
     found = removed_ranges(d.select("d", "th", "text"))

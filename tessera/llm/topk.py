@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import small_batches
 from tessera.plans.lineage import written
 
 K, EVERY, SCALE = 20, 20, 64
@@ -101,6 +102,7 @@ def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k:
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the best k other rows for each query; both sides have vec_id and q."""
+    small_batches(vectors.sparkSession)
     data = written(blocks(vectors, block), "vector-blocks")
     asked = written(blocks(queries, query_block).select("block", "dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), "query-blocks")
     where = data.select(F.col("block").alias("to"), F.col("dim").alias("to_dim"))
