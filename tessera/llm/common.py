@@ -21,8 +21,8 @@ BATCH_BYTES = 4 << 20
 def small_batches(spark: SparkSession) -> None:
     """Lets the session hand over at most BATCH_BYTES at a time; long texts and packed blocks make 64 MB of few rows."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(spark.conf.get(key, "0").rstrip("b") or 0) if spark.conf.get(key, "0").rstrip("b").lstrip("-").isdigit() else 0
-    if not 0 < now <= BATCH_BYTES:
+    now = spark.conf.get(key).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
