@@ -12,12 +12,12 @@ import json
 import os
 import re
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words that a worker remembers at most; at that number it begins anew.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 120_000
 #: The public split expression of byte-level BPE.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BLANK_AFTER_SPACE = re.compile(r"\s ")
@@ -42,13 +42,18 @@ class Library:
             own = sentencepiece.SentencePieceProcessor(model_file=path)
             self.ids = lambda text: array("I", own.encode(text, num_threads=1))
         else:
-            from tokenizers import Tokenizer
-
-            self.own = Tokenizer.from_file(path)
-            self.own.no_truncation()
-            self.own.no_padding()
             self.ids = lambda text: array("I", self.own.encode(text, add_special_tokens=False).ids)
 
+    @cached_property
+    def own(self):  # noqa: ANN201
+        """The library's tokenizer, loaded when it is first needed."""
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(self.path)
+        own.no_truncation()
+        own.no_padding()
+        return own
+
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         return self.ids(text).tobytes()

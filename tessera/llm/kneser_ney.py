@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents_of, share
+from tessera.llm.common import documents_of, share, tidy
 from tessera.llm.mapped import Arrays, save, shared_folder
 from tessera.plans.lineage import written
 
@@ -192,9 +192,9 @@ def train(docs: DataFrame) -> dict:
             save(folder, f"uses-{s:07d}", np.stack([n, types]))
             yield pa.RecordBatch.from_arrays([pa.array([_sums(types) + [len(words), 0]], pa.list_(pa.int64()))], ["sums"])
 
-    dealt = docs.select("text").mapInArrow(count, "shard bigint, block binary").repartition("shard").sortWithinPartitions("shard")
-    pairs = written(dealt.mapInArrow(merge_pairs, "shard bigint, block binary, sums array<bigint>"), "word-blocks")
-    words = written(pairs.select("shard", "block").repartition("shard").sortWithinPartitions("shard").mapInArrow(merge_words, "sums array<bigint>"), "word-sums")
+    dealt = docs.select("text").mapInArrow(tidy(count), "shard bigint, block binary").repartition("shard").sortWithinPartitions("shard")
+    pairs = written(dealt.mapInArrow(tidy(merge_pairs), "shard bigint, block binary, sums array<bigint>"), "word-blocks")
+    words = written(pairs.select("shard", "block").repartition("shard").sortWithinPartitions("shard").mapInArrow(tidy(merge_words), "sums array<bigint>"), "word-sums")
     total = lambda df: [x or 0 for x in df.agg(*[F.sum(F.get("sums", F.lit(i))) for i in range(6)]).first()]
     return {"folder": folder, "bits": bits, "pairs": total(pairs.where("sums is not null")), "words": total(words)}
 
@@ -267,7 +267,7 @@ def score(docs: DataFrame, spec: dict) -> DataFrame:
                 cols = [pa.array(ids[first:at], pa.int64()), pa.array(held[first:at]), pa.array(n), pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(np.full(len(n), model.tokens)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(p, starts))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return docs.mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return docs.mapInArrow(tidy(run), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def scored(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tessera.llm.bpe import load
-from tessera.llm.common import documents_of
+from tessera.llm.common import documents_of, tidy
 
 WINDOW, END_ID = 1024, 0
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -115,4 +115,4 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
         packer.close()
         yield out()
 
-    return documents_of(docs).mapInArrow(run, SCHEMA + ", ids binary" * with_ids)
+    return documents_of(docs).mapInArrow(tidy(run), SCHEMA + ", ids binary" * with_ids)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents_of
+from tessera.llm.common import documents_of, tidy
 from tessera.operators.graph import components
 from tessera.plans.lineage import written
 
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, seed: int = SEED, with_ke
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp"] + ["keys"] * with_keys)
 
     d = documents_of(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
-    return d.mapInArrow(run, "doc_id bigint, fp bigint" + ", keys array<bigint>" * with_keys)
+    return d.mapInArrow(tidy(run), "doc_id bigint, fp bigint" + ", keys array<bigint>" * with_keys)
 
 
 def _block(fp: Column, i: int, width: int) -> Column:
@@ -183,7 +183,7 @@ def links(shards: DataFrame, radius: int) -> DataFrame:
             yield out()
 
     dealt = shards.repartition("k", "v", "sk", "sv").sortWithinPartitions("k", "v", "sk", "sv", "fp")
-    return dealt.mapInArrow(run, "src bigint, dst bigint")
+    return dealt.mapInArrow(tidy(run), "src bigint, dst bigint")
 
 
 def _grouped(marked: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:

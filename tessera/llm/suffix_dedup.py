@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches
+from tessera.llm.common import small_batches, tidy
 from tessera.llm.mapped import Arrays, save, shared_folder
 from tessera.plans.lineage import written
 
@@ -43,7 +43,7 @@ SPAN, ANCHOR = 100, 32
 REACH = SPAN - ANCHOR  # places of an anchor before its window's last
 WIDTH = SPAN + REACH  # columns of a collection; the anchor begins at column REACH
 #: Bytes of text that are hashed at once; pieces in a collection.
-CHUNK, COLLECTION = 1 << 20, 16_384
+CHUNK, COLLECTION = 1 << 19, 8_192
 #: Repeated anchors are kept in files by their leading bits.
 RANGE_BITS = 8
 _POSITION = np.uint64((1 << 32) - 1)
@@ -224,11 +224,11 @@ def removed_ranges(keyed: DataFrame) -> DataFrame:
         if rows:
             yield _solve(rows)
 
-    counted = keyed.mapInArrow(anchors, "anchor bigint, n int").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    counted = keyed.mapInArrow(tidy(anchors), "anchor bigint, n int").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     dealt = counted.repartition(F.shiftrightunsigned("anchor", 64 - RANGE_BITS))
-    written(dealt.mapInArrow(keep, "n bigint"), "anchor-sums")
-    sent = keyed.mapInArrow(send, "anchor bigint, inside int, piece binary, ds array<bigint>, ths array<bigint>, places array<bigint>")
-    return sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(solve, "d bigint, th bigint, start bigint, stop bigint")
+    written(dealt.mapInArrow(tidy(keep), "n bigint"), "anchor-sums")
+    sent = keyed.mapInArrow(tidy(send), "anchor bigint, inside int, piece binary, ds array<bigint>, ths array<bigint>, places array<bigint>")
+    return sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(tidy(solve), "d bigint, th bigint, start bigint, stop bigint")
 
 
 def _by_range(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,8 +236,11 @@ def _by_range(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ranges, first, np.append(first[1:], len(found))[: len(ranges)]
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """Each row of ``docs`` (doc_id, text and any other columns) with kept (binary), n_bytes, n_removed and n_spans."""
+def deduplicated(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
+    """Each row of ``docs`` (doc_id, text and any other columns) with kept (binary), n_bytes, n_removed and n_spans.
+
+    whole_characters drops, from kept, what is left of a character that was cut.
+    """
     small_batches(docs.sparkSession)
     text = F.coalesce(docs["text"], F.lit("")).cast("binary")
     d = docs.select(F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"), F.coalesce(docs["doc_id"].cast("bigint"), F.lit(2**63 - 1)).alias("d"), F.xxhash64(text).alias("th"), text.alias("text"))
@@ -249,11 +252,13 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         for b in batches:
             out = [cut_out(t, s, z) for t, s, z in zip(*(b.column(c).to_pylist() for c in ("text", "starts", "stops")), strict=True)]
             sizes = [len(t) for t in b.column("text").to_pylist()]
+            if whole_characters:
+                out = [(x.decode("utf-8", "ignore").encode() if n else x, n) for x, n in out]
             cols = [b.column("row"), pa.array([o[0] for o in out], pa.binary()), pa.array(sizes, pa.int64()), pa.array([n - len(o[0]) for n, o in zip(sizes, out, strict=True)], pa.int64()), pa.array([o[1] for o in out], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, ["row", "kept", "n_bytes", "n_removed", "n_spans"])
 
     schema = joined.select("row").schema.add("kept", "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(tidy(cut), schema)
 
 
 def cut_out(text: bytes, starts: list[int] | None, stops: list[int] | None) -> tuple[bytes, int]:
@@ -277,12 +282,7 @@ def digest(result: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with repeated strings cut out of their texts; a character of which a byte went goes whole."""
-    result = deduplicated(docs)
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()], pa.string())], ["row", "text"])
-
-    out = result.select("row", "kept").mapInArrow(decode, result.select("row").schema.add("text", "string"))
-    columns = [F.col("text") if c == "text" else F.char_length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns]
-    return out.select(*columns)
+    result = deduplicated(docs, whole_characters=True)
+    text = F.col("kept").cast("string")
+    columns = [text.alias("text") if c == "text" else F.char_length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns]
+    return result.select(*columns)

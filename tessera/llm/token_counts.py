@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import ByteLevel, Library, load
-from tessera.llm.common import documents_of
+from tessera.llm.common import documents_of, tidy
 
 CHUNK, OVERLAP = 32_768, 512
 
@@ -69,4 +69,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, chunk: int = CHUN
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     d = documents_of(docs).withColumn("n_bytes", F.octet_length("text").cast("bigint"))
-    return d.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint").withColumn("over_limit", F.col("n_tokens") > limit)
+    return d.mapInArrow(tidy(run), "doc_id bigint, n_bytes bigint, n_tokens bigint").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents_of, share
+from tessera.llm.common import documents_of, share, tidy
 from tessera.plans.lineage import written
 
 #: Folds of crc32 of the id, of which the first is held out; candidate words; words of the lexicon.
@@ -95,7 +95,7 @@ def lexicon(learning: DataFrame, limit: int = LEXICON) -> list[str]:
     toxic_rows, clean_rows = totals.get(1, 0), totals.get(0, 0)
     if not toxic_rows or not clean_rows:
         return []
-    toxic = learning.where("toxic = 1").select("text").distinct().mapInArrow(distinct_words, "word string").groupBy("word").count()
+    toxic = learning.where("toxic = 1").select("text").distinct().mapInArrow(tidy(distinct_words), "word string").groupBy("word").count()
     found = {r["word"]: r["count"] for r in toxic.where(F.col("count") >= LEAST_ROWS).orderBy(F.desc("count"), "word").limit(CANDIDATES).collect()}
     number = {w.encode(): i for i, w in enumerate(found)}
 
@@ -109,7 +109,7 @@ def lexicon(learning: DataFrame, limit: int = LEXICON) -> list[str]:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["i", "n"])
 
     clean = np.zeros(len(found))
-    for r in learning.where("toxic = 0").select("text").mapInArrow(clean_counts, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect():
+    for r in learning.where("toxic = 0").select("text").mapInArrow(tidy(clean_counts), "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect():
         clean[r["i"]] = r["n"]
     a, b = np.array([*found.values()], dtype=float), clean
     odds = np.log((a + 0.5) / (toxic_rows + 1)) - np.log((b + 0.5) / (clean_rows + 1))
@@ -205,7 +205,7 @@ def scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
             got = [voters.read(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([v for v, _ in got], pa.int32()), pa.array([h for _, h in got], pa.list_(pa.int16()))], ["doc_id", "votes", "hits"])
 
-    votes = written(d.mapInArrow(read, "doc_id bigint, votes int, hits array<smallint>"), "votes")
+    votes = written(d.mapInArrow(tidy(read), "doc_id bigint, votes int, hits array<smallint>"), "votes")
     patterns = votes.join(F.broadcast(known), "doc_id", "left").groupBy("votes", F.coalesce("toxic", F.lit(-1)).alias("known")).count().toPandas()
     if patterns.empty:
         return votes.select("doc_id", F.lit(False).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
@@ -224,7 +224,7 @@ def scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
             z = of_votes[b.column("votes").to_numpy()] + np.array([weights[h].sum() for h in b.column("hits").to_numpy(zero_copy_only=False)] or [], dtype=float)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))), pa.float64())], ["doc_id", "score"])
 
-    judged = votes.mapInArrow(judge, "doc_id bigint, score double")
+    judged = votes.mapInArrow(tidy(judge), "doc_id bigint, score double")
     return judged.select("doc_id", (share(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
