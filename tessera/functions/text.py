@@ -10,13 +10,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANKS = r"[ \t\n\r\f]+"
-EDGES = r"^[^a-z]+|[^a-z]+$"
+#: Characters outside a-z that end a token, or begin one.
+EDGES = r"[^a-z \t\n\r\f]++(?![a-z])|(?<![^ \t\n\r\f])[^a-z \t\n\r\f]++"
 
 
 def tokenize(text: Column) -> Column:
-    """array<string> of the tokens of ``text``; null text gives null."""
-    stripped = F.transform(F.split(F.lower(text), BLANKS), lambda t: F.regexp_replace(t, EDGES, ""))
-    return F.filter(stripped, lambda t: t != "")
+    """array<string> of the tokens of ``text``; null text gives null.
+
+    Edges are stripped from the whole text in one pass: a lambda for each token would leave generated code. Name the result
+    in a select of its own before using it more than once, or it is computed for each use.
+    """
+    return F.array_remove(F.split(F.regexp_replace(F.lower(text), EDGES, ""), BLANKS), "")
 
 
 def adjacent(tokens: Column) -> Column:
@@ -24,18 +28,17 @@ def adjacent(tokens: Column) -> Column:
     return shifted(tokens, 1)
 
 
-def shifted(tokens: Column, by: int) -> Column:
-    """array<struct<l,r>> of tokens and those ``by`` places after them."""
+def shifted(tokens: Column, by: int, back: bool = False) -> Column:
+    """array<struct<l,r>> of tokens and those ``by`` places after them, or before them with ``back``."""
     n = F.size(tokens) - by
-    pairs = F.arrays_zip(F.slice(tokens, F.lit(1), n).alias("l"), F.slice(tokens, F.lit(1 + by), n).alias("r"))
+    early, late = F.slice(tokens, F.lit(1), n), F.slice(tokens, F.lit(1 + by), n)
+    pairs = F.arrays_zip((late if back else early).alias("l"), (early if back else late).alias("r"))
     return F.when(n > 0, pairs).otherwise(F.array().cast("array<struct<l:string,r:string>>"))
 
 
 def around(tokens: Column, window: int) -> Column:
     """array<struct<l,r>> of each token with every other within ``window`` places, by position."""
-    ahead = [shifted(tokens, d) for d in range(1, window + 1)]
-    back = [F.transform(x, lambda p: F.struct(p["r"].alias("l"), p["l"].alias("r"))) for x in ahead]
-    return F.flatten(F.array(*ahead, *back))
+    return F.flatten(F.array(*[shifted(tokens, d, back) for d in range(1, window + 1) for back in (False, True)]))
 
 
 def ellipsis(text: Column, width: int = 80) -> Column:

@@ -28,7 +28,7 @@ def top_k(df: DataFrame, by: str, k: int, *ties: str) -> DataFrame:
 
 
 def _pairs(lines: DataFrame, line: str) -> DataFrame:
-    return lines.select(F.inline(adjacent(tokenize(F.col(line)))))
+    return lines.select(tokenize(F.col(line)).alias("t")).select(F.inline(adjacent(F.col("t"))))
 
 
 def bigram_count(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -37,27 +37,33 @@ def bigram_count(lines: DataFrame, line: str = "line") -> DataFrame:
     return counts.select(F.concat_ws(" ", "l", "r").alias("bigram"), "cnt")
 
 
-def bigram_relfreq_pairs(lines: DataFrame, line: str = "line") -> DataFrame:
-    """(l, r, val): P(r after l); the row r='*' has the number of bigrams that start with l.
+def _shares(lines: DataFrame, line: str) -> tuple[DataFrame, DataFrame]:
+    """(l, r, val) and (l, total).
 
     The pair counts are already small, so the marginal comes from them: a second, partially aggregated sum instead of a
-    window that would hold all pairs of a frequent word in one task.
+    window that would hold all pairs of a frequent word in one task. The null test stands before both uses of the counts,
+    so that their plans are the same and one exchange serves both.
     """
-    counts = _pairs(lines, line).groupBy("l", "r").agg(F.count("*").alias("cnt"))
+    counts = _pairs(lines, line).where(F.col("l").isNotNull()).groupBy("l", "r").agg(F.count("*").alias("cnt"))
     total = counts.groupBy("l").agg(F.sum("cnt").alias("total"))
-    shares = counts.join(total, "l").select("l", "r", (F.col("cnt") / F.col("total")).alias("val"))
+    return counts.join(total, "l").select("l", "r", (F.col("cnt") / F.col("total")).alias("val")), total
+
+
+def bigram_relfreq_pairs(lines: DataFrame, line: str = "line") -> DataFrame:
+    """(l, r, val): P(r after l); the row r='*' has the number of bigrams that start with l."""
+    shares, total = _shares(lines, line)
     return shares.unionByName(total.select("l", F.lit("*").alias("r"), F.col("total").cast("double").alias("val")))
 
 
 def bigram_relfreq_stripes(lines: DataFrame, line: str = "line") -> DataFrame:
     """(l, freqs map<string,double>)."""
-    pairs = bigram_relfreq_pairs(lines, line).where("r <> '*'")
-    return pairs.groupBy("l").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("r", "val")))).alias("freqs"))
+    shares, _ = _shares(lines, line)
+    return shares.groupBy("l").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("r", "val")))).alias("freqs"))
 
 
 def cooccur_pairs(lines: DataFrame, window: int = 2, line: str = "line") -> DataFrame:
     """(l, r, cnt) of tokens within ``window`` places on one line; a repeated word meets itself."""
-    pairs = lines.select(F.inline(around(tokenize(F.col(line)), window)))
+    pairs = lines.select(tokenize(F.col(line)).alias("t")).select(F.inline(around(F.col("t"), window)))
     return pairs.groupBy("l", "r").agg(F.count("*").alias("cnt"))
 
 

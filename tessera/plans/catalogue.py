@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import counting, graph, search
-from tessera.sources.text import lines, random_key_values, table
+from tessera.sources.text import lines, random_key_values, spread, table
 from tessera.streaming.events import hourly_count, run_available, stream_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,7 +19,7 @@ SOURCE = 1
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:

@@ -10,6 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if its scan has fewer splits than there are cores; a larger table is left where it lies.
+
+    Only small tables are moved so: a split holds up to spark.sql.files.maxPartitionBytes.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line)."""
     return spark.read.text(path).withColumnRenamed("value", "line")
