@@ -30,7 +30,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 def words(text: Column) -> Column:
     """array<string>; empty for a null or blank text."""
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+", " "))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def shingle_texts(w: Column, size: int) -> Column:
@@ -38,11 +38,13 @@ def shingle_texts(w: Column, size: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(w, i, size), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def _hashes(h: Column, size: int) -> Column:
-    """Hashes of all runs of ``size`` words from the hashes of the words."""
-    n = F.size(h) - (size - 1)
-    run = F.transform(F.slice(h, F.lit(1), F.greatest(n, F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(h, i + d) for d in range(1, size)]))
-    return F.when(n > 0, run).otherwise(F.array().cast("array<bigint>"))
+def _runs(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, hash, shingle) of all runs of ``size`` words ``w``, from zipped slices and plain columns: all is generated code."""
+    n = F.greatest(F.size("w") - (size - 1), F.lit(0))
+    names = [f"w{i}" for i in range(size)]
+    zipped = F.arrays_zip(*[F.slice("w", F.lit(i + 1), n).alias(name) for i, name in enumerate(names)])
+    hashed = F.xxhash64(*[F.xxhash64(name) for name in names])
+    return docs.select("doc_id", F.inline(zipped)).select("doc_id", hashed.alias("hash"), F.concat_ws(" ", *names).alias("shingle"))
 
 
 def item_shingles(items: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -74,10 +76,10 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, shing
     sizes, item_rows = sorted(known[0]), known[1]
     of_items_small = lambda df: broadcast_if_small(df, item_rows)
 
-    hashed = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    worded = docs.select("doc_id", words(F.col("text")).alias("w"))
     found = None
     for size in sizes:
-        runs = hashed.select("doc_id", F.explode(_hashes(F.col("h"), size)).alias("hash"))
+        runs = _runs(worded, size).select("doc_id", "hash")
         part = sketches(of_items.where(F.col("size") == size), threshold).select("item_id", "need", "hash")
         hits = runs.join(of_items_small(part), "hash").groupBy("doc_id", "item_id", "need", "hash").agg(F.lit(1).alias("one"))
         hits = hits.groupBy("doc_id", "item_id", "need").count().where("count >= need").select("doc_id", "item_id")
@@ -89,7 +91,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, shing
     near = docs.join(broadcast_if_small(ids, candidates.count()), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("doc_id", words(F.col("text")).alias("w"))
     exact = None
     for size in sizes:
-        s = near.select("doc_id", F.explode(F.array_distinct(shingle_texts(F.col("w"), size))).alias("shingle"))
+        s = _runs(near, size).select("doc_id", "shingle")
         part = of_items.where(F.col("size") == size).select("item_id", "n", "shingle")
         pairs = s.join(of_items_small(part), "shingle").select("doc_id", "item_id", "n", "shingle").distinct()
         exact = pairs if exact is None else exact.unionByName(pairs)
