@@ -98,6 +98,40 @@ def test_near_texts_are_grouped(spark):
     assert len(set(got.values())) >= 60
 
 
+def shingle_set(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def test_near_texts_against_brute_force(spark):
+    """Edited copies from well above to well below the threshold: no group without a chain of near pairs, few pairs lost."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(4000)]
+    texts = {}
+    for _ in range(40):
+        base = rng.choices(words, k=200)
+        for edits in range(9):
+            w = list(base)
+            for i in rng.sample(range(200), edits):
+                w[i] = f"e{rng.randrange(10**6)}"
+            texts[len(texts)] = " ".join(w)
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    near = [(a, b) for a, b in combinations(texts, 2) if a // 9 == b // 9 and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    up = {i: i for i in texts}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in near:
+        x, y = sorted((find(a), find(b)))
+        up[y] = x
+    got = {r.doc_id: r.component_id for r in simhash.near_text_groups(spark.createDataFrame([*texts.items()], "doc_id bigint, text string")).collect()}
+    assert all(find(i) == find(c) for i, c in got.items())
+    assert sum(got[a] == got[b] for a, b in near) >= 0.97 * len(near)
+
+
 def test_leaks(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lam mu"
     items = [(1, item), (2, "Short one!"), (3, None), (4, "..."), (5, item)]
