@@ -2,18 +2,10 @@
 
 Equal fingerprints are one node from the start (a partial aggregate), so any number of copies costs no more than one text.
 
-Shards hold the fingerprints that can be near each other:
-* ``block_shards`` (radius 2): a fingerprint is four blocks of 16 bits. Two changed bits touch two blocks at most, so two
-  fingerprints within the radius share two whole blocks: each goes to the six shards of its pairs of blocks. A shard of more
-  than SHARD members is dealt out again in the same way by the bytes of its other two blocks; it then has 65,536 members at most.
-* ``text_shards`` (any radius): near texts share most shingles, so each text goes to the shards of its smallest shingles under a
-  few hash orders.
-
-Near texts (five words, a similarity of 0.8) have fingerprints of 256 bits, a wider radius and an exact check. At a similarity of
-exactly 0.8 about 39 bits differ, and 54 or fewer in 99 of 100 cases. The tree gives the nearest member of each group whose number
-of distinct shingles allows the similarity (one within 27 bits is near enough, so large groups of copies stay cheap), and the link counts only if the distinct shingles of both texts, compared in whole,
-reach it. Groups are chains of such links. A link is lost only if the fingerprints are further apart than the radius, or if
-the nearest members fail the check where a further one would pass it.
+Shards hold the fingerprints that can be near each other (``block_shards``, radius 2): a fingerprint is four blocks of 16 bits.
+Two changed bits touch two blocks at most, so two fingerprints within the radius share two whole blocks: each goes to the six
+shards of its pairs of blocks. A shard of more than SHARD members is dealt out again in the same way by the bytes of its other
+two blocks; it then has 65,536 members at most.
 
 Within a shard a BK-tree keeps, for each group found so far, its members, children keyed by their integer distance to the
 parent; a search follows only the edges within the radius and stops at the first member of a group. Only links that join two
@@ -21,13 +13,26 @@ groups leave the task, so a shard of m members gives m - 1 at most, and no link
 where their shard's rows meet instead of being broadcast: fingerprints grow with the documents, so no bound on a broadcast of
 all trees could be proven.
 
+Near texts (five words, a similarity of 0.8 of the sets of distinct shingles) are found by the sets alone, without fingerprints:
+* A node is a distinct set of shingles. All sets are put in one order of shingles, those of common buckets last. Two sets of the
+  wanted similarity share one of their first n - ceil(0.8 n) + 1 shingles, whatever the order: these are the shards of a node.
+  At their first common shingle, what follows in either set must still hold the wanted number of common ones; and the parities
+  of a set's shingles over 512 buckets differ in no more bits than there are shingles in one set alone. Both bounds are exact,
+  so candidates are left out only where the similarity can't be reached. Whole sets then decide.
+* The first candidates are neighbours within shards. After that, confirmed links make components, and each round looks at all
+  pairs of a shard that aren't in one component: members outside the largest component of the shard are dealt into blocks
+  of BLOCK members, each block with itself, with later ones and with the blocks of that component as its own task. A round
+  hands on a limited number of candidates for each member, and rounds with a larger number follow until nothing was held back.
+Groups are chains of near pairs; none is lost but by equal 64-bit hashes.
+
 Texts are lower-cased in A-Z; words are runs outside x20 and x09-x0D. A text with fewer words than a shingle is one shingle; one
-without words has fingerprint zero and is linked like any other. Null texts are empty; null ids never become a component's id.
+without words has fingerprint zero and no shingle, and all such are one node. Null texts are empty; null ids never become a
+component's id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -41,11 +46,11 @@ from tessera.operators.graph import components
 from tessera.plans.lineage import written
 
 SEED, SHINGLE, RADIUS, SHARD = 42, 3, 2, 2048
-#: For near texts: words of a shingle, differing bits of candidates and of those that need no closer one,
-#: candidates of a member without such, share of common distinct shingles.
-TEXT_SHINGLE, TEXT_RADIUS, TEXT_SURE, TEXT_NEAREST, SIMILARITY = 5, 54, 27, 4, 0.8
+#: For near texts: words of a shingle, share of common distinct shingles, members of a block, candidates of a member in the
+#: first round and their growth, bits of a bucket of shingles whose occurrences are counted, bits of a bucket of parities.
+TEXT_SHINGLE, SIMILARITY, BLOCK, FIRST, GROWTH, COMMON_BITS, PARITY_BITS = 5, 0.8, 2048, 4, 16, 18, 9
 _MASK = (1 << 64) - 1
-#: Odd factors of the hash orders of text_shards.
+#: Odd factors that mix hashes anew.
 ORDERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
 
 
@@ -68,39 +73,20 @@ def fingerprint(h: np.ndarray) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
 
 
-def fine_bits(h: np.ndarray) -> bytes:
-    """The other 192 bits of a text's fingerprint: those of its hashes mixed anew."""
-    out = []
-    for f in ORDERS[:3]:
-        x = h * f
-        x = (x ^ (x >> np.uint64(32))) * ORDERS[3]
-        out.append(fingerprint(x ^ (x >> np.uint64(29))).to_bytes(8, "big"))
-    return b"".join(out)
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE, seed: int = SEED, with_keys: bool = False) -> DataFrame:
-    """(doc_id, fp bigint); with_keys takes each shingle once, and adds their number, more bits and the smallest hash of each order."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """(doc_id, fp bigint)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, sizes, fine, keys = [], [], [], []
-            for text in b.column("text").to_pylist():
-                h = shingle_hashes(text, size, seed)
-                if with_keys:
-                    h = np.unique(h)
-                    sizes.append(len(h))
-                    fine.append(fine_bits(h))
-                    keys.append([_signed(int((h * f).min())) for f in ORDERS] if len(h) else [0] * len(ORDERS))
-                fps.append(_signed(fingerprint(h)))
-            cols = [b.column("doc_id"), pa.array(fps, pa.int64())] + ([pa.array(sizes, pa.int32()), pa.array(fine, pa.binary()), pa.array(keys, pa.list_(pa.int64()))] if with_keys else [])
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp"] + ["n", "fine", "keys"] * with_keys)
+            fps = [_signed(fingerprint(shingle_hashes(text, size, seed))) for text in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     d = documents_of(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
-    return d.mapInArrow(tidy(run), "doc_id bigint, fp bigint" + ", n int, fine binary, keys array<bigint>" * with_keys)
+    return d.mapInArrow(tidy(run), "doc_id bigint, fp bigint")
 
 
 def _block(fp: Column, i: int, width: int) -> Column:
@@ -122,16 +108,6 @@ def block_shards(nodes: DataFrame, shard: int = SHARD) -> DataFrame:
     return cold.unionByName(hot)
 
 
-def text_shards(nodes: DataFrame, shard: int = SHARD) -> DataFrame:
-    """As block_shards, with n and fine, from the keys of the texts; large shards are dealt out again by pairs of keys."""
-    keyed = written(nodes.select("fp", "n", "fine", "keys", F.posexplode("keys").alias("k", "v")), "shards")
-    sizes = keyed.groupBy("k", "v").count().where("count > 1")
-    keyed = keyed.join(sizes, ["k", "v"])
-    cold = keyed.where(F.col("count") <= shard).select("k", "v", F.lit(-1).alias("sk"), F.lit(0).cast("bigint").alias("sv"), "fp", "n", "fine")
-    hot = keyed.where(F.col("count") > shard).select("k", "v", "fp", "n", "fine", F.posexplode("keys").alias("sk", "sv")).where("sk <> k")
-    return cold.unionByName(hot.select("k", "v", "sk", "sv", "fp", "n", "fine"))
-
-
 class BKTree:
     """Children keyed by integer Hamming distance to the parent."""
 
@@ -159,44 +135,17 @@ class BKTree:
         return None
 
 
-    def nearest(self, value: int, radius: int, sure: int, fits: Callable[[int], bool]) -> int | None:
-        """The closest of the members within the radius that ``fits`` accepts, or the first found within ``sure``."""
-        best, todo = None, [self.root]
-        while todo:
-            at, children = todo.pop()
-            d = (at ^ value).bit_count()
-            if d <= radius and fits(at):
-                best, radius = at, d - 1
-                if d <= sure:
-                    break
-            todo += [child for e, child in children.items() if d - radius <= e <= d + radius]
-        return best
-
-
-def shard_links(members: list[int], radius: int, sizes: dict[int, int] | None = None, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Links that join distinct fingerprints into the groups of all links within the radius.
-
-    With ``sizes``, members link to the nearest of each group among those whose sizes allow the similarity; a member without a
-    sure link then looks for its TEXT_NEAREST nearest, among all that came later too.
-    """
+def shard_links(members: list[int], radius: int) -> list[tuple[int, int]]:
+    """Links that join distinct fingerprints into the groups of all links within the radius."""
     groups: list[tuple[BKTree, list[int]]] = []
-    links, unsure = [], []
-
-    def search(tree: BKTree, x: int, but: tuple[int, ...] = ()) -> int | None:
-        if sizes is None:
-            return tree.near(x, radius)
-        n = sizes[x]
-        return tree.nearest(x, radius, TEXT_SURE, lambda y: y != x and y not in but and min(n, sizes[y]) >= similarity * max(n, sizes[y]) - 1e-9)
-
+    links = []
     for x in members:
         hits, others = [], []
         for group in groups:
-            near = search(group[0], x)
+            near = group[0].near(x, radius)
             (others if near is None else hits).append(group)
             if near is not None:
                 links.append((x, near))
-        if sizes is not None and not any((x ^ y).bit_count() <= TEXT_SURE for _, y in links[len(links) - len(hits) :]):
-            unsure.append(x)
         if not hits:
             groups.append((BKTree(x), [x]))
             continue
@@ -209,39 +158,26 @@ def shard_links(members: list[int], radius: int, sizes: dict[int, int] | None =
         tree.add(x)
         own.append(x)
         groups = [*others, (tree, own)]
-    home = {x: tree for tree, own in groups if len(own) > 1 for x in own} if unsure else {}
-    for x in unsure:
-        found: tuple[int, ...] = ()
-        while x in home and len(found) < TEXT_NEAREST and (y := search(home[x], x, found)) is not None:
-            found = (*found, y)
-        links += [(x, y) for y in found]
     return links
 
 
 def links(shards: DataFrame, radius: int) -> DataFrame:
-    """(src, dst): links enough to join all fingerprints of a shard that chains within the radius join.
-
-    Shards that have n and fine are those of texts: the fine bits go before those of fp.
-    """
-    sized = "n" in shards.columns
+    """(src, dst): links enough to join all fingerprints of a shard that chains within the radius join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members, sizes = None, [], {}
+        key, members = None, []
 
         def out() -> pa.RecordBatch:
-            found = shard_links(members, radius, sizes if sized else None) if len(members) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([_signed(p[i] & _MASK) for p in found], pa.int64()) for i in (0, 1)], ["src", "dst"])
+            found = shard_links(members, radius) if len(members) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([_signed(p[i]) for p in found], pa.int64()) for i in (0, 1)], ["src", "dst"])
 
         for b in batches:
-            counts, more = (b.column("n").to_pylist(), b.column("fine").to_pylist()) if sized else ([0] * b.num_rows, [b""] * b.num_rows)
-            for n, fine, *k, fp in zip(counts, more, *(b.column(c).to_pylist() for c in ("k", "v", "sk", "sv", "fp")), strict=True):
+            for *k, fp in zip(*(b.column(c).to_pylist() for c in ("k", "v", "sk", "sv", "fp")), strict=True):
                 if k != key:
                     if len(members) > 1:
                         yield out()
-                    key, members, sizes = k, [], {}
-                members.append(int.from_bytes(fine, "big") << 64 | fp & _MASK)
-                if sized:
-                    sizes[members[-1]] = n
+                    key, members = k, []
+                members.append(fp & _MASK)
         if len(members) > 1:
             yield out()
 
@@ -249,6 +185,184 @@ def links(shards: DataFrame, radius: int) -> DataFrame:
     return dealt.mapInArrow(tidy(run), "src bigint, dst bigint")
 
 
+def distinct_shingles(text: bytes, size: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, size))
+
+
+def set_id(h: np.ndarray) -> int:
+    """64 bits that stand for a whole set of shingles."""
+    return _signed(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+
+
+def parities(h: np.ndarray) -> bytes:
+    """For each bucket of hashes one bit: whether it holds an odd number."""
+    at = ((h * ORDERS[0]) >> np.uint64(64 - PARITY_BITS)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=1 << PARITY_BITS) & 1).tobytes()
+
+
+def least_common(n: np.ndarray, similarity: float) -> np.ndarray:
+    """How many shingles two sets of ``n`` in all share at least if they reach the similarity."""
+    return np.ceil(similarity / (1 + similarity) * n - 1e-6)
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return ((h * ORDERS[1]) >> np.uint64(64 - COMMON_BITS)).astype(np.int64)
+
+
+def commonness(docs: DataFrame, size: int) -> np.ndarray:
+    """For each bucket of shingles the quarter-octave of its occurrences over all texts: one byte each, whatever the size of the input."""
+    chunks = 64
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << COMMON_BITS, dtype=np.int64)
+        for b in batches:
+            h = [distinct_shingles(t, size) for t in b.column("text").to_pylist()]
+            n += np.bincount(_bucket(np.concatenate([*h, np.empty(0, np.uint64)])), minlength=len(n))
+        yield pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array([x.tobytes() for x in np.split(n, chunks)], pa.binary())], ["chunk", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for chunk, n in zip(b.column("chunk").to_pylist(), b.column("n").to_pylist(), strict=True):
+                total[chunk] = total.get(chunk, 0) + np.frombuffer(n, np.int64)
+        levels = [np.rint(4 * np.log2(n + 1)).astype(np.uint8).tobytes() for n in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.array(levels, pa.binary())], ["chunk", "n"])
+
+    d = documents_of(docs).select(F.col("text").cast("binary").alias("text"))
+    got = d.mapInArrow(tidy(count), "chunk int, n binary").repartition("chunk").mapInArrow(tidy(add), "chunk int, n binary").collect()
+    return np.frombuffer(b"".join(bytes(r["n"]) for r in sorted(got, key=lambda r: r["chunk"])), np.uint8)
+
+
+def text_sets(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(doc_id, fp, n, bits, first): the id of each text's set of shingles, their number, parities, and those that a near text may share first."""
+    common = commonness(docs, size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, ns, bits, first = [], [], [], []
+            for text in b.column("text").to_pylist():
+                h = distinct_shingles(text, size)
+                fps.append(set_id(h))
+                ns.append(len(h))
+                bits.append(parities(h))
+                kept = len(h) - int(np.ceil(similarity * len(h) - 1e-6)) + 1 if len(h) else 0
+                first.append(h[np.lexsort((h, common[_bucket(h)]))[:kept]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64()), pa.array(ns, pa.int32()), pa.array(bits, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "fp", "n", "bits", "first"])
+
+    d = documents_of(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
+    return d.mapInArrow(tidy(run), "doc_id bigint, fp bigint, n int, bits binary, first array<bigint>")
+
+
+def text_shards(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(sh, fp, n, pos, prev): nodes under their first shingles, where two nodes at least have one; prev is the neighbour that may be near."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, joined, before = None, False, None  # the last row, whether it has a neighbour before it, and that neighbour if it may be near
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks()
+            sh, fp, n, pos = (rows.column(c).to_numpy() for c in ("sh", "fp", "n", "pos"))
+            same = np.concatenate([[joined], sh[1:] == sh[:-1]])
+            rest = n - pos
+            may = np.concatenate([[False], same[1:] & (np.minimum(rest[1:], rest[:-1]) >= least_common(n[1:] + n[:-1], similarity))])
+            prev = np.concatenate([[0], fp[:-1]])
+            if before is not None:
+                may[0], prev[0] = True, before
+            keep = same[:-1] | same[1:]
+            out = rows.slice(0, len(sh) - 1).append_column("prev", pa.array(prev[:-1], pa.int64(), mask=~may[:-1]))
+            yield from out.filter(pa.array(keep, pa.bool_())).combine_chunks().to_batches()
+            held, joined, before = rows.slice(len(sh) - 1).combine_chunks().to_batches()[0], bool(same[-1]), int(prev[-1]) if may[-1] else None
+        if joined:
+            yield pa.RecordBatch.from_arrays([*held.columns, pa.array([before], pa.int64())], ["sh", "fp", "n", "pos", "prev"])
+
+    keyed = nodes.select("fp", "n", F.posexplode("first").alias("pos", "sh")).select("sh", "fp", "n", "pos")
+    return keyed.repartition("sh").sortWithinPartitions("sh", "fp").mapInArrow(tidy(run), "sh bigint, fp bigint, n int, pos int, prev bigint")
+
+
+def _bits(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
+def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+
+
+def block_pairs(group: np.ndarray, side: np.ndarray, comp: np.ndarray, n: np.ndarray, pos: np.ndarray, bits: np.ndarray, limit: int, similarity: float) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Rows of one group, of different sides (or side -1) and components, that the bounds allow to be near; and whether some were held back.
+
+    Groups are runs of rows. All rows are compared with those d further on, d by d. A pair is held back if both have ``limit`` already.
+    """
+    got, more, found = np.zeros(len(group), dtype=np.int64), False, []
+    at, d = np.arange(len(group)), 1
+    while len(at := at[at + d < len(group)]) and len(at := at[group[at] == group[at + d]]):
+        i = at[(comp[at] != comp[at + d]) & ((side[at] != side[at + d]) | (side[at] < 0))]
+        need = least_common(n[i] + n[i + d], similarity)
+        ok = np.minimum(n[i] - pos[i], n[i + d] - pos[i + d]) >= need
+        i, need = i[ok], need[ok]
+        i = i[_differ(bits[i], bits[i + d]) <= n[i] + n[i + d] - 2 * need]
+        few = (got[i] < limit) | (got[i + d] < limit)
+        more = more or not few.all()
+        i = i[few]
+        got[i] += 1
+        got[i + d] += 1
+        found.append(i)
+        d += 1
+    i = np.concatenate([*found, np.empty(0, np.int64)]).astype(np.int64)
+    return i, i + np.repeat(np.arange(1, len(found) + 1), [len(x) for x in found]), more
+
+
+def open_pairs(shards: DataFrame, nodes: DataFrame, comps: DataFrame, limit: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """(src, dst): candidates of different components, up to ``limit`` for each member of a task; a row of nulls where some were held back."""
+    held = shards.join(comps, "fp", "left").select("sh", "fp", "n", "pos", F.coalesce("comp", "fp").alias("comp"))
+    each = held.groupBy("sh", "comp").count()
+    sizes = each.groupBy("sh").agg(F.max_by("comp", "count").alias("major"), F.max("count").alias("majors"), F.sum("count").alias("all")).where("all > majors")
+    sizes = written(sizes.select("sh", "major", F.ceil((F.col("all") - F.col("majors")) / block).cast("int").alias("na"), F.ceil(F.col("majors") / block).cast("int").alias("nb")), "open")
+    rows = held.join(sizes, "sh").join(nodes.select("fp", "bits"), "fp")
+    at = rows.withColumn("of", F.expr("cast(if(comp = major, na + pmod(xxhash64(fp), nb), pmod(xxhash64(fp), na)) as int)"))
+    tasks = "if(of < na, concat(transform(sequence(0, na - 1), b -> struct(least(of, b) as a, greatest(of, b) as b)), transform(sequence(na, na + nb - 1), b -> struct(of as a, b as b))), transform(sequence(0, na - 1), b -> struct(b as a, of as b)))"
+    dealt = at.select("sh", "fp", "n", "pos", "comp", "bits", "of", F.expr(f"inline({tasks})"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: pa.Table) -> pa.RecordBatch:
+            sh, a, b, of, fp, comp, n, pos = (rows.column(c).to_numpy() for c in ("sh", "a", "b", "of", "fp", "comp", "n", "pos"))
+            group = np.concatenate([[0], np.cumsum((sh[1:] != sh[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))])
+            i, j, more = block_pairs(group, np.where(a == b, -1, of), comp, n, pos, _bits(rows.column("bits").combine_chunks()), limit, similarity)
+            pairs = np.unique(np.stack([np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array([*x.tolist(), *[None] * more], pa.int64()) for x in pairs], ["src", "dst"])
+
+        kept = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = pa.Table.from_batches([b]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([b])]).combine_chunks()
+            keys = [rows.column(c).to_numpy() for c in ("sh", "a", "b")]
+            ends = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0))
+            if len(ends):
+                yield out(rows.slice(0, ends[-1] + 1))
+                rows = rows.slice(ends[-1] + 1)
+            kept = rows
+        if kept is not None:
+            yield out(kept)
+
+    dealt = dealt.repartition("sh", "a", "b").sortWithinPartitions("sh", "a", "b", "fp")
+    return dealt.mapInArrow(tidy(run), "src bigint, dst bigint").distinct()
+
+
+def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` whose parities allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.column("n").to_numpy() + b.column("m").to_numpy()
+            ok = _differ(_bits(b.column("x")), _bits(b.column("y"))) <= n - 2 * least_common(n, similarity) if b.num_rows else np.empty(0, bool)
+            yield b.select(["src", "dst"]).filter(pa.array(ok, pa.bool_()))
+
+    both = pairs.join(nodes.select(F.col("fp").alias("src"), "n", F.col("bits").alias("x")), "src")
+    both = both.join(nodes.select(F.col("fp").alias("dst"), F.col("n").alias("m"), F.col("bits").alias("y")), "dst")
+    return both.select("src", "dst", "n", "m", "x", "y").mapInArrow(tidy(run), "src bigint, dst bigint")
+
+
 def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
     """Those of ``pairs`` (src, dst) whose texts share enough of their distinct shingles; a node's text is its smallest document's.
 
@@ -260,8 +374,8 @@ def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, si
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held = [(fp, np.unique(shingle_hashes(t, size))) for fp, t in zip(b.column("fp").to_pylist(), b.column("text").to_pylist(), strict=True)]
-            held = [(fp, h) for fp, h in held if _signed(fingerprint(h)) == fp]  # another text may have the same id
+            held = [(fp, distinct_shingles(t, size)) for fp, t in zip(b.column("fp").to_pylist(), b.column("text").to_pylist(), strict=True)]
+            held = [(fp, h) for fp, h in held if set_id(h) == fp]  # another text may have the same id
             yield pa.RecordBatch.from_arrays([pa.array([fp for fp, _ in held], pa.int64()), pa.array([h.tobytes() for _, h in held], pa.binary())], ["fp", "h"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,17 +410,26 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return grouped.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_text_groups(docs: DataFrame, size: int = TEXT_SHINGLE, radius: int = TEXT_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, fp, component_id) of near texts: fingerprints choose the pairs, whole sets of shingles decide."""
-    marked = written(fingerprints(docs, size, with_keys=True), "fingerprints")
-    of_least = F.min_by(F.struct("n", "fine", "keys"), "doc_id").alias("of")
-    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), of_least).select("fp", "least", "of.n", "of.fine", "of.keys"), "nodes")
-    found = confirmed(docs, nodes, links(text_shards(nodes), radius), size, similarity)
-    return _grouped(marked, nodes, found)
-
-
-def one_of_each_group(docs: DataFrame, size: int = TEXT_SHINGLE, radius: int = TEXT_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+def near_text_groups(docs: DataFrame, size: int = TEXT_SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(doc_id, fp, component_id) of near texts: chains of pairs whose sets of distinct shingles reach the similarity."""
+    marked = written(text_sets(docs, size, similarity), "sets")
+    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first(F.struct("n", "bits", "first")).alias("of")).select("fp", "least", "of.n", "of.bits", "of.first"), "nodes")
+    shards = written(text_shards(nodes, similarity), "shards")
+    pairs = shards.where("prev is not null").select(F.col("prev").alias("src"), F.col("fp").alias("dst")).distinct()
+    found, limit = written(confirmed(docs, nodes, possible(pairs, nodes, similarity), size, similarity), "near"), FIRST
+    while True:
+        comps = written(components(found).select(F.col("id").alias("fp"), "comp"), "components")
+        pairs = written(open_pairs(shards, nodes, comps, limit, similarity, block), "candidates")
+        some = pairs.where("src is not null")
+        if not some.isEmpty():
+            found = found.unionByName(written(confirmed(docs, nodes, some, size, similarity), "near"))
+        if pairs.where("src is null").isEmpty():
+            return _grouped(marked, nodes, found)
+        limit *= GROWTH
+
+
+def one_of_each_group(docs: DataFrame, size: int = TEXT_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without further members of a group of near texts; the smallest id stays, all columns as they are."""
-    groups = near_text_groups(docs, size, radius, similarity)
+    groups = near_text_groups(docs, size, similarity)
     gone = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")), "copies")
     return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
