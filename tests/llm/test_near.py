@@ -194,3 +194,48 @@ def test_near_pairs_of_a_template_are_all_found(spark):
     a, b, c = (shingle_set(texts[i]) for i in (0, 1, 2))
     assert len(a & b) / len(a | b) > 0.82 and 0.78 < len(a & c) / len(a | c) < 0.79
     assert groups_of(spark, texts) == {i: i - i % 2 for i in range(300)}
+
+
+def test_a_hot_shard_loses_nothing(spark):
+    """2400 texts that share shards, more than a shard once held: all pairs at 0.75, planted ones at 0.81."""
+    texts = template(2400, 46, 7, 2)
+    a, b, c = (shingle_set(texts[i]) for i in (0, 1, 2))
+    assert len(a & b) / len(a | b) > 0.8 > len(a & c) / len(a | c)
+    assert groups_of(spark, texts) == {i: i - i % 2 for i in range(2400)}
+
+
+def test_blocks_and_rounds_lose_nothing(spark, monkeypatch):
+    """Small blocks and one candidate a round, on edited copies around the threshold: the groups of brute force."""
+    monkeypatch.setattr(simhash, "FIRST", 1)
+    monkeypatch.setattr(simhash, "GROWTH", 3)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        for i in rng.sample(range(120), rng.randrange(8)):
+            w[i] = f"e{rng.randrange(40)}"
+        texts.append(" ".join(w))
+    sets = [shingle_set(t) for t in texts]
+    near = {(i, j) for i, j in combinations(range(150), 2) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])}
+    want = {i: i for i in range(150)}
+    for _ in range(150):
+        if all(want[i] == want[j] for i, j in near):
+            break
+        for i, j in near:
+            want[i] = want[j] = min(want[i], want[j])
+    assert 1 < len(set(want.values())) < 150
+    for block in (2, 7, 2048):
+        assert groups_of(spark, texts, block=block) == want
+
+
+def test_block_pairs():
+    """Against a plain loop: limits hold pairs back and say so, sides and components part rows."""
+    rng = np.random.default_rng(3)
+    group, side, comp = np.sort(rng.integers(0, 4, 60)), rng.integers(0, 2, 60), rng.integers(0, 5, 60)
+    n, pos, bits = np.full(60, 10), rng.integers(0, 3, 60), np.zeros((60, 8), np.uint64)
+    want = {(i, j) for i, j in combinations(range(60), 2) if group[i] == group[j] and side[i] != side[j] and comp[i] != comp[j] and 10 - max(pos[i], pos[j]) >= 9}
+    i, j, more = simhash.block_pairs(group, side, comp, n, pos, bits, 60, 0.8)
+    assert {*zip(i.tolist(), j.tolist(), strict=True)} == want and not more
+    i, j, more = simhash.block_pairs(group, side, comp, n, pos, bits, 1, 0.8)
+    assert {*zip(i.tolist(), j.tolist(), strict=True)} < want and more
