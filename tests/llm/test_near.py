@@ -239,3 +239,12 @@ def test_block_pairs():
     assert {*zip(i.tolist(), j.tolist(), strict=True)} == want and not more
     i, j, more = simhash.block_pairs(group, side, comp, n, pos, bits, 1, 0.8)
     assert {*zip(i.tolist(), j.tolist(), strict=True)} < want and more
+
+
+def test_short_near_texts_are_all_found(spark):
+    """9 and 8 words: 4 of 5 distinct shingles, exactly 0.8."""
+    texts = []
+    for i in range(300):
+        w = [f"s{i}x{j}" for j in range(9)]
+        texts += [" ".join(w), " ".join(w[:8])]
+    assert groups_of(spark, texts) == {i: i - i % 2 for i in range(600)}
