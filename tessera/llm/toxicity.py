@@ -1,8 +1,8 @@
 """Toxicity by weak supervision: voters, a generative label model, and a linear classifier on its posterior labels.
 
-1. Lexicon. Words that toxic rows of the learning share hold and clean ones don't. At most LABEL_ROWS labelled rows, chosen by a
-   hash of the id, are learned from. Candidates are the words of most toxic texts (a text counts once); those that toxic rows
-   hold several times as often as chance would have it make the lexicon.
+1. Lexicon. Words that toxic rows of the learning share hold and clean ones don't. Each word's toxic and clean texts are counted
+   in Spark over all labelled rows; every word that toxic rows hold several times as often as chance would have it is kept.
+   Such a word needs several toxic rows, so the lexicon, which the workers hold, is bounded by the labelled toxic words.
 2. Voters. Sixteen yes-or-no voters read a text: eight hold a part of the lexicon each, the others look for several hits, dense
    hits, hits behind symbols or blanks inside words, shouting, strings of exclamation marks, and address. A document's votes are
    16 bits, so all documents together have 65,536 patterns at most, and the counts of patterns are all that the driver sees.
@@ -10,7 +10,8 @@
    of the share keep their label. Voters that go together more than the class explains are found from the fitted model and
    put into one factor with a joint distribution; then the model is fitted again. So correlated voters don't count twice.
 4. Classifier. Logistic regression on lexicon words and votes, trained on the posteriors of FIT_ROWS rows at most, chosen by a
-   hash of the id. Its weights are a few hundred numbers; scoring is one pass without a shuffle.
+   hash of the id. The OWN words of the largest gain have a weight each, all others share POOLS weights by their gain (a text
+   counts each of its words). So its weights are a few hundred numbers; scoring is one pass without a shuffle.
 
 Null and empty texts get the score of a text without any feature. Without labels, or without a toxic one, no voter has a
 lexicon and every score is the prior. Labels are joined by doc_id; an id with several labels is toxic if one is.
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import documents_of, share, tidy
 from tessera.plans.lineage import written
 
-#: Folds of crc32 of the id, of which the first is held out; candidate words; words of the lexicon.
-FOLDS, CANDIDATES, LEXICON = 5, 5_000, 200
+#: Folds of crc32 of the id, of which the first is held out; lexicon words with a weight of their own; weights of all others.
+FOLDS, OWN, POOLS = 5, 200, 8
 #: The bounded samples, in order of a hash of the id: labelled rows to learn from, rows to fit the classifier on.
 LABEL_ROWS, FIT_ROWS = 200_000, 20_000
 #: For a word of the lexicon: least toxic rows, least log-likelihood ratio (20: over four standard errors) and least log odds.
@@ -83,40 +84,32 @@ class Voters:
         return votes, sorted({*hits, *(self.number[w] for w in hidden)})
 
 
-def lexicon(learning: DataFrame, limit: int = LEXICON) -> list[str]:
-    """Words that mark toxic rows; ``learning`` has text (binary) and toxic."""
+def feature_of(i: int) -> int:
+    """The number of the weight of the i-th lexicon word: its own, or one that words of some gain share, by octaves of their rank."""
+    return i if i < OWN else OWN + min((i // OWN).bit_length() - 1, POOLS - 1)
+
+
+def lexicon(toxic: DataFrame, clean: DataFrame) -> list[str]:
+    """All words that mark toxic rows, largest gain first; both have text (binary)."""
 
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [[w.decode("utf-8", "replace") for w in set(words_of(t)) if len(w) <= 64] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([w for s in sets for w in s], pa.string())], ["word"])
 
-    totals = dict(learning.groupBy("toxic").count().collect())
-    toxic_rows, clean_rows = totals.get(1, 0), totals.get(0, 0)
+    def counted(texts: DataFrame, name: str) -> DataFrame:
+        return texts.select("text").mapInArrow(tidy(distinct_words), "word string").groupBy("word").agg(F.count("*").alias(name))
+
+    toxic_rows, clean_rows = toxic.count(), clean.count()
     if not toxic_rows or not clean_rows:
         return []
-    toxic = learning.where("toxic = 1").select("text").distinct().mapInArrow(tidy(distinct_words), "word string").groupBy("word").count()
-    found = {r["word"]: r["count"] for r in toxic.where(F.col("count") >= LEAST_ROWS).orderBy(F.desc("count"), "word").limit(CANDIDATES).collect()}
-    number = {w.encode(): i for i, w in enumerate(found)}
-
-    def clean_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, n = frozenset(number), np.zeros(len(number), dtype=np.int64)
-        for b in batches:
-            for t in b.column("text").to_pylist():
-                for w in known.intersection(words_of(t)):
-                    n[number[w]] += 1
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["i", "n"])
-
-    clean = np.zeros(len(found))
-    for r in learning.where("toxic = 0").select("text").mapInArrow(tidy(clean_counts), "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect():
-        clean[r["i"]] = r["n"]
-    a, b = np.array([*found.values()], dtype=float), clean
-    odds = np.log((a + 0.5) / (toxic_rows + 1)) - np.log((b + 0.5) / (clean_rows + 1))
-    rate = toxic_rows / (toxic_rows + clean_rows)
-    gain = 2 * (a * np.log(a / ((a + b) * rate)) + b * np.log(np.maximum(b, 1e-9) / ((a + b) * (1 - rate))))
-    keep = sorted((-g, w) for w, g, o in zip(found, gain, odds, strict=True) if g >= GAIN and o >= ODDS)
-    return [w for _, w in keep[:limit]]
+    held = counted(toxic.select("text").distinct(), "a").where(F.col("a") >= LEAST_ROWS)
+    both = held.join(counted(clean, "b"), "word", "left").select("word", F.col("a").cast("double"), F.coalesce("b", F.lit(0)).cast("double").alias("b"))
+    rate, a, b = toxic_rows / (toxic_rows + clean_rows), F.col("a"), F.col("b")
+    odds = F.log((a + 0.5) / (toxic_rows + 1)) - F.log((b + 0.5) / (clean_rows + 1))
+    gain = 2 * (a * F.log(a / ((a + b) * rate)) + b * F.log(F.greatest(b, F.lit(1e-9)) / ((a + b) * (1 - rate))))
+    keep = both.select("word", gain.alias("gain"), odds.alias("odds")).where((F.col("gain") >= GAIN) & (F.col("odds") >= ODDS))
+    return [w for _, w in sorted((-r["gain"], r["word"]) for r in keep.collect())]
 
 
 @dataclass
@@ -197,13 +190,14 @@ def scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
     known = labels.select(labels["doc_id"].cast("bigint").alias("doc_id"), labels["toxic"].alias("toxic")).where("doc_id is not null and toxic is not null")
     known = known.where(share(F.col("doc_id"), FOLDS) != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABEL_ROWS), "labels")  # bounded, so it may be broadcast
-    words = lexicon(d.where(share(F.col("doc_id"), FOLDS) != 0).join(F.broadcast(known), "doc_id"))
+    learning = d.where(share(F.col("doc_id"), FOLDS) != 0)
+    words = lexicon(*[learning.join(F.broadcast(known.where(known["toxic"] == y)), "doc_id") for y in (1, 0)])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = Voters(words)
         for b in batches:
             got = [voters.read(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([v for v, _ in got], pa.int32()), pa.array([h for _, h in got], pa.list_(pa.int16()))], ["doc_id", "votes", "hits"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([v for v, _ in got], pa.int32()), pa.array([[feature_of(i) for i in h] for _, h in got], pa.list_(pa.int16()))], ["doc_id", "votes", "hits"])
 
     votes = written(d.mapInArrow(tidy(read), "doc_id bigint, votes int, hits array<smallint>"), "votes")
     patterns = votes.join(F.broadcast(known), "doc_id", "left").groupBy("votes", F.coalesce("toxic", F.lit(-1)).alias("known")).count().toPandas()
@@ -211,15 +205,16 @@ def scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
         return votes.select("doc_id", F.lit(False).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     label_model = fit_label_model(patterns["votes"].to_numpy(np.int64), patterns["known"].to_numpy(np.int64), patterns["count"].to_numpy(float))
     sample = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("votes", "hits").toPandas()
-    x = np.zeros((len(sample), len(words) + 16))
+    own = feature_of(len(words) - 1) + 1 if words else 0
+    x = np.zeros((len(sample), own + 16))
     for i, hits in enumerate(sample["hits"]):
-        x[i, hits] = 1
+        np.add.at(x[i], np.asarray(hits, dtype=np.int64), 1)
     bits = sample["votes"].to_numpy(np.int64)
-    x[:, len(words) :] = bits[:, None] >> np.arange(16) & 1
+    x[:, own:] = bits[:, None] >> np.arange(16) & 1
     weights = fit_linear(x, label_model.posterior(bits))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_votes = ((np.arange(1 << 16)[:, None] >> np.arange(16) & 1) @ weights[len(words) : -1]) + weights[-1]
+        of_votes = ((np.arange(1 << 16)[:, None] >> np.arange(16) & 1) @ weights[own:-1]) + weights[-1]
         for b in batches:
             z = of_votes[b.column("votes").to_numpy()] + np.array([weights[h].sum() for h in b.column("hits").to_numpy(zero_copy_only=False)] or [], dtype=float)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))), pa.float64())], ["doc_id", "score"])

@@ -197,3 +197,24 @@ def test_url_query(spark):
         assert r.rule == rule and verdict in (None, r.verdict)
         if rule is None:
             assert (r.verdict == "block") == any(s in r.host for s in ("casino", "spam", "bets", "pills", "adult", "ads-"))
+
+
+def test_words_are_not_cut_by_their_frequency(spark):
+    """More than 5000 ordinary words are in more toxic rows than the marking one."""
+    rng = random.Random(6)
+    words = ["w" + "".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(5100)]
+    rows = [(i, f"{i} " + " ".join(w for j, w in enumerate(words) if (i + j) % 5 == 0) + (" blarg" if i % 3 == 0 and rng.random() < 0.12 else "")) for i in range(450)]
+    labels = [(i, 1, int(i % 3 == 0)) for i in range(450)]
+    bad = {i for i, t in rows if t.endswith("blarg")}
+    assert 11 < len(bad) < 20
+    got = toxicity.scores(documents(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()
+    clean = max(r.score for r in got if r.doc_id not in bad)
+    assert all(r.score > clean for r in got if r.doc_id in bad)
+
+
+def test_the_lexicon_holds_every_marking_word(spark):
+    """260 words mark toxic rows, one in each row."""
+    rows = [(i, f"some plain words {i} here " + (f"mark{'abcdefghijklmnopqrstuvwxyz'[i // 3 % 26]}{'abcdefghij'[i // 78 % 10]}" if i % 3 == 0 else "more")) for i in range(15_600)]
+    labels = [(i, 1, int(i % 3 == 0)) for i, _ in rows]
+    got = toxicity.scores(documents(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()
+    assert {r.doc_id for r in got if r.predicted} == {i for i, _, toxic in labels if toxic}
