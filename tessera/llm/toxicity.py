@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents_of, share, tidy
+from tessera.llm.common import broadcast_if_small, documents_of, share, tidy
 from tessera.plans.lineage import written
 
 #: Folds of crc32 of the id, of which the first is held out; lexicon words with a weight of their own; weights of all others.
 FOLDS, OWN, POOLS = 5, 200, 8
-#: The bounded samples, in order of a hash of the id: labelled rows to learn from, rows to fit the classifier on.
-LABEL_ROWS, FIT_ROWS = 200_000, 20_000
+#: Rows to fit the classifier on, in order of a hash of the id.
+FIT_ROWS = 20_000
 #: For a word of the lexicon: least toxic rows, least log-likelihood ratio (20: over four standard errors) and least log odds.
 LEAST_ROWS, GAIN, ODDS = 3, 20.0, float(np.log(8))
 
@@ -189,9 +189,9 @@ def scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
     d = documents_of(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
     known = labels.select(labels["doc_id"].cast("bigint").alias("doc_id"), labels["toxic"].alias("toxic")).where("doc_id is not null and toxic is not null")
     known = known.where(share(F.col("doc_id"), FOLDS) != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABEL_ROWS), "labels")  # bounded, so it may be broadcast
+    known = written(known, "labels")
     learning = d.where(share(F.col("doc_id"), FOLDS) != 0)
-    words = lexicon(*[learning.join(F.broadcast(known.where(known["toxic"] == y)), "doc_id") for y in (1, 0)])
+    words = lexicon(*[learning.join(broadcast_if_small(own := known.where(known["toxic"] == y), own.count()), "doc_id") for y in (1, 0)])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = Voters(words)
@@ -200,7 +200,7 @@ def scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([v for v, _ in got], pa.int32()), pa.array([[feature_of(i) for i in h] for _, h in got], pa.list_(pa.int16()))], ["doc_id", "votes", "hits"])
 
     votes = written(d.mapInArrow(tidy(read), "doc_id bigint, votes int, hits array<smallint>"), "votes")
-    patterns = votes.join(F.broadcast(known), "doc_id", "left").groupBy("votes", F.coalesce("toxic", F.lit(-1)).alias("known")).count().toPandas()
+    patterns = votes.join(broadcast_if_small(known, known.count()), "doc_id", "left").groupBy("votes", F.coalesce("toxic", F.lit(-1)).alias("known")).count().toPandas()
     if patterns.empty:
         return votes.select("doc_id", F.lit(False).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     label_model = fit_label_model(patterns["votes"].to_numpy(np.int64), patterns["known"].to_numpy(np.int64), patterns["count"].to_numpy(float))

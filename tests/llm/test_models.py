@@ -218,3 +218,14 @@ def test_the_lexicon_holds_every_marking_word(spark):
     labels = [(i, 1, int(i % 3 == 0)) for i, _ in rows]
     got = toxicity.scores(documents(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()
     assert {r.doc_id for r in got if r.predicted} == {i for i, _, toxic in labels if toxic}
+
+
+def test_all_labels_are_read(spark, monkeypatch):
+    """No bound on labels, and the same by a shuffled join as by a broadcast."""
+    rows, labels, bad = toxic_corpus()
+    docs, marks = documents(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "LABEL_ROWS", 10, raising=False)
+    got = sorted(map(tuple, toxicity.scores(docs, marks).collect()))
+    assert {r[0] for r in got if r[3]} == bad
+    monkeypatch.setattr(toxicity, "broadcast_if_small", lambda df, rows: df)
+    assert sorted(map(tuple, toxicity.scores(docs, marks).collect())) == got
