@@ -271,7 +271,8 @@ def text_shards(nodes: DataFrame, similarity: float) -> DataFrame:
                 may[0], prev[0] = True, before
             keep = same[:-1] | same[1:]
             out = rows.slice(0, len(sh) - 1).append_column("prev", pa.array(prev[:-1], pa.int64(), mask=~may[:-1]))
-            yield from out.filter(pa.array(keep, pa.bool_())).combine_chunks().to_batches()
+            for x in out.filter(pa.array(keep, pa.bool_())).combine_chunks().to_batches():
+                yield pa.RecordBatch.from_arrays(x.columns, ["sh", "fp", "n", "pos", "prev"])
             held, joined, before = rows.slice(len(sh) - 1).combine_chunks().to_batches()[0], bool(same[-1]), int(prev[-1]) if may[-1] else None
         if joined:
             yield pa.RecordBatch.from_arrays([*held.columns, pa.array([before], pa.int64())], ["sh", "fp", "n", "pos", "prev"])

@@ -248,3 +248,10 @@ def test_short_near_texts_are_all_found(spark):
         w = [f"s{i}x{j}" for j in range(9)]
         texts += [" ".join(w), " ".join(w[:8])]
     assert groups_of(spark, texts) == {i: i - i % 2 for i in range(600)}
+
+
+def test_shards_that_end_a_partition(spark):
+    nodes = spark.createDataFrame([(i, 5, [1, 2, 100 + i]) for i in range(6)], "fp bigint, n int, first array<bigint>")
+    got = {(r.sh, r.fp, r.pos): r.prev for r in simhash.text_shards(nodes.coalesce(1), 0.8).collect()}
+    assert {*got} == {(k, i, k - 1) for k in (1, 2) for i in range(6)}
+    assert all(prev == (fp - 1 if fp else None) for (sh, fp, _), prev in got.items() if sh == 1)
