@@ -83,7 +83,7 @@ def _personal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bfs(spark: SparkSession, d: str) -> DataFrame:
-    return graph.bfs(_nodes(spark, d), SOURCE, 9)
+    return graph.bfs(_nodes(spark, d), SOURCE)
 
 
 def _dump(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import ellipsis, log_sum, tokenize
 from tessera.operators import counting, graph, search
+from tessera.plans import catalogue
 from tessera.sources import text as io
 
 
@@ -125,3 +126,9 @@ def test_partitions(spark):
     nodes = spark.range(20).select(F.col("id").cast("int"))
     assert sorted(r["count"] for r in graph.range_partition(nodes, 4, 20).groupBy("part").count().collect()) == [5] * 4
     assert graph.partition_graph(nodes, 4, 20, by_range=True).rdd.glom().map(len).collect() == [5] * 4
+
+
+def test_bfs_queries_go_to_the_end(spark, monkeypatch):
+    chain = spark.createDataFrame([(i, [i + 1]) for i in range(1, 15)] + [(15, [])], "id int, adj array<int>")
+    monkeypatch.setattr(catalogue, "_nodes", lambda s, d: chain)
+    assert {r.id: r.dist for r in catalogue._bfs(spark, "").collect()} == {i: i - 1 for i in range(1, 16)}
