@@ -51,3 +51,12 @@ def log_sum(a: Column, b: Column) -> Column:
     low, high = F.least(a, b), F.greatest(a, b)
     none = low.isNull() | (low == F.lit(float("-inf")))
     return F.when(none, high).otherwise(high + F.log1p(F.exp(low - high)))
+
+
+def int_bytes(x: Column) -> Column:
+    """The four bytes of an int, the highest first."""
+    return F.unhex(F.lpad(F.hex(x.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
+
+
+def string_bytes(text: Column) -> Column:
+    return F.encode(text, "UTF-8")

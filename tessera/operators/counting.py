@@ -7,21 +7,15 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import adjacent, around, tokenize
 
+#: Entries of one map, about.
+PART = 65_536
+
 
 def word_count(texts: DataFrame, text: str = "text") -> DataFrame:
     """(term, cnt). Tokens do not cross blanks, so whole texts need no cutting into lines."""
     return texts.select(F.explode(tokenize(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("cnt"))
 
 
-def word_count_two_level(texts: DataFrame, text: str = "text") -> DataFrame:
-    """As word_count, from a histogram of each row; the result must not differ."""
-    tokens = texts.select(tokenize(F.col(text)).alias("t"))
-    single = F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("term"), F.size(F.filter(F.col("t"), lambda x: x == w)).cast("bigint").alias("n")))
-    short = tokens.where(F.size("t") <= 64).select(F.inline(single))
-    long = tokens.where(F.size("t") > 64).select(F.explode("t").alias("term"), F.lit(1).cast("bigint").alias("n"))
-    return short.unionByName(long).groupBy("term").agg(F.sum("n").alias("cnt"))
-
-
 def top_k(df: DataFrame, by: str, k: int, *ties: str) -> DataFrame:
     """The k rows with the largest ``by``; ties in order of the other columns. Plans as a per-partition heap and a merge."""
     return df.orderBy(F.desc(by), *ties).limit(k)
@@ -55,10 +49,17 @@ def bigram_relfreq_pairs(lines: DataFrame, line: str = "line") -> DataFrame:
     return shares.unionByName(total.select("l", F.lit("*").alias("r"), F.col("total").cast("double").alias("val")))
 
 
-def bigram_relfreq_stripes(lines: DataFrame, line: str = "line") -> DataFrame:
-    """(l, freqs map<string,double>)."""
+def _in_parts(pairs: DataFrame, part: int) -> DataFrame:
+    """(l, r, .., part): the neighbours of a word that has more than ``part`` are dealt to several maps, by a hash."""
+    kinds = pairs.groupBy("l").agg(F.count("r").alias("kinds")).where(F.col("kinds") > part)
+    number = F.pmod(F.xxhash64("r"), F.ceil(F.col("kinds") / part)).cast("int")
+    return pairs.join(kinds, "l", "left").withColumn("part", F.coalesce(number, F.lit(0))).drop("kinds")
+
+
+def bigram_relfreq_stripes(lines: DataFrame, line: str = "line", part: int = PART) -> DataFrame:
+    """(l, part, freqs map<string,double>): one map for each word, or several with about ``part`` neighbours each."""
     shares, _ = _shares(lines, line)
-    return shares.groupBy("l").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("r", "val")))).alias("freqs"))
+    return _in_parts(shares, part).groupBy("l", "part").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("r", "val")))).alias("freqs"))
 
 
 def cooccur_pairs(lines: DataFrame, window: int = 2, line: str = "line") -> DataFrame:
@@ -67,13 +68,21 @@ def cooccur_pairs(lines: DataFrame, window: int = 2, line: str = "line") -> Data
     return pairs.groupBy("l", "r").agg(F.count("*").alias("cnt"))
 
 
-def cooccur_stripes(lines: DataFrame, window: int = 2, line: str = "line") -> DataFrame:
-    """(l, counts map<string,bigint>): a word that is always alone on its line has an empty map."""
-    tokens = lines.select(tokenize(F.col(line)).alias("t"))
-    met = tokens.select(F.inline(around(F.col("t"), window))).groupBy("l", "r").agg(F.count("*").alias("cnt"))
-    alone = tokens.where(F.size("t") == 1).select(F.col("t")[0].alias("l"), F.lit(None).cast("string").alias("r"), F.lit(0).cast("bigint").alias("cnt")).distinct()
-    listed = met.unionByName(alone).groupBy("l").agg(F.array_sort(F.collect_list(F.when(F.col("r").isNotNull(), F.struct("r", "cnt")))).alias("e"))
-    return listed.select("l", F.map_from_entries("e").alias("counts"))
+def cooccur_stripes(lines: DataFrame, window: int = 2, line: str = "line", part: int = PART) -> DataFrame:
+    """(l, part, counts map<string,bigint>), as in bigram_relfreq_stripes; a word that is always alone on its line has an empty map."""
+    alone = F.array(F.struct(F.col("t")[0].alias("l"), F.lit(None).cast("string").alias("r")))
+    met = lines.select(tokenize(F.col(line)).alias("t")).select(F.inline(F.when(F.size("t") == 1, alone).otherwise(around(F.col("t"), window))))
+    counts = _in_parts(met.groupBy("l", "r").agg(F.count("r").alias("cnt")), part)
+    listed = counts.groupBy("l", "part").agg(F.array_sort(F.collect_list(F.when(F.col("r").isNotNull(), F.struct("r", "cnt")))).alias("e"))
+    return listed.select("l", "part", F.map_from_entries("e").alias("counts"))
+
+
+def log_sum_by_key(pairs: DataFrame, key: str = "k", value: str = "x") -> DataFrame:
+    """(k, x): ln of the sum of e^x for each key, against the key's largest value, so nothing overflows; nulls are left out."""
+    known = pairs.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("x"))
+    tops = known.groupBy("k").agg(F.max("x").alias("top"))
+    summed = known.join(tops, "k").groupBy("k", "top").agg(F.sum(F.when(F.col("x") == F.col("top"), 1.0).otherwise(F.exp(F.col("x") - F.col("top")))).alias("s"))
+    return summed.select("k", (F.col("top") + F.log("s")).alias("x"))
 
 
 def int_mean(pairs: DataFrame, key: str = "k", value: str = "v") -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.plans.lineage import cut
 
+#: Steps after which the frontiers of a search are written as one table.
+MERGED = 8
+
 
 def parse_adjacency(lines: DataFrame, line: str = "line") -> DataFrame:
     """(id, adj) from lines ``id neighbour neighbour ...``; a lone id has no out-links. Blank lines are skipped."""
@@ -29,50 +33,86 @@ def graph_stats(nodes: DataFrame) -> DataFrame:
 def bfs(nodes: DataFrame, source: int, steps: int | None = None) -> DataFrame:
     """(id, dist, adj): dist null where the source does not reach. Links to ids without a row are dropped.
 
-    Each step sends only from the last frontier, so all steps together read each edge once; the loop ends with an empty one.
+    Each step sends only from the last frontier, so all steps together read each edge once; the loop ends with an empty one. The
+    adjacency lists stay where they are: a step writes its frontier, (id, dist), alone.
     """
-    state = cut(nodes.select("id", F.when(F.col("id") == source, 0).alias("dist"), "adj"))
-    if state.where("dist = 0").isEmpty():
+    ids = nodes.select("id")
+    frontier = cut(ids.where(F.col("id") == source).select("id", F.lit(0).alias("dist")))
+    if frontier.isEmpty():
         raise ValueError(f"no node {source}")
-    step = 0
+    seen, step = frontier, 0
     while steps is None or step < steps:
-        reached = state.where(F.col("dist") == step).select(F.explode("adj").alias("id")).distinct().withColumn("hit", F.lit(True))
-        state = cut(state.join(reached, "id", "left").select("id", F.when(F.col("dist").isNull() & F.col("hit"), step + 1).otherwise(F.col("dist")).alias("dist"), "adj"))
         step += 1
-        if state.where(F.col("dist") == step).isEmpty():
+        sent = nodes.join(frontier.select("id"), "id").select(F.explode("adj").alias("id")).distinct()
+        frontier = cut(sent.join(seen.select("id"), "id", "left_anti").join(ids, "id", "left_semi").select("id", F.lit(step).alias("dist")))
+        if frontier.isEmpty():
             break
-    return state
+        seen = seen.unionByName(frontier)
+        if step % MERGED == 0:
+            seen = cut(seen)
+    return nodes.join(seen, "id", "left").select("id", "dist", "adj")
 
 
 def reachable(state: DataFrame) -> DataFrame:
     return state.where(F.col("dist").isNotNull())
 
 
+def running_total(sizes: DataFrame) -> DataFrame:
+    """(dist, n, reached) from (dist, n): a row for each distance, so few that one task may order them."""
+    return sizes.withColumn("reached", F.sum("n").over(Window.orderBy("dist")))
+
+
 def at_distance(state: DataFrame, d: int) -> DataFrame:
     return state.where(F.col("dist") == d)
 
 
-def pagerank(nodes: DataFrame, steps: int, alpha: float = 0.15, n: int | None = None, source: int | None = None, copartitioned: bool = False) -> DataFrame:
-    """(id, p) after a fixed number of steps; Σp = 1.
+def pagerank(
+    nodes: DataFrame,
+    steps: int | None = None,
+    alpha: float = 0.15,
+    n: int | None = None,
+    source: int | None = None,
+    tolerance: float | None = None,
+    keep: str | None = None,
+    first: int = 0,
+    copartitioned: bool = True,
+) -> DataFrame:
+    """(id, p) after ``steps`` steps, or when a step changes the ranks by less than ``tolerance`` in all; Σp = 1.
 
     Mass of dangling nodes and of links to ids without a row goes, in equal parts, to all nodes; with ``source`` that mass and
     the random jump go to this node alone. ``copartitioned`` keeps the structure partitioned by id, so that a step moves
-    only the messages.
+    only the messages. ``keep`` is a folder for the ranks after each step; with ``first`` the work goes on from that step's ranks.
     """
+    if steps is None and tolerance is None:
+        raise ValueError("steps or a tolerance are needed")
     n = nodes.count() if n is None else n
     if n <= 0:
         raise ValueError("a graph needs nodes")
-    structure = nodes.repartition("id").persist() if copartitioned else nodes
+    structure = nodes.repartition("id").persist(StorageLevel.MEMORY_AND_DISK) if copartitioned else nodes
     prior: Column = F.lit(1.0 / n) if source is None else F.when(F.col("id") == source, 1.0).otherwise(0.0)
-    ranks = structure.select("id", prior.alias("p"))
-    for _ in range(steps):
+    ranks = nodes.sparkSession.read.schema("id int, p double").parquet(rank_path(keep, first)) if first else structure.select("id", prior.alias("p"))
+    step = first
+    while steps is None or step < steps:
         sent = structure.join(ranks, "id").where(F.size("adj") > 0).select(F.explode("adj").alias("id"), (F.col("p") / F.size("adj")).alias("m"))
-        got = cut(structure.select("id").join(sent.groupBy("id").agg(F.sum("m").alias("m")), "id", "left").select("id", F.coalesce("m", F.lit(0.0)).alias("m")))
+        got = structure.select("id").join(sent.groupBy("id").agg(F.sum("m").alias("m")), "id", "left").select("id", F.coalesce("m", F.lit(0.0)).alias("m"))
+        got = cut(got)
         missing = max(0.0, 1.0 - (got.agg(F.sum("m")).first()[0] or 0.0))
-        ranks = got.select("id", (alpha * prior + (1 - alpha) * (F.col("m") + missing * prior)).alias("p"))
+        before, ranks = ranks, got.select("id", (alpha * prior + (1 - alpha) * (F.col("m") + missing * prior)).alias("p"))
+        step += 1
+        if keep:
+            ranks.select(F.col("id").cast("int"), "p").write.mode("overwrite").parquet(rank_path(keep, step))
+        if tolerance is not None and ranks.join(before.withColumnRenamed("p", "q"), "id").agg(F.sum(F.abs(F.col("p") - F.col("q")))).first()[0] < tolerance:
+            break
+    if copartitioned:
+        structure.unpersist()
     return ranks
 
 
+def rank_path(keep: str, step: int) -> str:
+    """Where the ranks after a step are kept."""
+    return f"{keep}/step-{step:04d}"
+
+
 def components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """(id, comp): comp is the smallest id that links reach, direction ignored.
 
@@ -81,8 +121,8 @@ def components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame
     others: minima are pre-aggregated, and the join that spreads them is a plain equi-join that adaptive execution splits.
     """
     links = cut(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
     while True:
+        before = links
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -91,16 +131,34 @@ def components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         links = cut(small)
-        state = links.agg(F.count("*"), F.sum(F.hash("u", "v").cast("bigint"))).first()
-        if state == before:
+        if links.count() == before.count() and links.join(before, ["u", "v"], "left_anti").isEmpty():  # no row has changed
             break
-        before = state
     found = links.select(F.col("u").alias("id"), F.col("v").alias("comp"))
     if vertices is None:
         vertices = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).where("id is not null").distinct()
     return vertices.join(found, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
 
 
+def component_counts(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(components, vertices, edges) from (id, comp) and (src, dst)."""
+    of_labels = labels.agg(F.count_distinct("comp").alias("components"), F.count("*").alias("vertices"))
+    return of_labels.join(edges.agg(F.count("*").alias("edges")))
+
+
+def adjacency_lines(nodes: DataFrame) -> DataFrame:
+    """(line) ``id neighbour neighbour ...``, as ``parse_adjacency`` reads it."""
+    return nodes.select(F.concat_ws(" ", F.col("id").cast("string"), F.col("adj").cast("array<string>")).alias("line"))
+
+
+def write_nodes(nodes: DataFrame, path: str) -> None:
+    """Nodes with all their columns, to be read by ``read_nodes``."""
+    nodes.write.mode("overwrite").parquet(path)
+
+
+def read_nodes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def range_partition(nodes: DataFrame, parts: int, n: int, key: str = "id") -> DataFrame:
     """Nodes with the number of their range partition: ids 0..n-1 in ``parts`` equal ranges."""
     return nodes.withColumn("part", (F.floor(F.col(key) / F.lit(float(n)) * parts) % parts).cast("int"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import ellipsis, tokenize
+from tessera.sources.text import write_sorted
+
+#: Document numbers of one row of the index.
+SEGMENT = 65_536
 
 
 def postings(texts: DataFrame, docno: str = "doc_id", text: str = "text") -> DataFrame:
@@ -14,13 +18,27 @@ def postings(texts: DataFrame, docno: str = "doc_id", text: str = "text") -> Dat
     return tokens.groupBy("term", "docno").agg(F.count("*").alias("tf"))
 
 
+def store(posts: DataFrame, path: str) -> DataFrame:
+    """Writes the postings in order of terms, and reads them back: a lookup then skips what can't hold its term."""
+    write_sorted(posts, path, "term")
+    return stored(posts.sparkSession, path)
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("term string, docno bigint, tf bigint").parquet(path)
+
+
 def term_df(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def build_index(posts: DataFrame) -> DataFrame:
-    """(term, df, postings), the postings in order of docno. Meant for lookups of terms; the flat form scales further."""
-    return posts.groupBy("term").agg(F.count("*").alias("df"), F.array_sort(F.collect_list(F.struct("docno", "tf"))).alias("postings"))
+def build_index(posts: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """(term, segment, df, postings): the postings of a term in order of docno, in segments of ``segment`` document numbers.
+
+    Segments follow each other, so a term of very many documents is several rows of bounded size; df counts within the row.
+    """
+    listed = posts.groupBy("term", F.floor(F.col("docno") / segment).alias("segment"))
+    return listed.agg(F.count("*").alias("df"), F.array_sort(F.collect_list(F.struct("docno", "tf"))).alias("postings"))
 
 
 def lookup(posts: DataFrame, term: str) -> DataFrame:
@@ -37,20 +55,23 @@ def boolean(posts: DataFrame, query: str) -> DataFrame:
     """(docno) that satisfy a query such as ``white red OR rose AND``.
 
     Words are taken as they are; only the exact AND and OR are operators. An absent term is the empty set; an operator
-    without two operands, or operands left over, raise ValueError.
+    without two operands, or operands left over, raise ValueError. All terms are read in one scan, which a stored index prunes;
+    a document's hits meet in one partial aggregate.
     """
-    stack: list[DataFrame] = []
+    terms = sorted({*query.split()} - {"AND", "OR"})
+    stack: list[Column] = []
     for word in query.split():
         if word not in ("AND", "OR"):
-            stack.append(posts.where(F.col("term") == word).select("docno"))
+            stack.append(F.col(f"t{terms.index(word)}"))
             continue
         if len(stack) < 2:
             raise ValueError(f"{word} needs two operands: {query!r}")
         right, left = stack.pop(), stack.pop()
-        stack.append(left.intersect(right) if word == "AND" else left.union(right).distinct())
+        stack.append(left & right if word == "AND" else left | right)
     if len(stack) != 1:
         raise ValueError(f"{len(stack)} results are left on the stack: {query!r}")
-    return stack[0].distinct()
+    held = posts.where(F.col("term").isin(*terms)).groupBy("docno").agg(*[F.bool_or(F.col("term") == t).alias(f"t{i}") for i, t in enumerate(terms)])
+    return held.where(stack[0]).select("docno")
 
 
 def with_snippets(hits: DataFrame, texts: DataFrame, docno: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.text import int_bytes, string_bytes
 from tessera.operators import counting, graph, search
-from tessera.sources.text import lines, random_key_values, spread, table
-from tessera.streaming.events import hourly_count, run_available, stream_of
+from tessera.plans.lineage import fresh_path
+from tessera.sources.text import LETTERS, get_key, lines, put_table, random_key_values, read_lines, read_lines_with_offset, spread, table
+from tessera.streaming.events import arrive, batch_counts, hourly_count, run_available, stream_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 TERM = "les"
 RPN = {"boolean_and": "und la AND", "boolean_or": "scum trash OR", "boolean_nested": "the le OR und AND"}
 SOURCE = 1
+#: What is written once in a session and then looked up, by session, tables and name.
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _once(spark: SparkSession, d: str, name: str, make: Callable[[], str]) -> str:
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _STORED:
+        _STORED[key] = make()
+    return _STORED[key]
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
@@ -34,9 +46,33 @@ def _posts(spark: SparkSession, d: str) -> DataFrame:
     return search.postings(_documents(spark, d))
 
 
+def _stored_posts(spark: SparkSession, d: str) -> DataFrame:
+    """The stored index; the first query of a session writes it."""
+
+    def make() -> str:
+        path = fresh_path(spark, "index")
+        search.store(_posts(spark, d), path)
+        return path
+
+    return search.stored(spark, _once(spark, d, "index", make))
+
+
+def _kv_lookup(spark: SparkSession, d: str) -> DataFrame:
+    def make() -> str:
+        name = f"tessera_words_{uuid.uuid4().hex}"
+        put_table(_words(spark, d), name, "term")
+        return name
+
+    return get_key(spark, _once(spark, d, "words", make), "term", TERM)
+
+
+def _kv_bytes(spark: SparkSession, d: str) -> DataFrame:
+    return _kv(spark, d).select(F.hex(string_bytes(F.col("k"))).alias("k"), F.hex(int_bytes(F.col("v"))).alias("v"))
+
+
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    item = table(spark, d, "lineitem").where("l_linenumber = 1 and l_partkey % 10 <> 0")
-    return item.select(F.expr("cast(l_partkey % 2000 as int)").alias("src"), F.expr("cast(l_orderkey % 2000 as int)").alias("dst")).distinct()
+    """Part to order, over the whole table."""
+    return table(spark, d, "lineitem").select(F.col("l_partkey").cast("int").alias("src"), F.col("l_orderkey").cast("int").alias("dst")).distinct()
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -53,21 +89,26 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 def _relfreq_stripes(spark: SparkSession, d: str) -> DataFrame:
     stripes = counting.bigram_relfreq_stripes(_lines(spark, d))
-    return stripes.select("l", F.size("freqs").cast("bigint").alias("n_keys"), F.array_max(F.map_values("freqs")).alias("freq_max"))
+    parts = stripes.select("l", F.size("freqs").alias("n"), F.array_max(F.map_values("freqs")).alias("most"), F.array_min(F.map_keys("freqs")).alias("first"), F.array_max(F.map_keys("freqs")).alias("last"))
+    return parts.groupBy("l").agg(F.sum("n").alias("n_keys"), F.max("most").alias("freq_max"), F.min("first").alias("r_first"), F.max("last").alias("r_last"))
 
 
 def _cooccur_stripes(spark: SparkSession, d: str) -> DataFrame:
     stripes = counting.cooccur_stripes(_lines(spark, d), 2)
-    return stripes.select("l", F.size("counts").cast("bigint").alias("n_keys"), F.aggregate(F.map_values("counts"), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+    total = F.aggregate(F.map_values("counts"), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    parts = stripes.select("l", F.size("counts").alias("n"), total.alias("t"), F.array_min(F.map_keys("counts")).alias("first"), F.array_max(F.map_keys("counts")).alias("last"))
+    return parts.groupBy("l").agg(F.sum("n").alias("n_keys"), F.sum("t").alias("total"), F.min("first").alias("r_first"), F.max("last").alias("r_last"))
 
 
 def _boolean(name: str) -> Query:
-    return lambda spark, d: search.with_snippets(search.boolean(_posts(spark, d), RPN[name]), _documents(spark, d))
+    return lambda spark, d: search.with_snippets(search.boolean(_stored_posts(spark, d), RPN[name]), _documents(spark, d))
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
-    index = search.build_index(_posts(spark, d))
-    return index.select("term", "df", F.col("postings")[0]["docno"].alias("first_docno"), F.aggregate("postings", F.lit(0).cast("bigint"), lambda a, x: a + x["tf"]).alias("total_tf"))
+    docs = F.transform("postings", lambda p: p["docno"])
+    rows = search.build_index(_posts(spark, d)).select("term", "segment", "df", docs.alias("docs"), F.aggregate("postings", F.lit(0).cast("bigint"), lambda a, x: a + x["tf"]).alias("tf"))
+    of_row = rows.select("term", "df", "tf", F.element_at("docs", 1).alias("first"), F.element_at("docs", -1).alias("last"), (F.col("docs") == F.array_sort(F.array_distinct("docs"))).alias("ordered"))
+    return of_row.groupBy("term").agg(F.sum("df").alias("df"), F.min("first").alias("first_docno"), F.max("last").alias("last_docno"), F.sum("tf").alias("total_tf"), F.bool_and("ordered").alias("in_order"))
 
 
 def _ranks(ranks: DataFrame) -> DataFrame:
@@ -75,7 +116,15 @@ def _ranks(ranks: DataFrame) -> DataFrame:
 
 
 def _log_rank(spark: SparkSession, d: str, **how: object) -> DataFrame:
-    return _ranks(graph.pagerank(_nodes(spark, d), 5, **how))
+    return _ranks(graph.pagerank(_nodes(spark, d), **({"steps": 5} | how)))
+
+
+def _resumed(spark: SparkSession, d: str) -> DataFrame:
+    """Two steps, whose nodes and ranks are kept, and the other three from what was kept."""
+    keep = fresh_path(spark, "ranks")
+    graph.write_nodes(_nodes(spark, d), f"{keep}/nodes")
+    graph.pagerank(graph.read_nodes(spark, f"{keep}/nodes"), 2, keep=keep)
+    return _ranks(graph.pagerank(graph.read_nodes(spark, f"{keep}/nodes"), 5, keep=keep, first=2))
 
 
 def _personal(spark: SparkSession, d: str) -> DataFrame:
@@ -86,15 +135,64 @@ def _bfs(spark: SparkSession, d: str) -> DataFrame:
     return graph.bfs(_nodes(spark, d), SOURCE)
 
 
+def _component_counts(spark: SparkSession, d: str) -> DataFrame:
+    e = edges(spark, d)
+    return graph.component_counts(graph.components(e), e)
+
+
+def _ranges(spark: SparkSession, d: str) -> DataFrame:
+    ids = _nodes(spark, d).select("id")
+    return graph.range_partition(ids, 5, (ids.agg(F.max("id")).first()[0] or 0) + 1)
+
+
+def _encoded(spark: SparkSession, d: str) -> DataFrame:
+    """The graph as adjacency text, written, read and parsed."""
+    path = fresh_path(spark, "adjacency")
+    graph.adjacency_lines(_nodes(spark, d)).write.text(path)
+    nodes = graph.parse_adjacency(read_lines(spark, path))
+    return nodes.select("id", F.size("adj").cast("bigint").alias("degree"), F.aggregate("adj", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"), F.element_at(F.when(F.size("adj") > 0, F.col("adj")), 1).alias("first_dst"))
+
+
 def _dump(spark: SparkSession, d: str) -> DataFrame:
     return graph.node_text(_nodes(spark, d).withColumn("degree", F.size("adj")), "degree")
 
 
+def _offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as one text file; each line with the byte it begins at."""
+    path = fresh_path(spark, "customers")
+    table(spark, d, "customer").orderBy("c_custkey").select(F.concat_ws(" ", "c_name", "c_mktsegment").alias("line")).coalesce(1).write.text(path)
+    return read_lines_with_offset(spark, path)
+
+
+def _batches(spark: SparkSession, d: str) -> DataFrame:
+    """Events that arrive week by week, counted by batch."""
+    path = fresh_path(spark, "arrivals")
+    arrive(_events(spark, d), path)
+    return batch_counts(stream_of(spark, path))
+
+
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    counts = hourly_count(stream_of(spark, f"{d}/events*.parquet").select("ts"), delay="1 day")
+    return run_available(counts, "hourly").select("window_start", "cnt")
+
+
+def _reached(spark: SparkSession, d: str) -> DataFrame:
+    """The report of a search: nodes at each distance, and reached so far."""
+    sizes = graph.reachable(_bfs(spark, d)).groupBy("dist").agg(F.count("*").alias("n"))
+    return graph.running_total(sizes)
+
+
+def _log_mass(spark: SparkSession, d: str) -> DataFrame:
+    pairs = table(spark, d, "events").where("value > 0").select(F.col("event_type").alias("k"), F.log("value").alias("x"))
+    return counting.log_sum_by_key(pairs).select("k", F.round("x", 6).alias("x"))
+
+
 QUERIES: dict[str, Query] = {
     "word_count": _words,
     "word_count_top20": lambda s, d: counting.top_k(_words(s, d), "cnt", 20, "term"),
-    "word_count_imc": lambda s, d: counting.word_count_two_level(_documents(s, d)),
-    "kv_lookup": lambda s, d: _words(s, d).where(F.col("term") == TERM),
+    "word_count_imc": _words,
+    "kv_lookup": _kv_lookup,
+    "kv_bytes": _kv_bytes,
     "bigram_count": lambda s, d: counting.bigram_count(_lines(s, d)),
     "bigram_relfreq_pairs": lambda s, d: counting.bigram_relfreq_pairs(_lines(s, d)),
     "bigram_relfreq_stripes": _relfreq_stripes,
@@ -105,8 +203,8 @@ QUERIES: dict[str, Query] = {
     "posting_list": _posts,
     "term_df": lambda s, d: search.term_df(_posts(s, d)),
     "inverted_index": _index,
-    "lookup_postings": lambda s, d: search.with_snippets(search.lookup(_posts(s, d), TERM), _documents(s, d)),
-    "tf_histogram": lambda s, d: search.tf_histogram(_posts(s, d), TERM),
+    "lookup_postings": lambda s, d: search.with_snippets(search.lookup(_stored_posts(s, d), TERM), _documents(s, d)),
+    "tf_histogram": lambda s, d: search.tf_histogram(_stored_posts(s, d), TERM),
     **{name: _boolean(name) for name in RPN},
     "graph_edges": edges,
     "graph_stats": lambda s, d: graph.graph_stats(_nodes(s, d)),
@@ -114,15 +212,23 @@ QUERIES: dict[str, Query] = {
     "bfs_frontier_sizes": lambda s, d: graph.reachable(_bfs(s, d)).groupBy("dist").agg(F.count("*").alias("n")),
     "bfs_reachable": lambda s, d: graph.reachable(_bfs(s, d)).select("id", "dist"),
     "bfs_at_distance": lambda s, d: graph.at_distance(_bfs(s, d), 3).select("id", "dist"),
+    "bfs_report": _reached,
+    "graph_encoded": _encoded,
     "pagerank_5": _log_rank,
+    "pagerank_resumed_5": _resumed,
+    "pagerank_tolerance": lambda s, d: _log_rank(s, d, steps=None, tolerance=1e-9),
     "pagerank_top20": lambda s, d: counting.top_k(_log_rank(s, d), "logp", 20, "id"),
     "pagerank_copartitioned_5": lambda s, d: _log_rank(s, d, copartitioned=True),
     "pagerank_personalized_5": _personal,
     "connected_components": lambda s, d: graph.components(edges(s, d)),
-    "range_partition": lambda s, d: graph.range_partition(_nodes(s, d).select("id"), 5, 2000),
+    "component_counts": _component_counts,
+    "range_partition": _ranges,
     "node_dump": _dump,
     "event_count_hourly": lambda s, d: hourly_count(_events(s, d)),
-    "event_count_stream": lambda s, d: run_available(hourly_count(stream_of(s, f"{d}/events*.parquet").select("ts")), "hourly"),
+    "event_count_stream": _event_stream,
+    "event_batches": _batches,
+    "log_mass": _log_mass,
+    "line_offsets": _offsets,
     "random_kv": lambda s, d: random_key_values(s, 1000, 2, 100, seed=7),
 }
 
@@ -131,7 +237,7 @@ _DOC = f"with t as (select doc_id, {_TOKENS.format('text')} as t from documents)
 _LINE = f"with l as (select unnest(string_split(text, chr(10))) as line from documents), t as (select {_TOKENS.format('line')} as t from l)"
 _PAIR = _LINE + ", p as (select t[i] as l, t[i + 1] as r from t, unnest(range(1, len(t))) as u(i))"
 _COUNTS = _PAIR + ", c as (select l, r, count(*) as cnt from p group by l, r), m as (select l, sum(cnt)::bigint as total from c group by l)"
-_EDGE = "select distinct cast(l_partkey % 2000 as int) as src, cast(l_orderkey % 2000 as int) as dst from lineitem where l_linenumber = 1 and l_partkey % 10 <> 0"
+_EDGE = "select distinct l_partkey::int as src, l_orderkey::int as dst from lineitem"
 _GRAPH = f"e as materialized ({_EDGE}), v as materialized (select src as id from e union select dst from e), n as (select count(*) as n from v), o as materialized (select src, count(*) as deg from e group by src)"
 
 
@@ -157,7 +263,17 @@ def _rank_sql(steps: int, prior: str) -> str:
     return f"with {_GRAPH}, {', '.join(ctes)}"
 
 
-_BFS = f"with recursive e as materialized ({_EDGE}), v as materialized (select src as id from e union select dst from e), b as (select {SOURCE} as id, 0 as d union select e.dst, b.d + 1 from b join e on e.src = b.id where b.d < 9), x as materialized (select id, min(d)::int as dist from b group by id)"
+_BFS = f"with recursive e as materialized ({_EDGE}), v as materialized (select src as id from e union select dst from e), b as (select {SOURCE} as id, 0 as d union select e.dst, b.d + 1 from b join e on e.src = b.id where b.d < 30), x as materialized (select id, min(d)::int as dist from b group by id)"
+_LABELS = f"e as materialized ({_EDGE}), b as materialized (select src as u, dst as v from e union select dst, src from e), c0 as materialized (select distinct u as id, u as comp from b), " + ", ".join(
+    f"c{i} as materialized (select b.u as id, least(min(x.comp), any_value(o.comp))::int as comp from b join c{i - 1} x on x.id = b.v join c{i - 1} o on o.id = b.u group by b.u)" for i in range(1, 21)
+)
+
+
+def _draw(place: int, letter: bool = True) -> str:
+    number = f"('0x' || substr(md5('7:{place}:' || id), 1, 12))::bigint"
+    return f"substr('{LETTERS}', ({number} % 52 + 1)::int, 1)" if letter else number
+
+
 _EVEN, _ONE = "1.0::double / n", f"(case when id = {SOURCE} then 1.0 else 0.0 end)::double"
 
 ORACLE: dict[str, str] = {
@@ -167,14 +283,14 @@ ORACLE: dict[str, str] = {
     "kv_lookup": f"{_DOC} select term, count(*) as cnt from w where term = '{TERM}' group by term",
     "bigram_count": f"{_PAIR} select l || ' ' || r as bigram, count(*) as cnt from p group by l, r",
     "bigram_relfreq_pairs": f"{_COUNTS} select c.l, r, cnt::double / total as val from c join m on c.l = m.l union all select l, '*', total::double from m",
-    "bigram_relfreq_stripes": f"{_COUNTS} select c.l, count(*) as n_keys, max(cnt::double / total) as freq_max from c join m on c.l = m.l group by c.l",
+    "bigram_relfreq_stripes": f"{_COUNTS} select c.l, count(*) as n_keys, max(cnt::double / total) as freq_max, min(r) as r_first, max(r) as r_last from c join m on c.l = m.l group by c.l",
     "cooccur_pairs_w2": f"{_cooccur(2)} select l, r, count(*) as cnt from p group by l, r",
     "cooccur_pairs_w3": f"{_cooccur(3)} select l, r, count(*) as cnt from p group by l, r",
-    "cooccur_stripes_w2": f"{_cooccur(2)}, a as (select distinct unnest(t) as l from t) select a.l, count(distinct r) as n_keys, count(r) as total from a left join p on a.l = p.l group by a.l",
+    "cooccur_stripes_w2": f"{_cooccur(2)}, a as (select distinct unnest(t) as l from t) select a.l, count(distinct r) as n_keys, count(r) as total, min(r) as r_first, max(r) as r_last from a left join p on a.l = p.l group by a.l",
     "mean_by_key": "select event_type as k, (sum(floor(value)::int)::bigint // count(*))::int as mean from events group by event_type",
     "posting_list": f"{_DOC} select term, doc_id as docno, count(*) as tf from w group by term, doc_id",
     "term_df": f"{_DOC} select term, count(distinct doc_id) as df from w group by term",
-    "inverted_index": f"{_DOC} select term, count(distinct doc_id) as df, min(doc_id) as first_docno, count(*) as total_tf from w group by term",
+    "inverted_index": f"{_DOC} select term, count(distinct doc_id) as df, min(doc_id) as first_docno, max(doc_id) as last_docno, count(*) as total_tf, true as in_order from w group by term",
     "lookup_postings": _snippets(f"select doc_id as docno, count(*) as tf from w where term = '{TERM}' group by doc_id", ", h.tf"),
     "tf_histogram": f"{_DOC} select tf, count(*) as n_docs from (select count(*) as tf from w where term = '{TERM}' group by doc_id) group by tf",
     "boolean_and": _snippets(f"{_hits('und')} intersect {_hits('la')}"),
@@ -190,8 +306,18 @@ ORACLE: dict[str, str] = {
     "pagerank_top20": f"{_rank_sql(5, _EVEN)} select id, round(ln(p), 5) as logp from r5 order by logp desc, id limit 20",
     "pagerank_copartitioned_5": f"{_rank_sql(5, _EVEN)} select id, round(ln(p), 5) as logp from r5",
     "pagerank_personalized_5": f"{_rank_sql(5, _ONE)} select id, round(p, 8) as p from r5",
-    "connected_components": f"with recursive e as materialized ({_EDGE}), b as materialized (select src as u, dst as v from e union select dst, src from e), r as (select u as id, u as comp from b union select b.v, r.comp from r join b on b.u = r.id where r.comp < b.v) select id, min(comp)::int as comp from r group by id",
-    "range_partition": f"with e as ({_EDGE}), v as (select src as id from e union select dst from e) select id, cast(floor(id / 2000.0 * 5) % 5 as int) as part from v",
+    "connected_components": f"with {_LABELS} select id, comp from c20",
+    "component_counts": f"with {_LABELS} select count(distinct comp) as components, count(*) as vertices, (select count(*) from e) as edges from c20",
+    "bfs_report": f"{_BFS}, s as (select dist, count(*) as n from x group by dist) select dist, n, sum(n) over (order by dist)::bigint as reached from s",
+    "graph_encoded": f"with e as materialized ({_EDGE}), v as (select src as id from e union select dst from e) select v.id, count(e.dst) as degree, coalesce(sum(e.dst), 0)::bigint as total, min(e.dst) as first_dst from v left join e on e.src = v.id group by v.id",
+    "pagerank_resumed_5": f"{_rank_sql(5, _EVEN)} select id, round(ln(p), 5) as logp from r5",
+    "pagerank_tolerance": f"{_rank_sql(40, _EVEN)} select id, round(ln(p), 5) as logp from r40",
+    "kv_bytes": "select upper(hex(encode(event_type))) as k, printf('%08X', floor(value)::int & 4294967295::bigint) as v from events",
+    "event_batches": "select row_number() over (order by w) - 1 as batch, cnt, first_ts from (select date_trunc('week', ts) as w, count(*) as cnt, min(ts) as first_ts from events group by 1)",
+    "log_mass": "select event_type as k, round(ln(sum(value)), 6) as x from events where value > 0 group by event_type",
+    "line_offsets": "with l as (select c_custkey, c_name || ' ' || c_mktsegment as line from customer) select (coalesce(sum(octet_length(encode(line)) + 1) over (order by c_custkey rows between unbounded preceding and 1 preceding), 0))::bigint as docno, line from l",
+    "random_kv": f"select {_draw(1)} || {_draw(2)} as k, ({_draw(0, False)} % 100)::int as v from range(1000) as t(id)",
+    "range_partition": f"with e as ({_EDGE}), v as (select src as id from e union select dst from e) select id, cast(floor(id / (select max(id) + 1 from v)::double * 5) % 5 as int) as part from v",
     "node_dump": f"with e as ({_EDGE}), v as (select src as id from e union select dst from e), a as (select v.id, list_sort(list_filter(list(e.dst), lambda x: x is not null)) as adj from v left join e on e.src = v.id group by v.id) select id, '{{' || id || ' ' || len(adj) || ' [' || array_to_string(list_transform(adj[1:10], lambda x: x::varchar), ', ') || ']}}' as txt from a",
     "event_count_hourly": "select date_trunc('hour', ts) as window_start, count(*) as cnt from events group by 1",
     "event_count_stream": "select date_trunc('hour', ts) as window_start, count(*) as cnt from events group by 1",

@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where it is unset (tests, one machine) a temporary one."""
+    """The folder of spark.checkpoint.dir. Only a local master may leave it unset, and gets a temporary one; a cluster may not."""
     context = spark.sparkContext
     there = context.getCheckpointDir()
     if there is None:
-        root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if root is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            root = tempfile.mkdtemp(prefix="tessera-")
         context.setCheckpointDir(root)
         there = context.getCheckpointDir()
     return there

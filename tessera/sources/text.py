@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt to all cores if its scan has fewer splits than there are cores; a larger table is left where it lies.
-
-    Only small tables are moved so: a split holds up to spark.sql.files.maxPartitionBytes.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """``df``, a scan of files, dealt to all cores if they are fewer and smaller than there are cores; else it is left where it lies."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+    files = df.select("_metadata.file_path", "_metadata.file_size").distinct()
+    return df.repartition(cores) if (files.agg(F.sum("file_size")).first()[0] or 0) < cores * split else df
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -27,15 +31,20 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_lines_with_offset(spark: SparkSession, path: str) -> DataFrame:
     """(docno, line), docno being the byte offset of the line in its file.
 
-    The text source hides offsets; Hadoop's line format has them as keys. Only splittable, uncompressed files give offsets
-    that a reader can seek to, so .gz is refused.
+    The text source hides offsets, but hands a file's splits over in order, each whole: an offset is the sum of the bytes before
+    it, in the same split (a window for each split) and in earlier splits (their totals, one row for each). Only plain files
+    have offsets that a reader can seek to, so .gz is refused.
     """
     if path.endswith(".gz"):
         raise ValueError("offsets of a compressed collection cannot be looked up")
-    pairs = spark.sparkContext.newAPIHadoopFile(
-        path, "org.apache.hadoop.mapreduce.lib.input.TextInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text"
-    )
-    return spark.createDataFrame(pairs, "docno bigint, line string")
+    size = (F.octet_length("value") + 1).cast("bigint")
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("line"), size.alias("size"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    splits = rows.groupBy("file", "split").agg(F.sum("size").alias("total"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "split", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("begin"))
+    before = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumn("inside", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    return inside.join(splits, ["file", "split"]).select((F.col("begin") + F.col("inside")).alias("docno"), "line")
 
 
 def lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -53,10 +62,14 @@ def key_values(values: DataFrame, sep: str = "\t") -> DataFrame:
     return values.select(F.get(parts, F.lit(0)).alias("k"), F.get(parts, F.lit(1)).cast("int").alias("v"))
 
 
-def write_key_values(df: DataFrame, path: str, files: int | None = None) -> None:
-    """Text lines with the columns between tabs, replacing what was there; ``files`` fixes the number of part files."""
+def write_key_values(df: DataFrame, path: str, files: int | None = None, text: bool = True) -> None:
+    """Text lines with the columns between tabs, or a binary file (Parquet), replacing what was there; ``files`` fixes the number of part files."""
+    df = df.repartition(files) if files else df
+    if not text:
+        df.write.mode("overwrite").parquet(path)
+        return
     line = F.concat_ws("\t", *[F.col(c).cast("string") for c in df.columns]).alias("value")
-    (df.repartition(files) if files else df).select(line).write.mode("overwrite").text(path)
+    df.select(line).write.mode("overwrite").text(path)
 
 
 def write_sorted(df: DataFrame, path: str, key: str) -> None:
@@ -64,9 +77,9 @@ def write_sorted(df: DataFrame, path: str, key: str) -> None:
     df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
 
 
-def put_table(df: DataFrame, name: str) -> None:
-    """A managed table of keys and values, dropped first if it exists."""
-    df.write.mode("overwrite").saveAsTable(name)
+def put_table(df: DataFrame, name: str, key: str) -> None:
+    """A managed table of keys and values in order of keys, dropped first if it exists."""
+    df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").saveAsTable(name)
 
 
 def get_key(spark: SparkSession, name: str, key: str, value: str) -> DataFrame:
@@ -75,7 +88,8 @@ def get_key(spark: SparkSession, name: str, key: str, value: str) -> DataFrame:
 
 
 def random_key_values(spark: SparkSession, rows: int, key_length: int = 1, value_range: int = 2**31 - 1, seed: int = 0, tasks: int = 10) -> DataFrame:
-    """``rows`` rows of (k, v): k of ASCII letters, v in [0, value_range)."""
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-    pick = [F.substring(F.lit(letters), (F.floor(F.rand(seed + i) * 52) + 1).cast("int"), F.lit(1)) for i in range(1, key_length + 1)]
-    return spark.range(0, rows, 1, tasks).select(F.concat(*pick).alias("k"), F.floor(F.rand(seed) * value_range).cast("int").alias("v"))
+    """``rows`` rows of (k, v): k of ASCII letters, v in [0, value_range). A row depends on the seed and its number alone."""
+    letters = F.lit(LETTERS)
+    draw = lambda place: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{place}:"), F.col("id").cast("string"))), 1, 12), 16, 10).cast("bigint")
+    pick = [F.substr(letters, (draw(place) % len(LETTERS) + 1).cast("int"), F.lit(1)) for place in range(1, key_length + 1)]
+    return spark.range(0, rows, 1, tasks).select(F.concat(*pick).alias("k"), (draw(0) % value_range).cast("int").alias("v"))

@@ -6,35 +6,66 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.plans.lineage import fresh_path
 
 
-def hourly_count(events: DataFrame, ts: str = "ts", width: str = "60 minutes") -> DataFrame:
-    """(window_start, cnt); the same plan serves a batch and a stream."""
+def hourly_count(events: DataFrame, ts: str = "ts", width: str = "60 minutes", delay: str | None = None) -> DataFrame:
+    """(window_start, cnt); the same plan serves a batch and a stream.
+
+    With ``delay`` a stream forgets windows that ended so long before the latest event; events that come later still are dropped.
+    Without it, state grows with the number of windows.
+    """
+    kind = events.schema[ts].dataType
+    if delay:  # watermarks know timestamps with a zone alone
+        events = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
     counted = events.groupBy(F.window(ts, width).alias("w")).agg(F.count("*").alias("cnt"))
-    return counted.select(F.col("w.start").alias("window_start"), "cnt")
+    return counted.select(F.col("w.start").cast(kind).alias("window_start"), "cnt")
 
 
-def stream_of(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
+def stream_of(spark: SparkSession, path: str, files_per_trigger: int = 1, schema: StructType | None = None) -> DataFrame:
     """Parquet files as a stream, a few at a time, in order of arrival."""
-    schema = spark.read.parquet(path).schema
+    schema = schema or spark.read.parquet(path).schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def run_available(counts: DataFrame, label: str = "stream") -> DataFrame:
-    """Runs a streaming aggregate over what is there, then stops; returns its final state.
+def run_available(counts: DataFrame, label: str = "stream", location: str | None = None, keys: tuple[str, ...] = ("window_start",)) -> DataFrame:
+    """Runs a streaming aggregate over what is there, then stops; returns its state: the columns, and the batch of the last change.
 
-    Update mode hands over only the windows that a batch touched; the last batch that touched a window has its final count.
-    Batches and state live in the shared folder, so a restart goes on where it stopped.
+    Update mode hands over only the rows that a batch touched; the last batch that touched a row has its final value.
+    Batches and state live in ``location``. With the same location a later run goes on where the last one stopped and reads
+    new files alone; without one they go to a new place in the shared folder, and nothing is resumed.
     """
     spark = counts.sparkSession
-    out, state = fresh_path(spark, label), fresh_path(spark, f"{label}-state")
+    location = location or fresh_path(spark, label)
+    out, state = f"{location}/batches", f"{location}/state"
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{out}/n={number}")
 
     query = counts.writeStream.outputMode("update").queryName(f"{label}-{uuid.uuid4().hex[:8]}").option("checkpointLocation", state).foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
-    rows = spark.read.option("recursiveFileLookup", "true").parquet(out)
-    return rows.groupBy("window_start").agg(F.max_by("cnt", "batch").alias("cnt"))
+    rows = spark.read.schema(StructType([*counts.schema.fields, StructField("batch", LongType())])).option("recursiveFileLookup", "true").parquet(out)
+    values = [c for c in counts.columns if c not in keys]
+    return rows.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in values], F.max("batch").alias("batch"))
+
+
+def batch_counts(stream: DataFrame, label: str = "batches", location: str | None = None, ts: str = "ts") -> DataFrame:
+    """(batch, cnt, first_ts) of the completed batches of a stream, in order of arrival; their number is that of the rows."""
+    spark = stream.sparkSession
+    location = location or fresh_path(spark, label)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.agg(F.lit(number).cast("bigint").alias("batch"), F.count("*").alias("cnt"), F.min(ts).alias("first_ts")).write.mode("overwrite").parquet(f"{location}/counts/n={number}")
+
+    query = stream.writeStream.queryName(f"{label}-{uuid.uuid4().hex[:8]}").option("checkpointLocation", f"{location}/state").foreachBatch(keep).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(StructType([StructField("batch", LongType()), StructField("cnt", LongType()), StructField("first_ts", stream.schema[ts].dataType)])).option("recursiveFileLookup", "true").parquet(f"{location}/counts").select("batch", "cnt", "first_ts")
+
+
+def arrive(events: DataFrame, path: str, every: str = "week", ts: str = "ts") -> None:
+    """Writes events as files that arrive one after the other, one for each ``every`` of event time."""
+    part = events.withColumn("__part", F.date_trunc(every, ts))
+    for (when,) in sorted(part.select("__part").distinct().collect()):
+        part.where(F.col("__part") == when).drop("__part").coalesce(1).write.mode("append").parquet(path)
