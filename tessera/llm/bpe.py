@@ -2,8 +2,10 @@
 
 A byte-level BPE without normaliser cuts a text by a regular expression first and merges inside the cuts only. A blank after
 a character that is no white space always begins a new cut, and what the expression finds after a cut does not depend on what
-is before it. So the ids of a text are the ids of its blank-led words in turn, and a word need be encoded once per worker. The
-ids are those of the library for the file; tests hold them against it. Files of another kind go to their library directly.
+is before it. So the ids of a text are the ids of its blank-led words in turn, and a word need be encoded once per worker. Words
+of more than LONG_WORD characters (runs of white space, data without blanks) go to the file's library one by one: the fast
+encoder's expressions are not made for them, and they aren't remembered. The ids are those of the library for the file;
+tests hold them against it. Files of another kind go to their library directly.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words that a worker remembers at most; at that number it begins anew.
 MEMO_WORDS = 120_000
+#: Characters of a word that the fast encoder takes.
+LONG_WORD = 1_000
 #: The public split expression of byte-level BPE.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BLANK_AFTER_SPACE = re.compile(r"\s ")
@@ -81,23 +85,28 @@ class ByteLevel(Library):
     def _words(self, text: str) -> list[str]:
         return _CUT.split(text) if _BLANK_AFTER_SPACE.search(text) else text.split(" ")
 
+    def _word(self, word: str) -> bytes:
+        return array("I", self.word_ids(word) if len(word) <= LONG_WORD else self.own.encode(word, add_special_tokens=False).ids).tobytes()
+
     def _plain(self, text: str) -> bytes:
         words, memo = self._words(text), self.memo
         if len(memo) > MEMO_WORDS:
             memo.clear()
         first, rest = words[0], words[1:]
+        long = {}
         for w in set(rest).difference(memo):
-            memo[w] = array("I", self.word_ids(" " + w)).tobytes()
-        return array("I", self.word_ids(first)).tobytes() + b"".join(map(memo.__getitem__, rest))
+            (memo if len(w) < LONG_WORD else long)[w] = self._word(" " + w)
+        return self._word(first) + b"".join(map(memo.__getitem__, rest) if not long else (long.get(w) or memo[w] for w in rest))
 
     def _plain_count(self, text: str) -> int:
         words, sizes = self._words(text), self.sizes
         if len(sizes) > MEMO_WORDS:
             sizes.clear()
         first, rest = words[0], words[1:]
+        long = {}
         for w in set(rest).difference(sizes):
-            sizes[w] = len(self.word_ids(" " + w))
-        return len(self.word_ids(first)) + sum(map(sizes.__getitem__, rest))
+            (sizes if len(w) < LONG_WORD else long)[w] = len(self._word(" " + w)) // 4
+        return len(self._word(first)) // 4 + sum(map(sizes.__getitem__, rest) if not long else (long.get(w) or sizes[w] for w in rest))
 
     def encode(self, text: str) -> bytes:
         if self.special is None or not self.special.search(text):

@@ -2,8 +2,13 @@
 
 Events have conv_id, seq, turn, op, role, text. By op: ``message`` sets the text of its turn, ``delta`` appends to it, ``edit``
 replaces it, ``regenerate`` replaces it and discards the later turns that were logged before. A null or unknown op counts as
-message; a null text is empty, a null role too. Null conversation ids form a conversation. Events with the same seq apply in
-order of op and text, so the result does not depend on the order of rows; an empty log gives no rows.
+message; a null text is empty, a null role too. Null conversation ids form a conversation, null turns a turn before all others.
+
+A log may deliver an event more than once, and seq tells events of a turn apart: of several with one turn and seq a single one
+applies, the strongest op (regenerate, edit, message, delta), then the greatest text, then the greatest role. So a replayed delta
+is appended once, and the result does not depend on the order of rows. A null seq counts as earlier than every other. Deltas before
+the last message, edit or regeneration of their turn are overwritten by it; deltas without one begin from an empty text. The role of a turn
+is that of its last event that has one. An empty log gives no rows; long conversations and texts are taken whole.
 
 Everything is a window, an aggregate or a string function: no Python runs on executors.
 """
@@ -17,6 +22,8 @@ START, SEP, END = "<|start|>", "<|sep|>", "<|end|>"
 #: No control string can survive in a text: all begin with one of these. Each escape begins with a backslash and every
 #: backslash is escaped, so undoing them in the opposite order gives back the text.
 ESCAPES = (("\\", "\\e"), ("<", "\\l"), ("[", "\\b"))
+#: Ops, the strongest last.
+STRENGTH = ("delta", "message", "edit", "regenerate")
 
 
 def escape(text: Column) -> Column:
@@ -33,14 +40,17 @@ def unescape(text: Column) -> Column:
 
 def fold_events(events: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text): the final messages."""
-    e = events.select("conv_id", "seq", "turn", F.when(F.col("op").isin("delta", "edit", "regenerate"), F.col("op")).otherwise("message").alias("op"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    op = F.when(F.col("op").isin(*STRENGTH), F.col("op")).otherwise("message")
+    strength = F.array_position(F.array(*map(F.lit, STRENGTH)), op)
+    seq = F.coalesce(F.col("seq").cast("bigint"), F.lit(-(2**63)))
+    e = events.select("conv_id", "turn", seq.alias("seq"), F.struct(strength.alias("strength"), F.coalesce("text", F.lit("")).alias("text"), "role", op.alias("op")).alias("event"))
+    e = e.groupBy("conv_id", "turn", "seq").agg(F.max("event").alias("event")).select("conv_id", "turn", "seq", "event.op", "event.role", "event.text")
     turn = Window.partitionBy("conv_id", "turn")
     earlier = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    e = e.withColumn("gone", F.max(F.when(F.col("op") == "regenerate", F.col("seq"))).over(earlier))
+    e = e.withColumn("gone", F.when(F.col("turn").isNotNull(), F.max(F.when(F.col("op") == "regenerate", F.col("seq"))).over(earlier)))
     e = e.withColumn("begin", F.max(F.when(F.col("op") != "delta", F.col("seq"))).over(turn))
     kept = e.where("(gone is null or seq > gone) and (begin is null or seq >= begin)")
-    part = F.struct("seq", (F.col("op") == "delta").alias("late"), "op", "text", "role")
-    turns = kept.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.max_by("role", F.when(F.col("role").isNotNull(), F.col("seq"))).alias("role"))
+    turns = kept.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("parts"), F.max_by("role", F.when(F.col("role").isNotNull(), F.col("seq"))).alias("role"))
     return turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.array_join(F.col("parts.text"), "").alias("text"))
 
 

@@ -9,9 +9,10 @@ one hash of the sketch, whatever its own length; an item with n shingles needs k
 that reach that number are candidates, and candidates are verified by exact containment of the shingles as text. Nothing is
 missed or guessed: hashes only choose what to verify.
 
-The benchmark's sketches are broadcast if their counted rows allow it, and so are the ids of candidates; else both joins
-shuffle. Null or empty texts have no shingles and never match; rows with one doc_id count as one document; an item without
-words matches nothing. No Python runs on executors.
+The benchmark's sketches are broadcast if their counted rows and bytes allow it, and so are the ids of candidates; else both joins
+shuffle. Each text is cut into words once, whatever the number of item lengths below five. Null or empty texts have no
+shingles and never match; in ``leaks`` rows with one doc_id count as one document, ``without_leaks`` judges rows by id and text.
+An item without words matches nothing; an empty table gives no rows, an empty benchmark no leak. No Python runs on executors.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import broadcast_if_small
+from tessera.llm.common import broadcast_if_small, row_key, weigh
 from tessera.plans.lineage import written
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -38,13 +39,16 @@ def shingle_texts(w: Column, size: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(w, i, size), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def _runs(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, hash, shingle) of all runs of ``size`` words ``w``, from zipped slices and plain columns: all is generated code."""
-    n = F.greatest(F.size("w") - (size - 1), F.lit(0))
-    names = [f"w{i}" for i in range(size)]
-    zipped = F.arrays_zip(*[F.slice("w", F.lit(i + 1), n).alias(name) for i, name in enumerate(names)])
-    hashed = F.xxhash64(*[F.xxhash64(name) for name in names])
-    return docs.select("doc_id", F.inline(zipped)).select("doc_id", hashed.alias("hash"), F.concat_ws(" ", *names).alias("shingle"))
+def _runs(docs: DataFrame, sizes: list[int], what: str) -> DataFrame:
+    """(doc_id, size, hash or shingle) of all runs of words ``w`` of each size, from zipped slices and plain columns: all is generated code."""
+    names = [f"w{i}" for i in range(max(sizes))]
+    zipped = F.arrays_zip(*[F.slice("w", F.lit(i + 1), F.size("w")).alias(name) for i, name in enumerate(names)])
+    value = {"hash": lambda own: F.xxhash64(*[F.xxhash64(name) for name in own]), "shingle": lambda own: F.concat_ws(" ", *own)}[what]
+    at = docs.select("doc_id", F.inline(zipped))
+    if len(sizes) == 1:
+        return at.where(F.col(names[-1]).isNotNull()).select("doc_id", F.lit(sizes[0]).alias("size"), value(names).alias(what))
+    each = F.array(*[F.struct(F.lit(k).alias("size"), F.when(F.col(names[k - 1]).isNotNull(), value(names[:k])).alias(what)) for k in sizes])
+    return at.select("doc_id", F.inline(each)).where(F.col(what).isNotNull())
 
 
 def item_shingles(items: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -72,37 +76,27 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, shing
     """(doc_id, item_id, n_shared, n_shingles, containment) of every document and item with containment >= threshold."""
     docs = docs.select(docs["doc_id"], docs["text"])
     of_items = written(item_shingles(items.select(items["item_id"], items["text"]), shingle), "items")
-    known = of_items.agg(F.collect_set("size"), F.count("*")).first()
-    sizes, item_rows = sorted(known[0]), known[1]
-    of_items_small = lambda df: broadcast_if_small(df, item_rows)
+    sizes, weight = sorted(of_items.agg(F.collect_set("size")).first()[0]), weigh(of_items)
+    if not sizes:
+        nothing = docs.select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"))
+        return nothing.select("doc_id", "item_id", *[F.lit(0).cast("bigint").alias(c) for c in ("n_shared", "n_shingles")], F.lit(0.0).alias("containment")).where("false")
 
     worded = docs.select("doc_id", words(F.col("text")).alias("w"))
-    found = None
-    for size in sizes:
-        runs = _runs(worded, size).select("doc_id", "hash")
-        part = sketches(of_items.where(F.col("size") == size), threshold).select("item_id", "need", "hash")
-        hits = runs.join(of_items_small(part), "hash").groupBy("doc_id", "item_id", "need", "hash").agg(F.lit(1).alias("one"))
-        hits = hits.groupBy("doc_id", "item_id", "need").count().where("count >= need").select("doc_id", "item_id")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = docs.select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id")).where("false")
-    candidates = written(found, "candidates")
-    ids = candidates.select("doc_id").distinct()
-    near = docs.join(broadcast_if_small(ids, candidates.count()), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("doc_id", words(F.col("text")).alias("w"))
-    exact = None
-    for size in sizes:
-        s = _runs(near, size).select("doc_id", "shingle")
-        part = of_items.where(F.col("size") == size).select("item_id", "n", "shingle")
-        pairs = s.join(of_items_small(part), "shingle").select("doc_id", "item_id", "n", "shingle").distinct()
-        exact = pairs if exact is None else exact.unionByName(pairs)
-    if exact is None:
-        exact = candidates.select("doc_id", "item_id", F.lit(0).cast("bigint").alias("n"), F.lit("").alias("shingle")).where("false")
-    shared = exact.groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("n_shared"))
+    wanted = broadcast_if_small(sketches(of_items, threshold), weight)
+    hits = _runs(worded, sizes, "hash").join(wanted, ["size", "hash"]).groupBy("doc_id", "item_id", "need", "hash").agg(F.lit(1).alias("one"))
+    candidates = written(hits.groupBy("doc_id", "item_id", "need").count().where("count >= need").select("doc_id", "item_id"), "candidates")
+    ids = written(candidates.select("doc_id").distinct(), "candidate-ids")
+    near = docs.join(broadcast_if_small(ids, weigh(ids)), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("doc_id", words(F.col("text")).alias("w"))
+    part = broadcast_if_small(of_items.select("item_id", "size", "n", "shingle"), weight)
+    pairs = _runs(near, sizes, "shingle").join(part, ["size", "shingle"]).select("doc_id", "item_id", "n", "shingle").distinct()
+    shared = pairs.groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("n_shared"))
     kept = shared.where(F.col("n_shared") >= F.col("n") * threshold - 1e-9)
     return kept.select("doc_id", "item_id", "n_shared", F.col("n").alias("n_shingles"), (F.col("n_shared") / F.col("n")).alias("containment"))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that hold no item, all columns as they are."""
-    found = written(leaks(docs, items, threshold).select("doc_id").distinct(), "leaking")
-    return docs.join(broadcast_if_small(found, found.count()), docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    """The rows that hold no item, all columns as they are; of rows that share an id only those go whose own text leaks."""
+    key = row_key(docs["doc_id"], docs["text"])
+    rows = docs.select(F.struct(docs["doc_id"].alias("id"), key.alias("key")).alias("doc_id"), docs["text"].alias("text"))
+    found = written(leaks(rows, items, threshold).select("doc_id.id", "doc_id.key").distinct(), "leaking")
+    return docs.join(broadcast_if_small(found, weigh(found)), docs["doc_id"].eqNullSafe(found["id"]) & (key == found["key"]), "left_anti")

@@ -8,14 +8,22 @@ continuation counts go on to a second, much smaller shuffle by the word's own bi
 follows the input, so a shard stays small at any size; a file is written under a passing name and renamed, so a repeated
 task leaves the same file. The driver sees a few sums.
 
-Scoring reads each text once. Workers map the files into memory and look pairs up in sorted order; no worker loads the model.
-The shared folder must be one that executors can map (a mounted path); another kind raises ValueError.
+Hot contexts (the begin of a text, and words that make up HOT_SHARE of the tokens in every HOT_SAMPLE-th text by hash, HOT at
+most) follow neither their own bits nor one shard: their pairs are dealt by a hash of both words over all shards, and their totals
+are sums over shards. Which contexts are hot decides how work is dealt, never a count.
+
+Scoring reads each text once. Workers map the files into memory and look pairs up in sorted order; no worker loads the model. Where
+the shared folder is no mounted path they fetch the files they need and hold a few.
+
+The order is two: each distinct triple of a chunk would add about 24 bytes to what is shuffled and 9 to what is kept, which on text is
+over three times the input besides what pairs take.
 
     p(w | v) = max(c(vw) - D(c), 0) / c(v.) + g(v) p(w)      p(w) = max(n(.w) - D'(n), 0) / n(..) + g' / (V + 1)
 
 with three discounts each; an unseen context leaves p(w), an unseen word the last term. Texts are lower-cased in A-Z; words are
 runs outside x20 and x09-x0D; each text ends with one end token. Null and empty texts are the end token alone; a null id counts
-as held in; an empty table gives no rows, an empty learning share a uniform model.
+as held in; rows that share an id or are repeated are counted and scored one by one. An empty table gives no rows, an empty
+learning share a uniform model. Very long texts are taken whole. Counts have 64 bits.
 """
 
 from __future__ import annotations
@@ -36,6 +44,8 @@ from tessera.plans.lineage import written
 FOLDS, HELD_OUT = 7, 2
 #: Pairs that a counting task holds at most; bytes of text for each shard; words that a worker remembers.
 CHUNK, SHARD_BYTES, MEMO_WORDS = 4_000_000, 12_000_000, 400_000
+#: See the head of this module.
+HOT, HOT_SHARE, HOT_SAMPLE = 256, 1 / 1024, 64
 BEGIN, END = np.uint64(0x0B0E0717), np.uint64(0xE0D0E0D0E0D)
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -57,11 +67,32 @@ def token_hashes(text: bytes) -> np.ndarray:
     return np.append(np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words)), END)
 
 
-def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Keeps the leading 24 bits of ``v``, so that pairs are in order of their shards; the other 40 mix both words."""
+def is_hot(v: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which of ``v`` are among the sorted ``hot``."""
+    return hot[np.minimum(np.searchsorted(hot, v), len(hot) - 1)] == v
+
+
+def pair_hash(v: np.ndarray, w: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Keeps the leading 24 bits of ``v``, so that pairs are in order of their shards, if it isn't one of ``hot``; the rest mixes both words."""
     x = (v ^ (w * _MIX1)) * _MIX2
     x = (x ^ (x >> np.uint64(29))) * _MIX1
-    return (v & np.uint64(0xFFFFFF0000000000)) | (x >> np.uint64(24))
+    x ^= x >> np.uint64(32)
+    return np.where(is_hot(v, hot), x, (v & np.uint64(0xFFFFFF0000000000)) | (x >> np.uint64(24)))
+
+
+def hot_contexts(docs: DataFrame) -> np.ndarray:
+    """Contexts that are dealt over all shards."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen, n = np.unique(np.concatenate([*map(token_hashes, b.column("text").to_pylist()), np.empty(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(n, pa.int64())], ["v", "n"])
+
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(HOT_SAMPLE)) == 0).select("text").mapInArrow(tidy(count), "v bigint, n bigint")
+    counts = written(some.groupBy("v").agg(F.sum("n").alias("n")), "sampled-words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.where(F.col("n") >= total * HOT_SHARE).orderBy(F.desc("n"), "v").limit(HOT).collect()
+    return np.unique(np.array([int(BEGIN), *(r["v"] % (1 << 64) for r in found)], dtype=np.uint64))
 
 
 def contexts_of(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -130,8 +161,9 @@ def train(docs: DataFrame) -> dict:
     spark = docs.sparkSession
     folder = shared_folder(spark, "kneser-ney")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = int(np.clip(np.ceil(np.log2(max(size, 1) / SHARD_BYTES)), 2, 20))
+    bits = int(np.clip(np.ceil(np.log2(max(size, 1) / SHARD_BYTES)), 2, 24))
     shift = np.uint64(64 - bits)
+    hot = hot_contexts(docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -139,11 +171,11 @@ def train(docs: DataFrame) -> dict:
         def out() -> pa.RecordBatch:
             w = np.concatenate(held)
             v = contexts_of(w, np.cumsum([len(x) for x in held]))
-            h, first, n = np.unique(pair_hash(v, w), return_index=True, return_counts=True)
-            v, w = v[first], w[first]
-            order = np.argsort(v, kind="stable")
-            v, w, n = v[order], w[order], n[order]
-            shards, at = np.unique(v >> shift, return_index=True)
+            h, first, n = np.unique(pair_hash(v, w, hot), return_index=True, return_counts=True)
+            h, v, w = h >> shift, v[first], w[first]
+            order = np.lexsort((v, h))
+            h, v, w, n = h[order], v[order], w[order], n[order]
+            shards, at = np.unique(h, return_index=True)
             blocks = [_pack(v[i:j], w[i:j], n[i:j]) for i, j in zip(at, [*at[1:], len(v)], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int64)), pa.array(blocks, pa.binary())], ["shard", "block"])
 
@@ -160,43 +192,51 @@ def train(docs: DataFrame) -> dict:
     def merge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, blocks in _groups(batches):
             v, w, n = (np.concatenate(x) for x in zip(*map(_unpack, blocks), strict=True))
-            h = pair_hash(v, w)
+            h = pair_hash(v, w, hot)
             order = np.argsort(h, kind="stable")
             h, v, w, n = h[order], v[order], w[order], n[order]
             at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             h, v, w, n = h[at], v[at], w[at], np.add.reduceat(n, at)
             save(folder, f"pair-{s:07d}", h)
-            save(folder, f"count-{s:07d}", n.astype(np.uint32))
-            seen, inverse = np.unique(v, return_inverse=True)
-            stats = np.stack([np.bincount(inverse, x, len(seen)) for x in (n, n == 1, n == 2, n > 2)]).astype(np.int64)
-            save(folder, f"context-{s:07d}", seen)
-            save(folder, f"stats-{s:07d}", stats)
+            save(folder, f"count-{s:07d}", n.astype(np.uint32) if n.max() < 1 << 32 else n)
+            order = np.argsort(v, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], v[order][1:] != v[order][:-1]]))
+            seen = v[order][first]
+            stats = np.stack([np.add.reduceat(x[order].astype(np.int64), first) for x in (n, n == 1, n == 2, n > 2)])
+            part = is_hot(seen, hot)
+            save(folder, f"context-{s:07d}", seen[~part])
+            save(folder, f"stats-{s:07d}", stats[:, ~part])
             (words,), c = _summed((w,), n)
             types = _summed((w,), np.ones(len(w), dtype=np.int64))[1]
             to, first = np.unique(words >> shift, return_index=True)
             ends = [*first[1:], len(words)]
-            blocks = [np.int64(j - i).tobytes() + words[i:j].tobytes() + c[i:j].tobytes() + types[i:j].astype(np.int32).tobytes() for i, j in zip(first, ends, strict=True)]
-            ones = _sums(n) + [len(n), int(n.sum())]
-            yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int64)), pa.array(blocks, pa.binary()), pa.array([ones] + [None] * (len(to) - 1), pa.list_(pa.int64()))], ["shard", "block", "sums"])
+            blocks = [np.int64(j - i).tobytes() + words[i:j].tobytes() + c[i:j].tobytes() + types[i:j].tobytes() for i, j in zip(first, ends, strict=True)]
+            rows = [(t, block, None, None) for t, block in zip(to.tolist(), blocks, strict=True)]
+            rows += [(None, None, c, x) for c, x in zip(seen[part].view(np.int64).tolist(), stats[:, part].T.tolist(), strict=True)]
+            rows.append((None, None, None, _sums(n) + [len(n), int(n.sum())]))
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["shard", "block", "context", "sums"])
 
     def merge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, blocks in _groups(batches):
             parts = []
             for b in blocks:
                 k = int(np.frombuffer(b, np.int64, 1)[0])
-                parts.append((np.frombuffer(b, np.uint64, k, 8), np.frombuffer(b, np.int64, k, 8 + 8 * k), np.frombuffer(b, np.int32, k, 8 + 16 * k)))
+                parts.append((np.frombuffer(b, np.uint64, k, 8), np.frombuffer(b, np.int64, k, 8 + 8 * k), np.frombuffer(b, np.int64, k, 8 + 16 * k)))
             w, c, t = (np.concatenate(x) for x in zip(*parts, strict=True))
             (words,), n = _summed((w,), c)
-            types = _summed((w,), t.astype(np.int64))[1]
+            types = _summed((w,), t)[1]
             save(folder, f"word-{s:07d}", words)
             save(folder, f"uses-{s:07d}", np.stack([n, types]))
             yield pa.RecordBatch.from_arrays([pa.array([_sums(types) + [len(words), 0]], pa.list_(pa.int64()))], ["sums"])
 
     dealt = docs.select("text").mapInArrow(tidy(count), "shard bigint, block binary").repartition("shard").sortWithinPartitions("shard")
-    pairs = written(dealt.mapInArrow(tidy(merge_pairs), "shard bigint, block binary, sums array<bigint>"), "word-blocks")
-    words = written(pairs.select("shard", "block").repartition("shard").sortWithinPartitions("shard").mapInArrow(tidy(merge_words), "sums array<bigint>"), "word-sums")
+    pairs = written(dealt.mapInArrow(tidy(merge_pairs), "shard bigint, block binary, context bigint, sums array<bigint>"), "word-blocks")
+    words = written(pairs.where("shard is not null").select("shard", "block").repartition("shard").sortWithinPartitions("shard").mapInArrow(tidy(merge_words), "sums array<bigint>"), "word-sums")
     total = lambda df: [x or 0 for x in df.agg(*[F.sum(F.get("sums", F.lit(i))) for i in range(6)]).first()]
-    return {"folder": folder, "bits": bits, "pairs": total(pairs.where("sums is not null")), "words": total(words)}
+    of_hot = pairs.where("context is not null").groupBy("context").agg(*[F.sum(F.get("sums", F.lit(i))) for i in range(4)]).collect()
+    stats = {r[0] % (1 << 64): list(r[1:]) for r in of_hot}
+    return {"folder": folder, "bits": bits, "pairs": total(pairs.where("sums is not null and context is null")), "words": total(words), "hot": [(h, *stats.get(h, [0] * 4)) for h in hot.tolist()]}
 
 
 def discounts(counts: list[int]) -> np.ndarray:
@@ -211,7 +251,9 @@ def discounts(counts: list[int]) -> np.ndarray:
 
 class Model:
     def __init__(self, spec: dict):
-        self.pairs, self.contexts, self.words = (Arrays(spec["folder"], k, v) for k, v in (("pair", "count"), ("context", "stats"), ("word", "uses")))
+        self.pairs, self.contexts, self.words = (Arrays(spec["folder"], spec["bits"], k, v) for k, v in (("pair", "count"), ("context", "stats"), ("word", "uses")))
+        self.hot = {h: stats for h, *stats in spec["hot"]}
+        self.hot_keys = np.array([*self.hot], dtype=np.uint64)
         self.d2, self.d1 = discounts(spec["pairs"]), discounts(spec["words"])
         self.types, self.tokens, self.vocabulary = spec["pairs"][4], spec["pairs"][5], spec["words"][4]
         n1, n2, n3 = spec["words"][0], spec["words"][1], spec["words"][4] - spec["words"][0] - spec["words"][1]
@@ -222,12 +264,14 @@ class Model:
         v = contexts_of(tokens, ends)
         seen, inverse = np.unique(np.append(tokens, BEGIN), return_inverse=True)
         uses, stats = self.words.get(seen, 2), self.contexts.get(seen, 4)
+        for i in np.flatnonzero(is_hot(seen, self.hot_keys)):
+            stats[:, i] = self.hot[int(seen[i])]
         low = np.maximum(uses[1] - self.d1[np.minimum(uses[1], 3)], 0) / max(self.types, 1) + self.rest / (self.vocabulary + 1)
         total = stats[0]
         back = np.where(total > 0, (self.d2[1:] @ stats[1:]) / np.maximum(total, 1), 1.0)
         word = inverse[:-1]
         before = np.searchsorted(seen, v)
-        h = pair_hash(v, tokens)
+        h = pair_hash(v, tokens, self.hot_keys)
         order = np.argsort(h)
         c = np.empty(len(h), dtype=np.int64)
         c[order] = self.pairs.get(h[order], 1)[0]

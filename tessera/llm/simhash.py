@@ -7,11 +7,11 @@ Two changed bits touch two blocks at most, so two fingerprints within the radius
 shards of its pairs of blocks. A shard of more than SHARD members is dealt out again in the same way by the bytes of its other
 two blocks; it then has 65,536 members at most.
 
-Within a shard a BK-tree keeps, for each group found so far, its members, children keyed by their integer distance to the
-parent; a search follows only the edges within the radius and stops at the first member of a group. Only links that join two
-groups leave the task, so a shard of m members gives m - 1 at most, and no link between groups is lost. The trees are built
-where their shard's rows meet instead of being broadcast: fingerprints grow with the documents, so no bound on a broadcast of
-all trees could be proven.
+Each shard has one BK-tree, children keyed by their integer distance to the parent. Every member searches the tree of those before it,
+following only the edges whose distance is within the radius of its own, and joins the groups of all it finds (union-find).
+Only links that join two groups leave the task, so a shard of m members gives m - 1 at most, and no link between groups is
+lost. The trees are built where their shard's rows meet instead of being broadcast: fingerprints grow with the documents,
+so no bound on a broadcast of all trees could be proven, and collecting them is ruled out.
 
 Near texts (five words, a similarity of 0.8 of the sets of distinct shingles) are found by the sets alone, without fingerprints:
 * A node is a distinct set of shingles. All sets are put in one order of shingles, those of common buckets last. Two sets of the
@@ -27,7 +27,11 @@ Groups are chains of near pairs; none is lost but by equal 64-bit hashes.
 
 Texts are lower-cased in A-Z; words are runs outside x20 and x09-x0D. A text with fewer words than a shingle is one shingle; one
 without words has fingerprint zero and no shingle, and all such are one node. Null texts are empty; null ids never become a
-component's id.
+component's id unless the whole component has none. Very long texts are hashed whole. An empty table gives no rows.
+
+Rows are told apart by id and text: of a group the row with the smallest id stays (null ids last, then the smaller hash of the
+row), rows that share its id but not its group are judged by themselves, and of equal rows one stays. Texts don't move for that:
+the keys of the rows that go are broadcast up to a fixed number, or looked up in sorted files beyond it.
 """
 
 from __future__ import annotations
@@ -41,7 +45,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents_of, tidy
+from tessera.llm.common import documents_of, row_key, salted_join, tidy
+from tessera.llm.mapped import among
 from tessera.operators.graph import components
 from tessera.plans.lineage import written
 
@@ -109,55 +114,57 @@ def block_shards(nodes: DataFrame, shard: int = SHARD) -> DataFrame:
 
 
 class BKTree:
-    """Children keyed by integer Hamming distance to the parent."""
+    """Children keyed by integer Hamming distance to the parent; ``calls`` counts the distances that were taken."""
 
-    def __init__(self, value: int):
-        self.root: tuple[int, dict] = (value, {})
+    def __init__(self):
+        self.values: list[int] = []
+        self.children: list[dict[int, int]] = []
+        self.calls = 0
 
     def add(self, value: int) -> None:
-        at, children = self.root
-        while True:
-            d = (at ^ value).bit_count()
-            if d not in children:
-                children[d] = (value, {})
-                return
-            at, children = children[d]
-
-    def near(self, value: int, radius: int) -> int | None:
-        """A member within the radius, if there is one."""
-        todo = [self.root]
+        at, number = 0, len(self.values)
+        self.values.append(value)
+        self.children.append({})
+        while at < number:
+            self.calls += 1
+            d = (self.values[at] ^ value).bit_count()
+            at = self.children[at].setdefault(d, number)
+
+    def near(self, value: int, radius: int) -> list[int]:
+        """The numbers of all members within the radius, by following edges within the radius of the distance to their parent."""
+        found, values, children = [], self.values, self.children
+        todo = [0] if values else []
         while todo:
-            at, children = todo.pop()
-            d = (at ^ value).bit_count()
+            at = todo.pop()
+            self.calls += 1
+            d = (values[at] ^ value).bit_count()
             if d <= radius:
-                return at
-            todo += [child for e, child in children.items() if d - radius <= e <= d + radius]
-        return None
+                found.append(at)
+            below = children[at]
+            if len(below) <= 2 * radius + 1:
+                todo += [child for e, child in below.items() if -radius <= e - d <= radius]
+            else:
+                todo += [below[e] for e in range(d - radius, d + radius + 1) if e in below]
+        return found
 
 
-def shard_links(members: list[int], radius: int) -> list[tuple[int, int]]:
+def shard_links(members: list[int], radius: int, tree: BKTree | None = None) -> list[tuple[int, int]]:
     """Links that join distinct fingerprints into the groups of all links within the radius."""
-    groups: list[tuple[BKTree, list[int]]] = []
+    tree = BKTree() if tree is None else tree
+    up = list(range(len(members)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
     links = []
-    for x in members:
-        hits, others = [], []
-        for group in groups:
-            near = group[0].near(x, radius)
-            (others if near is None else hits).append(group)
-            if near is not None:
-                links.append((x, near))
-        if not hits:
-            groups.append((BKTree(x), [x]))
-            continue
-        tree, own = max(hits, key=lambda g: len(g[1]))
-        for _, more in hits:
-            if more is not own:
-                own.extend(more)
-                for y in more:
-                    tree.add(y)
+    for i, x in enumerate(members):
+        for j in tree.near(x, radius):
+            if (a := root(i)) != (b := root(j)):
+                up[a] = b
+                links.append((x, members[j]))
         tree.add(x)
-        own.append(x)
-        groups = [*others, (tree, own)]
     return links
 
 
@@ -234,7 +241,7 @@ def commonness(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def text_sets(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(doc_id, fp, n, bits, first): the id of each text's set of shingles, their number, parities, and those that a near text may share first."""
+    """(doc_id, rk, fp, n, bits, first): each row's key, the id of its set of shingles, their number, parities, and those that a near text may share first."""
     common = commonness(docs, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,10 +254,10 @@ def text_sets(docs: DataFrame, size: int, similarity: float) -> DataFrame:
                 bits.append(parities(h))
                 kept = len(h) - int(np.ceil(similarity * len(h) - 1e-6)) + 1 if len(h) else 0
                 first.append(h[np.lexsort((h, common[_bucket(h)]))[:kept]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64()), pa.array(ns, pa.int32()), pa.array(bits, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "fp", "n", "bits", "first"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rk"), pa.array(fps, pa.int64()), pa.array(ns, pa.int32()), pa.array(bits, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "rk", "fp", "n", "bits", "first"])
 
-    d = documents_of(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
-    return d.mapInArrow(tidy(run), "doc_id bigint, fp bigint, n int, bits binary, first array<bigint>")
+    d = documents_of(docs).select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("rk"), F.col("text").cast("binary").alias("text"))
+    return d.mapInArrow(tidy(run), "doc_id bigint, rk bigint, fp bigint, n int, bits binary, first array<bigint>")
 
 
 def text_shards(nodes: DataFrame, similarity: float) -> DataFrame:
@@ -365,19 +372,18 @@ def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
 
 
 def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (src, dst) whose texts share enough of their distinct shingles; a node's text is its smallest document's.
+    """Those of ``pairs`` (src, dst) whose texts share enough of their distinct shingles; a node's text is that of its first row.
 
-    Only linked texts move, as sorted hashes; a pair needs both of its own in memory, nothing else.
+    Only sorted hashes of linked texts move; a pair needs both of its own in memory, nothing else.
     """
     pairs = written(pairs.distinct(), "pairs")
     ends = pairs.select(F.explode(F.array("src", "dst")).alias("fp")).distinct()
-    wanted = written(nodes.join(ends, "fp").select("fp", "least"), "linked")
+    wanted = nodes.join(ends, "fp").select(F.col("least.rk").alias("key"))
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held = [(fp, distinct_shingles(t, size)) for fp, t in zip(b.column("fp").to_pylist(), b.column("text").to_pylist(), strict=True)]
-            held = [(fp, h) for fp, h in held if set_id(h) == fp]  # another text may have the same id
-            yield pa.RecordBatch.from_arrays([pa.array([fp for fp, _ in held], pa.int64()), pa.array([h.tobytes() for _, h in held], pa.binary())], ["fp", "h"])
+            held = [distinct_shingles(t, size) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([set_id(h) for h in held], pa.int64()), pa.array([h.tobytes() for h in held], pa.binary())], ["fp", "h"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -389,32 +395,36 @@ def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, si
             yield b.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
     d = documents_of(docs)
-    texts = d.join(wanted, d["doc_id"] == wanted["least"]).select("fp", F.col("text").cast("binary").alias("text"))
-    sets = written(texts.mapInArrow(tidy(shingles), "fp bigint, h binary"), "shingles")
+    texts = among(d, row_key(d["doc_id"], d["text"]), wanted, "linked").select(F.col("text").cast("binary").alias("text"))
+    sets = written(texts.mapInArrow(tidy(shingles), "fp bigint, h binary").dropDuplicates(["fp"]), "shingles")
     both = pairs.join(sets.select(F.col("fp").alias("src"), F.col("h").alias("x")), "src").join(sets.select(F.col("fp").alias("dst"), F.col("h").alias("y")), "dst")
     return both.select("src", "dst", "x", "y").mapInArrow(tidy(compare), "src bigint, dst bigint")
 
 
-def _grouped(marked: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id): components of the linked fingerprints, named by their smallest document."""
+def _named(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(fp, first): for each node the first row of all nodes that the links reach."""
     linked = components(written(found.distinct(), "links")).select(F.col("id").alias("fp"), "comp")
     named = nodes.select("fp", "least").join(linked, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-    names = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    return marked.select("doc_id", "fp").join(named.select("fp", "comp").join(names, "comp").select("fp", "component_id"), "fp")
+    names = written(named.groupBy("comp").agg(F.min("least").alias("first")), "names")
+    return salted_join(named.select("fp", "comp"), names, ["comp"]).select("fp", "first")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id): the contract's fingerprints, linked at two or fewer differing bits."""
     marked = written(fingerprints(docs, size), "fingerprints")
     nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    grouped = _grouped(marked, nodes, links(block_shards(nodes), RADIUS))
-    return grouped.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = written(_named(nodes, links(block_shards(nodes), RADIUS)), "named")
+    return salted_join(marked, named, ["fp"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first").alias("component_id"))
 
 
 def near_text_groups(docs: DataFrame, size: int = TEXT_SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """(doc_id, fp, component_id) of near texts: chains of pairs whose sets of distinct shingles reach the similarity."""
+    """(doc_id, rk, component_id, first) of near texts: chains of pairs whose sets of distinct shingles reach the similarity.
+
+    rk is the row's key, component_id the smallest id of the group and ``first`` the key of the row that stands for it.
+    """
     marked = written(text_sets(docs, size, similarity), "sets")
-    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first(F.struct("n", "bits", "first")).alias("of")).select("fp", "least", "of.n", "of.bits", "of.first"), "nodes")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")).alias("least")
+    nodes = written(marked.groupBy("fp").agg(least, F.first(F.struct("n", "bits", "first")).alias("of")).select("fp", "least", "of.n", "of.bits", "of.first"), "nodes")
     shards = written(text_shards(nodes, similarity), "shards")
     pairs = shards.where("prev is not null").select(F.col("prev").alias("src"), F.col("fp").alias("dst")).distinct()
     found, limit = written(confirmed(docs, nodes, possible(pairs, nodes, similarity), size, similarity), "near"), FIRST
@@ -425,12 +435,21 @@ def near_text_groups(docs: DataFrame, size: int = TEXT_SHINGLE, similarity: floa
         if not some.isEmpty():
             found = found.unionByName(written(confirmed(docs, nodes, some, size, similarity), "near"))
         if pairs.where("src is null").isEmpty():
-            return _grouped(marked, nodes, found)
+            break
         limit *= GROWTH
+    named = written(_named(nodes, found).select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.rk").alias("first")), "named")
+    return salted_join(marked.select("doc_id", "rk", "fp"), named, ["fp"]).select("doc_id", "rk", "component_id", "first")
 
 
 def one_of_each_group(docs: DataFrame, size: int = TEXT_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents without further members of a group of near texts; the smallest id stays, all columns as they are."""
-    groups = near_text_groups(docs, size, similarity)
-    gone = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")), "copies")
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    """One row of each group of near texts, all columns as they are; see the head of this module for which."""
+    groups = written(near_text_groups(docs, size, similarity), "groups")
+    gone = groups.where("rk <> first").select(F.col("rk").alias("key")).distinct()
+    again = written(groups.where("rk = first").groupBy("rk").count().where("count > 1").select(F.col("rk").alias("key")), "again")
+    rest = among(docs, row_key(docs["doc_id"], docs["text"]), gone, "gone", without=True)
+    if again.isEmpty():
+        return rest
+    key = row_key(rest["doc_id"], rest["text"])
+    once = among(rest, key, again, "again-once").select(F.struct(*[rest[c] for c in rest.columns]).alias("row"), key.alias("key"))
+    once = once.groupBy("key").agg(F.first("row").alias("row")).select("row.*")
+    return among(rest, key, again, "again-not", without=True).unionByName(once)

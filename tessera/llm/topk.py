@@ -1,19 +1,25 @@
 """Exact top-k by inner product with bounds from segment statistics, coarse to fine.
 
-Vectors are packed into blocks of rows with, for each resolution (1, 2, 4, 8 segments), the mean and the deviation of each
-segment, scaled so that a bound on the score is one inner product of statistics: the product of two segments is at most
-the product of their means plus that of their deviations (a lower bound of the distance, turned round). A pair of a query block
-and a data block is bounded at the coarsest resolution; the rows with the best bounds give a first threshold by exact
-scores; each finer resolution drops rows below it, and the survivors get exact scores. Rows at the threshold stay, so ties are
-right.
-
-The stated query set meets all rows in blocks: every query block goes once to every data block, by an equi-join on the data
-block's number. A block has a fixed number of rows, so no task holds more than two blocks and their scores, whatever the
-table's size; each pair leaves k rows a query at most, and a window keeps the best of these. A heavily repeated vector costs
-as much as any other.
+Vectors are turned by an orthogonal rotation that is computed from all of them: the eigenvectors of their second moments, largest
+first, so that the leading coordinates hold most of what tells vectors apart. Turning changes no inner product. At a resolution of
+s segments the s - 1 leading coordinates are segments of their own and the rest is one; the product of two segments is at most the
+product of their means plus that of their deviations (a lower bound of the distance, turned round), so a bound on a score is
+one inner product of statistics.
+
+* Thresholds: each query meets one block of the data first; its k-th best score there is a bound from below for any result.
+* The stated query set meets all rows in blocks. A task has one data block, with its statistics, and a slice of the query
+  blocks, which are streamed past it: the pairs that the coarsest bound leaves go to the next resolution, the survivors get exact
+  scores. Rows at the threshold stay, so ties are right. What is sent grows as rows times queries over BLOCK, in the smallest
+  integer type that holds the components; a window keeps the best k of what the tasks find.
+* If a resolution drops little, the rest of the block is scored at once, which costs less than picking out rows.
+
+A heavily repeated vector costs as much as any other. Scores are exact integers; those beyond 64 bits are set to the nearest 64-bit
+number, by which they are then ranked. Components of 2^63 / 64 and more are cut likewise.
 
 Null vectors, and those with a null or non-finite component, take no part; nor do rows with a null id. Vectors of another
-length than the query's take no part in its search. Rows that share an id are candidates each, but never for their own id.
+length than the query's take no part in its search. Rows that share an id are candidates each, but never for their own id; repeated
+query ids are merged into one ranking of their candidates. Vectors of no component score 0. Empty tables give no rows. Long vectors
+are taken whole; beyond ROTATED components they aren't turned.
 """
 
 from __future__ import annotations
@@ -25,11 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches
+from tessera.llm.common import small_batches, tidy
 from tessera.plans.lineage import written
 
 K, EVERY, SCALE = 20, 20, 64
-BLOCK, QUERY_BLOCK, LEVELS = 8192, 512, (1, 2, 4, 8)
+#: Rows of a block of data and of queries; query blocks of a slice; segments of each resolution; components that are turned at most.
+BLOCK, QUERY_BLOCK, SLICE, LEVELS, ROTATED = 4096, 512, 16, (8, 16, 32), 1024
+#: Bytes of the first data blocks that are broadcast for thresholds; share of pairs up to which survivors are picked out one by one.
+FIRST_BYTES, FEW = 32 << 20, 0.05
 
 
 def quantized(embeddings: DataFrame) -> DataFrame:
@@ -40,84 +49,192 @@ def quantized(embeddings: DataFrame) -> DataFrame:
 
 
 def statistics(m: np.ndarray, segments: int) -> np.ndarray:
-    """Means and deviations of equal segments, scaled by the root of their length."""
-    parts = np.array_split(m, min(segments, m.shape[1]), axis=1)
-    out = []
-    for p in parts:
-        mean = p.mean(axis=1)
-        out += [mean * np.sqrt(p.shape[1]), np.sqrt(np.maximum((p * p).sum(axis=1) - p.shape[1] * mean * mean, 0))]
-    return np.stack(out, axis=1)
+    """The leading coordinates, then mean and deviation of the rest, scaled by the root of its length."""
+    lead = min(segments - 1, m.shape[1] - 1)
+    rest = m[:, lead:]
+    mean = rest.mean(axis=1)
+    deviation = np.sqrt(np.maximum((rest * rest).sum(axis=1) - rest.shape[1] * mean * mean, 0))
+    return np.column_stack([m[:, :lead], mean * np.sqrt(rest.shape[1]), deviation])
+
+
+_BLOCK = ["dim", "kind", "ids", "data"]
+
+
+def _most(x: np.ndarray) -> int:
+    """The largest absolute value, as a Python number."""
+    return max(-int(x.min(initial=0)), int(x.max(initial=0)))
+
+
+def _packed(ids: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
+    kind = next(k for k, bits in (("<i1", 7), ("<i2", 15), ("<i4", 31), ("<i8", 64)) if _most(data) < 1 << bits)
+    return pa.RecordBatch.from_arrays([pa.array([data.shape[1]], pa.int32()), pa.array([kind]), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([data.astype(kind).tobytes()], pa.binary())], _BLOCK)
+
+
+def _unpacked(dim: int, kind: str, ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(ids, "<i8")
+    return ids, np.frombuffer(data, kind).reshape(len(ids), dim).astype(np.int64)
 
 
 def blocks(vectors: DataFrame, rows: int) -> DataFrame:
-    """(block, dim, ids, data): vectors of one length packed as little-endian 64-bit integers, ``rows`` to a block at most."""
+    """(block, dim, kind, ids, data): vectors of one length packed as little-endian integers, ``rows`` to a block at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[int, list[tuple[int, list[int]]]] = {}
-
-        def out(dim: int, some: list[tuple[int, list[int]]]) -> pa.RecordBatch:
-            ids, data = np.array([i for i, _ in some], dtype="<i8"), np.array([q for _, q in some], dtype="<i8")
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())], ["dim", "ids", "data"])
-
+        pack = lambda some: _packed(np.array([i for i, _ in some], dtype=np.int64), np.array([q for _, q in some], dtype=np.int64).reshape(len(some), -1))
         for b in batches:
             for i, q in zip(b.column("vec_id").to_pylist(), b.column("q").to_pylist(), strict=True):
                 some = waiting.setdefault(len(q), [])
                 some.append((i, q))
                 if len(some) == rows:
-                    yield out(len(q), waiting.pop(len(q)))
-        for dim, some in waiting.items():
-            yield out(dim, some)
-
-    packed = vectors.mapInArrow(run, "dim int, ids binary, data binary")
-    return packed.select(F.monotonically_increasing_id().alias("block"), "dim", "ids", "data")
-
-
-def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vec, score) of the best k rows of this block for each query; ids of rows in any order."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order].astype(float)
-    q = q.astype(float)
-    out: tuple[list, list, list] = ([], [], [])
-    slack = 1e-6 * (1 + np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(q.shape[1], 1))
-    stats = [(statistics(q, s), statistics(x, s)) for s in LEVELS if s <= max(q.shape[1], 1)] if q.shape[1] else []
-    bound = stats[0][0] @ stats[0][1].T if stats else np.zeros((len(q), len(x)))
-    for i in range(len(q)):
-        other = ids != q_ids[i]
-        alive = np.flatnonzero(other)
-        if len(alive) > k:
-            best = alive[np.argpartition(-bound[i, alive], k - 1)[:k]]
-            least = np.partition(x[best] @ q[i], 0)[0]  # the k-th best of some k rows: no row below it is among the best k
-            alive = alive[bound[i, alive] + slack >= least]
-            for of_q, of_x in stats[1:]:
-                if len(alive) <= 4 * k:
-                    break
-                alive = alive[of_x[alive] @ of_q[i] + slack >= least]
-        score = np.rint(x[alive] @ q[i]).astype(np.int64)
-        top = np.lexsort((alive, -score))[:k]
-        out[0].append(np.full(len(top), q_ids[i]))
-        out[1].append(ids[alive[top]])
-        out[2].append(score[top])
-    return tuple(np.concatenate(o) if o else np.empty(0, dtype=np.int64) for o in out)
+                    yield pack(waiting.pop(len(q)))
+        for some in waiting.values():
+            yield pack(some)
+
+    dealt = vectors.repartition(max(1, -(-vectors.count() // rows)))  # full blocks, whatever the files are like
+    packed = dealt.mapInArrow(tidy(run), "dim int, kind string, ids binary, data binary")
+    return packed.select(F.monotonically_increasing_id().alias("block"), *_BLOCK)
+
+
+def rotations(data: DataFrame) -> dict[int, np.ndarray]:
+    """For the commonest lengths of vectors an orthogonal matrix, ROTATED^2 numbers in all; the driver sees sums of that size alone."""
+    lengths, room = [], ROTATED**2
+    for dim, _ in data.where(F.col("dim") > 0).groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(ROTATED).collect():
+        if dim * dim <= room:
+            lengths.append(dim)
+            room -= dim * dim
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in _BLOCK), strict=True):
+                x = _unpacked(*row)[1].astype(float)
+                total[row[0]] = total.get(row[0], 0) + x.T @ x
+        for dim, m in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([dim] * dim, pa.int32()), pa.array(range(dim), pa.int32()), pa.array([r.tobytes() for r in m], pa.binary())], ["dim", "at", "row"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            for dim, at, row in zip(*(b.column(c).to_pylist() for c in ("dim", "at", "row")), strict=True):
+                total[dim, at] = total.get((dim, at), 0) + np.frombuffer(row)
+        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in total], pa.int32()) for i in (0, 1)] + [pa.array([r.tobytes() for r in total.values()], pa.binary())], ["dim", "at", "row"])
+
+    sums = data.where(F.col("dim").isin(lengths) if lengths else F.lit(False)).mapInArrow(tidy(moments), "dim int, at int, row binary").repartition("dim", "at").mapInArrow(tidy(add), "dim int, at int, row binary").collect()
+    found: dict[int, np.ndarray] = {}
+    for r in sums:
+        found.setdefault(r["dim"], np.empty((r["dim"], r["dim"])))[r["at"]] = np.frombuffer(r["row"])
+    return {dim: np.linalg.eigh(m)[1][:, ::-1] for dim, m in found.items() if np.isfinite(m).all()}
+
+
+class DataBlock:
+    """Rows in order of their ids, turned, with the statistics of each resolution; ``bounded`` and ``exact`` count pairs."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, turn: np.ndarray | None):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.x, self.turn = ids[order], x[order], turn
+        self.levels = [s for s in LEVELS if s < x.shape[1]]
+        turned = self._turned(self.x)
+        self.statistics = [statistics(turned, s) for s in self.levels]
+        self.plain, self.most = self.x.astype(float), _most(self.x)
+        self.bounded = self.exact = 0
+
+    def _turned(self, x: np.ndarray) -> np.ndarray:
+        return x.astype(float) if self.turn is None else x.astype(float) @ self.turn
+
+    def scores(self, q: np.ndarray, i: np.ndarray, j: np.ndarray, fits: bool) -> np.ndarray:
+        """Exact scores of pairs of rows, cut to 64 bits."""
+        self.exact += len(i)
+        if fits:
+            return np.concatenate([np.rint(np.einsum("ij,ij->i", q[i[a : a + 65_536]].astype(float), self.plain[j[a : a + 65_536]])).astype(np.int64) for a in range(0, len(i), 65_536)] or [np.empty(0, np.int64)])
+        low, high = -(2**63), 2**63 - 1
+        return np.array([min(max(sum(a * b for a, b in zip(q[m].tolist(), self.x[n].tolist(), strict=True)), low), high) for m, n in zip(i, j, strict=True)], dtype=np.int64)
+
+    def search(self, q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, vec, score) of the best k rows of this block for each query, those below ``least`` left out."""
+        scale = float(_most(q)) * float(self.most) * max(q.shape[1], 1)
+        fits = scale < 2**53
+        slack = 1e-9 * scale + 1e-6
+        may = q_ids[:, None] != self.ids[None, :]
+        self.bounded += may.size
+        i = j = None
+        turned = self._turned(q)
+        for s, of_x in zip(self.levels, self.statistics, strict=True):
+            of_q = statistics(turned, s)
+            if i is None:
+                may &= of_q @ of_x.T + slack >= least[:, None]
+                if may.mean() <= FEW:
+                    i, j = np.nonzero(may)
+            else:
+                ok = np.einsum("ij,ij->i", of_q[i], of_x[j]) + slack >= least[i]
+                i, j = i[ok], j[ok]
+        if i is None and fits:
+            whole = np.rint(q.astype(float) @ self.plain.T).astype(np.int64)
+            self.exact += int(may.sum())
+            i, j = np.nonzero(may & (whole >= least[:, None]))
+            score = whole[i, j]
+        else:
+            i, j = np.nonzero(may) if i is None else (i, j)
+            score = self.scores(q, i, j, fits)
+            ok = score >= least[i]
+            i, j, score = i[ok], j[ok], score[ok]
+        order = np.lexsort((j, ~score, i))  # ~score turns the order round without overflow
+        i, j, score = i[order], j[order], score[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        best = place < k
+        return q_ids[i[best]], self.ids[j[best]], score[best]
+
+
+def thresholds(data: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The query blocks with, for each query, its k-th best score within one data block of its length (the lowest number if there are fewer)."""
+    first = written(data.where(F.col("block").isin(lowest) if (lowest := [r[0] for r in data.groupBy("dim").agg(F.min("block")).limit(1000).collect()]) else F.lit(False)), "first-blocks")
+    size = first.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    found = first.select("dim", F.col("kind").alias("x_kind"), F.col("ids").alias("x_ids"), F.col("data").alias("x_data"))
+    both = asked.join(F.broadcast(found if size <= FIRST_BYTES else found.where("false")), "dim", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[bytes, DataBlock] | None = None
+        for b in batches:
+            for block, dim, kind, ids, data, x_kind, x_ids, x_data in zip(*(b.column(c).to_pylist() for c in ("block", *_BLOCK, "x_kind", "x_ids", "x_data")), strict=True):
+                q_ids, q = _unpacked(dim, kind, ids, data)
+                least = np.full(len(q_ids), -(2**63), dtype=np.int64)
+                if x_ids is not None:
+                    if held is None or held[0] != x_ids:
+                        held = x_ids, DataBlock(*_unpacked(dim, x_kind, x_ids, x_data), None)
+                    who, _, score = held[1].search(q_ids, q, least, k)
+                    order = np.argsort(who, kind="stable")
+                    who, score = who[order], score[order]
+                    names, at, n = np.unique(who, return_index=True, return_counts=True)
+                    lowest = {w: score[a : a + c].min() for w, a, c in zip(names.tolist(), at, n, strict=True) if c == k}
+                    least = np.array([lowest.get(w, -(2**63)) for w in q_ids.tolist()], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([dim], pa.int32()), pa.array([kind]), pa.array([ids], pa.binary()), pa.array([data], pa.binary()), pa.array([least.astype("<i8").tobytes()], pa.binary())], ["block", *_BLOCK, "least"])
+
+    return both.mapInArrow(tidy(run), "block bigint, dim int, kind string, ids binary, data binary, least binary")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the best k other rows for each query; both sides have vec_id and q."""
     small_batches(vectors.sparkSession)
     data = written(blocks(vectors, block), "vector-blocks")
-    asked = written(blocks(queries, query_block).select("block", "dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), "query-blocks")
+    turns = rotations(data)
+    asked = written(thresholds(data, written(blocks(queries, query_block), "query-blocks"), k), "asked")
+    slices = max(1, -(-asked.count() // SLICE))
+    rows = data.select("block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(0).alias("part"), *_BLOCK, F.lit(None).cast("binary").alias("least"))
+    # The numbers of the data blocks (one for some thousand rows) meet the query blocks, and each pair its data block.
     where = data.select(F.col("block").alias("to"), F.col("dim").alias("to_dim"))
-    # The numbers of the data blocks (one for some thousand rows) meet the query blocks, then each pair its data block.
-    tasks = where.join(asked, where["to_dim"] == asked["dim"]).select("to", "q_ids", "q_data")
-    pairs = tasks.join(data, tasks["to"] == data["block"]).select("dim", "ids", "data", "q_ids", "q_data")
+    sent = asked.join(where, asked["dim"] == where["to_dim"]).select(F.col("to").alias("block"), F.pmod(F.xxhash64("block"), F.lit(slices)).cast("int").alias("slice"), F.lit(1).alias("part"), *_BLOCK, "least")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: DataBlock | None = None
         for b in batches:
-            for row in zip(*(b.column(c) for c in ("dim", "ids", "data", "q_ids", "q_data")), strict=True):
-                dim, ids, x, q_ids, q = (r.as_py() for r in row)
-                ids, x, q_ids, q = (np.frombuffer(a, "<i8") for a in (ids, x, q_ids, q))
-                found = search(q_ids, q.reshape(len(q_ids), dim), ids, x.reshape(len(ids), dim), k)
+            for part, *row, least in zip(*(b.column(c).to_pylist() for c in ("part", *_BLOCK, "least")), strict=True):
+                ids, x = _unpacked(*row)
+                if part == 0:
+                    now = DataBlock(ids, x, turns.get(row[0]))
+                    continue
+                found = now.search(ids, x, np.frombuffer(least, "<i8"), k)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in found], ["query_id", "vec_id", "score"])
 
-    best = pairs.repartition(F.xxhash64("q_ids"), "ids").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+    dealt = rows.unionByName(sent).repartition("block", "slice").sortWithinPartitions("block", "slice", "part")
+    best = dealt.mapInArrow(tidy(run), "query_id bigint, vec_id bigint, score bigint")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

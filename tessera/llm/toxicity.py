@@ -8,13 +8,17 @@
    16 bits, so all documents together have 65,536 patterns at most, and the counts of patterns are all that the driver sees.
 3. Label model. Expectation maximisation over the counts estimates how often each voter fires for either class; labelled rows
    of the share keep their label. Voters that go together more than the class explains are found from the fitted model and
-   put into one factor with a joint distribution; then the model is fitted again. So correlated voters don't count twice.
+   put into one factor with a joint distribution (of ``largest`` voters at most, a parameter: a table of 2^largest numbers has
+   to be estimated); then the model is fitted again. So correlated voters don't count twice.
 4. Classifier. Logistic regression on lexicon words and votes, trained on the posteriors of FIT_ROWS rows at most, chosen by a
    hash of the id. The OWN words of the largest gain have a weight each, all others share POOLS weights by their gain (a text
    counts each of its words). So its weights are a few hundred numbers; scoring is one pass without a shuffle.
 
 Null and empty texts get the score of a text without any feature. Without labels, or without a toxic one, no voter has a
-lexicon and every score is the prior. Labels are joined by doc_id; an id with several labels is toxic if one is.
+lexicon and every score is the prior. Labels are joined by doc_id; an id with several labels is toxic if one is, and a label counts
+for every row of its id. Rows are scored one by one and removed by id and text, so of rows that share an id only those that
+read as toxic go. Very long texts are read whole; a word of more than LONG_WORD bytes is known by its digest. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -22,13 +26,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import broadcast_if_small, documents_of, share, tidy
+from tessera.llm.common import broadcast_if_small, documents_of, row_key, share, tidy, weigh
+from tessera.llm.mapped import among
 from tessera.plans.lineage import written
 
 #: Folds of crc32 of the id, of which the first is held out; lexicon words with a weight of their own; weights of all others.
@@ -37,6 +43,7 @@ FOLDS, OWN, POOLS = 5, 200, 8
 FIT_ROWS = 20_000
 #: For a word of the lexicon: least toxic rows, least log-likelihood ratio (20: over four standard errors) and least log odds.
 LEAST_ROWS, GAIN, ODDS = 3, 20.0, float(np.log(8))
+LONG_WORD = 64
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _LEET = bytes.maketrans(b"0134578@$!", b"oieastbasi")
@@ -46,7 +53,8 @@ _DROP = re.compile(rb"[*._ -]")
 
 
 def words_of(text: bytes) -> list[bytes]:
-    return text.translate(_FOLD).split()
+    words = text.translate(_FOLD).split()
+    return words if all(len(w) <= LONG_WORD for w in words) else [w if len(w) <= LONG_WORD else b"md5 " + md5(w).hexdigest().encode() for w in words]
 
 
 class Voters:
@@ -94,7 +102,7 @@ def lexicon(toxic: DataFrame, clean: DataFrame) -> list[str]:
 
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [[w.decode("utf-8", "replace") for w in set(words_of(t)) if len(w) <= 64] for t in b.column("text").to_pylist()]
+            sets = [[w.decode("utf-8", "replace") for w in set(words_of(t))] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([w for s in sets for w in s], pa.string())], ["word"])
 
     def counted(texts: DataFrame, name: str) -> DataFrame:
@@ -184,27 +192,28 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 2
     return w
 
 
-def scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document; learns from rows outside the held-out share alone."""
-    d = documents_of(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
+def scored_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(doc_id, rk, score) of every row, rk being its key; learns from rows outside the held-out share alone."""
+    d = documents_of(docs).select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("rk"), F.col("text").cast("binary").alias("text"))
     known = labels.select(labels["doc_id"].cast("bigint").alias("doc_id"), labels["toxic"].alias("toxic")).where("doc_id is not null and toxic is not null")
     known = known.where(share(F.col("doc_id"), FOLDS) != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = written(known, "labels")
+    known_size = weigh(known)
     learning = d.where(share(F.col("doc_id"), FOLDS) != 0)
-    words = lexicon(*[learning.join(broadcast_if_small(own := known.where(known["toxic"] == y), own.count()), "doc_id") for y in (1, 0)])
+    words = lexicon(*[learning.join(broadcast_if_small(known.where(known["toxic"] == y), known_size), "doc_id") for y in (1, 0)])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = Voters(words)
         for b in batches:
             got = [voters.read(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([v for v, _ in got], pa.int32()), pa.array([[feature_of(i) for i in h] for _, h in got], pa.list_(pa.int16()))], ["doc_id", "votes", "hits"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rk"), pa.array([v for v, _ in got], pa.int32()), pa.array([[feature_of(i) for i in h] for _, h in got], pa.list_(pa.int16()))], ["doc_id", "rk", "votes", "hits"])
 
-    votes = written(d.mapInArrow(tidy(read), "doc_id bigint, votes int, hits array<smallint>"), "votes")
-    patterns = votes.join(broadcast_if_small(known, known.count()), "doc_id", "left").groupBy("votes", F.coalesce("toxic", F.lit(-1)).alias("known")).count().toPandas()
+    votes = written(d.mapInArrow(tidy(read), "doc_id bigint, rk bigint, votes int, hits array<smallint>"), "votes")
+    patterns = votes.join(broadcast_if_small(known, known_size), "doc_id", "left").groupBy("votes", F.coalesce("toxic", F.lit(-1)).alias("known")).count().toPandas()
     if patterns.empty:
-        return votes.select("doc_id", F.lit(False).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return votes.select("doc_id", "rk", F.lit(0.0).alias("score"))
     label_model = fit_label_model(patterns["votes"].to_numpy(np.int64), patterns["known"].to_numpy(np.int64), patterns["count"].to_numpy(float))
-    sample = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("votes", "hits").toPandas()
+    sample = votes.orderBy(F.xxhash64("doc_id"), "doc_id", "rk").limit(fit_rows).select("votes", "hits").toPandas()
     own = feature_of(len(words) - 1) + 1 if words else 0
     x = np.zeros((len(sample), own + 16))
     for i, hits in enumerate(sample["hits"]):
@@ -217,13 +226,17 @@ def scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
         of_votes = ((np.arange(1 << 16)[:, None] >> np.arange(16) & 1) @ weights[own:-1]) + weights[-1]
         for b in batches:
             z = of_votes[b.column("votes").to_numpy()] + np.array([weights[h].sum() for h in b.column("hits").to_numpy(zero_copy_only=False)] or [], dtype=float)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rk"), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))), pa.float64())], ["doc_id", "rk", "score"])
+
+    return votes.mapInArrow(tidy(judge), "doc_id bigint, rk bigint, score double")
 
-    judged = votes.mapInArrow(tidy(judge), "doc_id bigint, score double")
-    return judged.select("doc_id", (share(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+def scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every document."""
+    return scored_rows(docs, labels, fit_rows).select("doc_id", (share(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic, all columns as they are."""
-    bad = written(scores(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("bad")).distinct(), "toxic")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad"]), "left_anti")
+    """The rows that are not predicted toxic, all columns as they are."""
+    bad = scored_rows(docs, labels).where("score >= 0.5").select(F.col("rk").alias("key")).distinct()
+    return among(docs, row_key(docs["doc_id"], docs["text"]), bad, "toxic", without=True)

@@ -1,16 +1,21 @@
 """URL filters: rules first, then naive Bayes over the words that a unigram Viterbi finds in host names and paths.
 
-Host labels and path parts, cut at everything that is no letter, are segmented into words: the split with the highest product of
-unigram probabilities. The unigrams are counted over all words of the pages and the seed words. A label's substrings meet the
-counts in a plain join, so the dictionary is never broadcast; the search for the best split is a loop over a label's at most
-63 letters (a longer part is split at 63).
-
-The classifier is multinomial naive Bayes with two classes, trained on all addresses: an address counts as unwanted if a segmented
-word of its host is a seed word. So words that keep company with seed words count too. Each distinct label gets one weight, the
-sum over its words, and an address the sum over its labels.
-
-Null urls and those without ``://`` have an empty host and path, and are judged by the prior. Rows stay rows: a repeated url gets
-the same verdict each time. Nulls in page_id stay null.
+Letter runs of hosts and paths (labels) are segmented into words: the split with the highest product of unigram probabilities. The
+unigrams are counted over the visible text of all pages, nothing is added by hand. A string that the pages lack counts as an
+unknown word, ten times less likely with each letter; no word is longer than LONGEST_WORD. A label's substrings meet the
+counts in a plain join, so the dictionary is never broadcast; the best split is a loop over the letters of one label.
+
+The classifier is multinomial naive Bayes with two classes. It learns from the verdicts of the rules: every address that a
+rule blocks or allows is an example, weighted by its pages, and its tokens are the words of its host and path. Addresses that
+no rule fits are judged by the words they share with those. Each distinct label gets one weight, the sum over its words, and an
+address the sum over its labels and the log odds of the classes; it is blocked above zero.
+
+Labels such as ``com`` or ``www`` stand in nearly all addresses: they are counted with partial sums first, and joined by a broadcast
+of checked size or with a salt. Copies of one address are spread likewise.
+
+Null urls and those without ``://`` have an empty host and path, and are judged by the class odds. Without any page that a rule fits,
+all others are allowed. Rows stay rows: a repeated url gets the same verdict each time. Nulls in page_id stay null; an empty table
+gives no rows. Null html has no words. Long hosts and paths are taken whole.
 """
 
 from __future__ import annotations
@@ -22,15 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import salted_join, small_batches, tidy
 from tessera.plans.lineage import written
 
 #: (verdict, host, path); the longest that fits wins.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-#: Words that mark unwanted sites.
-SEEDS = ("ads", "adult", "bet", "bets", "casino", "gambling", "pills", "poker", "porn", "sex", "slots", "spam", "viagra", "xxx")
-#: Further words of such names that text may lack; the dictionary has them besides what it counts.
-EXTRA = ("blog", "cheap", "click", "deal", "farm", "free", "loan", "money", "news", "shop", "track", "win", "www", *SEEDS)
-LONGEST_WORD, LONGEST_PART, EXTRA_COUNT = 24, 63, 50
+LONGEST_WORD = 24
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -51,70 +53,75 @@ def longest_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str],
 
 
 def word_counts(pages: DataFrame) -> DataFrame:
-    """(word, n) over the visible text of all pages, and the extra words."""
+    """(word, n) over the visible text of all pages."""
     visible = F.regexp_replace(F.coalesce(pages["html"], F.lit("")), r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " ")
     words = pages.select(F.explode(F.split(F.lower(visible), r"[^\p{L}]+")).alias("word")).where(F.length("word").between(1, LONGEST_WORD))
-    extra = pages.sparkSession.createDataFrame([(w, EXTRA_COUNT) for w in sorted({*EXTRA})], "word string, n bigint")
-    return words.groupBy("word").agg(F.count("*").alias("n")).unionByName(extra).groupBy("word").agg(F.sum("n").alias("n"))
+    return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
-def _parts(text: Column) -> Column:
-    """Letter runs of ``text``, none longer than LONGEST_PART."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), rf"(\p{{L}}{{{LONGEST_PART}}})", "$1 "), r"[^\p{L}]+"), lambda x: x != "")
+def _labels(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda x: x != "")
 
 
-def viterbi(letters: int, edges: list[tuple[int, int, float]], unknown: float) -> list[tuple[int, int]]:
-    """The best split of 0..letters into edges (from, to, log probability); a single letter is possible at ``unknown``."""
-    by_end: dict[int, list[tuple[int, float]]] = {}
-    for i, j, p in edges:
-        by_end.setdefault(j, []).append((i, p))
+def viterbi(label: str, known: dict[tuple[int, int], float], total: float) -> list[str]:
+    """The best split of ``label``: ``known`` has the log probability of its dictionary words by place, ``total`` is the dictionary's count."""
     best: list[tuple[float, int]] = [(0.0, 0)]
-    for j in range(1, letters + 1):
-        best.append(max((best[i][0] + p, i) for i, p in [*by_end.get(j, ()), (j - 1, unknown)]))
-    cuts, j = [], letters
+    for j in range(1, len(label) + 1):
+        best.append(max((best[i][0] + known.get((i, j), unknown_word(j - i, total)), i) for i in range(max(0, j - LONGEST_WORD), j)))
+    words, j = [], len(label)
     while j:
-        cuts.append((best[j][1], j))
+        words.append(label[best[j][1] : j])
         j = best[j][1]
-    return cuts[::-1]
+    return words[::-1]
+
+
+def unknown_word(letters: int, total: float) -> float:
+    return math.log(10 / (total + 10)) - letters * math.log(10)
 
 
 def segment(labels: DataFrame, counts: DataFrame) -> DataFrame:
     """(label, word): the words of each distinct label, in the best split, repeats included."""
-    total = counts.agg(F.sum("n")).first()[0]
-    log_total, unknown = F.log(F.lit(float(total or 1))), -2.0 * math.log(float(total or 1) + 1)
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.length("label")), lambda i: F.transform(F.sequence(i, F.least(F.length("label"), i + (LONGEST_WORD - 1))), lambda j: F.struct((i - 1).alias("i"), j.alias("j"), F.substr(F.col("label"), i, j - i + 1).alias("word")))))
-    edges = labels.where(F.length("label") > 0).select("label", F.inline(spans)).join(counts, "word").select("label", F.struct("i", "j", (F.log("n") - log_total).alias("p")).alias("e"))
-    listed = labels.where(F.length("label") > 0).join(edges.groupBy("label").agg(F.collect_list("e").alias("edges")), "label", "left").select("label", F.coalesce("edges", F.array().cast("array<struct<i:int,j:int,p:double>>")).alias("edges"))
+    small_batches(labels.sparkSession)
+    total = float(counts.agg(F.sum("n")).first()[0] or 1)
+    own = labels.where(F.length("label") > 0)
+    begun = own.select("label", F.explode(F.sequence(F.lit(1), F.length("label"))).alias("i"))
+    begun = begun.select("label", "i", F.substr("label", F.col("i"), F.lit(LONGEST_WORD)).alias("rest"))
+    spans = begun.select("label", "i", "rest", F.explode(F.sequence(F.lit(1), F.length("rest"))).alias("k")).select("label", "i", "k", F.left("rest", "k").alias("word"))
+    edges = spans.join(counts, "word").groupBy("label").agg(F.collect_list(F.struct((F.col("i") - 1).alias("i"), (F.col("i") - 1 + F.col("k")).alias("j"), F.log(F.col("n") / total).alias("p"))).alias("edges"))
+    listed = own.join(edges, "label", "left").select("label", "edges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(label, label[i:j]) for label, edges in zip(b.column("label").to_pylist(), b.column("edges").to_pylist(), strict=True) for i, j in viterbi(len(label), [(e["i"], e["j"], e["p"]) for e in edges], unknown)]
+            out = [(label, word) for label, edges in zip(b.column("label").to_pylist(), b.column("edges").to_pylist(), strict=True) for word in viterbi(label, {(e["i"], e["j"]): e["p"] for e in edges or ()}, total)]
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.string()) for k in (0, 1)], ["label", "word"])
 
-    return listed.mapInArrow(run, "label string, word string")
+    return listed.mapInArrow(tidy(run), "label string, word string")
+
+
+def _by_class(verdict: str) -> Column:
+    return F.sum(F.when(F.col("verdict") == verdict, F.col("n")).otherwise(0))
 
 
 def verdicts(pages: DataFrame) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every page."""
     host, path = host_and_path(pages["url"])
     urls = pages.select(pages["page_id"], host.alias("host"), path.alias("path"))
-    distinct = written(urls.groupBy("host", "path").agg(F.count("*").alias("n")), "addresses")
-    tokens = distinct.select("host", "path", "n", F.explode(F.concat(F.transform(_parts(F.col("host")), lambda x: F.struct(x.alias("label"), F.lit(True).alias("of_host"))), F.transform(_parts(F.col("path")), lambda x: F.struct(x.alias("label"), F.lit(False).alias("of_host"))))).alias("t")).select("host", "path", "n", "t.label", "t.of_host")
-    words = written(segment(tokens.select("label").distinct(), word_counts(pages)), "segments")
-    flags = words.groupBy("label").agg(F.max(F.col("word").isin(*SEEDS)).alias("seed"))
-    marked = tokens.join(flags, "label").groupBy("host", "path", "n").agg(F.max(F.col("seed") & F.col("of_host")).alias("bad"))
-    marked = written(distinct.join(marked.select("host", "path", "bad"), ["host", "path"], "left").select("host", "path", "n", F.coalesce("bad", F.lit(False)).alias("bad")), "marked")
-    prior = marked.agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)), F.sum("n")).first()
-    bad, all_rows = (prior[0] or 0), (prior[1] or 0)
-    # Labels are counted by class first: few rows then meet the words.
-    by_label = tokens.join(marked.select("host", "path", "bad"), ["host", "path"]).groupBy("label").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("good"))
-    by_word = written(words.join(by_label, "label").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "word-classes")
-    sums = by_word.agg(F.sum("bad"), F.sum("good"), F.count("*")).first()
-    of_bad, of_good, kinds = (x or 0 for x in sums)
+    addresses = urls.groupBy("host", "path").agg(F.count("*").alias("n")).withColumn("r", longest_rule(F.col("host"), F.col("path")))
+    addresses = written(addresses.select("host", "path", "n", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("verdict")), "addresses")
+    tokens = addresses.select("host", "path", "n", "verdict", F.explode(F.concat(_labels(F.col("host")), _labels(F.col("path")))).alias("label"))
+    by_label = written(tokens.groupBy("label").agg(_by_class("block").alias("bad"), _by_class("allow").alias("good")), "labels")
+    words = written(segment(by_label.select("label"), written(word_counts(pages), "words")), "segments")
+
+    by_word = words.join(by_label, "label").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    by_word = written(by_word, "word-classes")
+    of_bad, of_good, kinds = (x or 0 for x in by_word.agg(F.sum("bad"), F.sum("good"), F.count("*")).first())
     weight = F.log((F.col("bad") + 1) / F.lit(of_bad + kinds + 1.0)) - F.log((F.col("good") + 1) / F.lit(of_good + kinds + 1.0))
-    of_label = words.join(by_word.select("word", weight.alias("weight")), "word").groupBy("label").agg(F.sum("weight").alias("weight"))
-    odds = F.log(F.lit((bad + 1.0) / (all_rows - bad + 1.0)))
-    scores = tokens.join(of_label, "label").groupBy("host", "path").agg(F.sum("weight").alias("w"))
-    judged = distinct.join(scores, ["host", "path"], "left").select("host", "path", (F.coalesce("w", F.lit(0.0)) + odds).alias("odds"))
-    rule = longest_rule(F.col("host"), F.col("path"))
-    return urls.join(judged, ["host", "path"]).withColumn("r", rule).select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", F.when(F.col("odds") > 0, "block").otherwise("allow")).alias("verdict"))
+    of_label = written(salted_join(words, by_word.select("word", weight.alias("weight")), ["word"]).groupBy("label").agg(F.sum("weight").alias("weight")), "weights")
+
+    bad, good = (x or 0 for x in addresses.agg(_by_class("block"), _by_class("allow")).first())
+    odds = math.log((bad + 1) / (good + 1))
+    unruled = tokens.where("verdict is null").select("host", "path", "label")
+    scores = salted_join(unruled, of_label, ["label"]).groupBy("host", "path").agg(F.sum("weight").alias("w"))
+    blocked = (F.coalesce("w", F.lit(0.0)) + odds) > 0
+    judged = addresses.join(scores, ["host", "path"], "left").select("host", "path", "rule", F.coalesce("verdict", F.when(blocked, "block").otherwise("allow")).alias("verdict"))
+    return salted_join(urls, written(judged, "judged"), ["host", "path"]).select("page_id", "host", "path", "rule", "verdict")

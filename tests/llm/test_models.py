@@ -2,14 +2,17 @@
 
 import math
 import random
+import re
 from collections import Counter
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import kneser_ney as kn
-from tessera.llm import topk, toxicity, urls
+from tessera.llm import common, topk, toxicity, urls
 from tessera.llm.entry import LLM_ORACLE, op3_kneser_ney, op5_url_filter, op6_toxicity, op7_top_k
 from tests.llm.help import AWKWARD, SMALL, documents, small
 from tests.oracle import same
@@ -46,9 +49,12 @@ def plain_model(texts):
     return score, p, uni
 
 
-def test_language_model_equals_the_formulas(spark, monkeypatch):
+@pytest.mark.parametrize("sample", [1, 1_000_000])
+def test_language_model_equals_the_formulas(spark, monkeypatch, sample):
     monkeypatch.setattr(kn, "CHUNK", 500)
     monkeypatch.setattr(kn, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(kn, "HOT_SAMPLE", sample)
+    monkeypatch.setattr(kn, "HOT_SHARE", 0.05)
     rng = random.Random(1)
     texts = [(i, " ".join(rng.choice("the cat sat on a mat and The dog").lower() if rng.random() < 0.3 else rng.choice("the cat sat on a mat Dog x y z".split()) for _ in range(rng.randrange(30)))) for i in range(150)]
     rows = [r for r in AWKWARD if r[0] != 8] + texts
@@ -157,46 +163,137 @@ def test_top_k_awkward_vectors(spark):
     assert topk.top_k(v.where("false"), v.where("false")).collect() == []
 
 
-def plain_verdict(host, path):
+def test_scores_beyond_64_bits(spark):
+    """Exact beyond 2^53, cut to 64 bits beyond that."""
+    rows = [(0, [2.0**55, 1.0]), (20, [1.0, 2.0**-6]), (1, [2.0**50, 3.0]), (2, [2.0**50, 2.0]), (3, [-(2.0**56), 0.0]), (4, [2.0**57, 0.0])]
+    v = topk.quantized(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    ints = {i: [min(max(math.floor(64 * x), -(2**63)), 2**63 - 1) for x in e] for i, e in rows}
+    got = {(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(v, v.where("vec_id % 20 = 0"), 5).collect()}
+    cut = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+    want = set()
+    for i in (0, 20):
+        best = sorted((-cut(sum(a * b for a, b in zip(ints[i], ints[j], strict=True))), j) for j in ints if j != i)
+        want |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(best)}
+    assert got == want
+
+
+def test_bounds_prune():
+    """Vectors near a plane: few pairs get an exact score, and none that counts is lost."""
+    rng = np.random.default_rng(3)
+    lead, turn = rng.normal(0, 60, (4000, 6)), np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    x = np.rint(np.hstack([lead, rng.normal(0, 2, (4000, 58))]) @ turn).astype(np.int64)
+    block = topk.DataBlock(np.arange(4000), x, np.linalg.eigh((x.T @ x).astype(float))[1][:, ::-1])
+    q_ids, whole = np.arange(0, 4000, 20), x[::20] @ x.T
+    whole[np.arange(200), q_ids] = np.iinfo(np.int64).min
+    least = np.sort(whole[:, :1000], axis=1)[:, -20]
+    got = list(zip(*(a.tolist() for a in block.search(q_ids, x[::20], least, 20)), strict=True))
+    assert got == [(int(i), int(j), int(whole[n, j])) for n, i in enumerate(q_ids) for j in np.lexsort((np.arange(4000), ~whole[n]))[:20]]
+    assert block.exact < 0.05 * block.bounded
+
+
+def plain_rule(host, path):
     fit = [(len(h + p), h + p, verdict) for verdict, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return max(fit)[1:] if fit else (None, None)
 
 
+def plain_split(label, counts):
+    """The most probable of all splits, by trying them all."""
+    total = sum(counts.values())
+    price = lambda w: math.log(counts[w] / total) if w in counts else math.log(10 / (total + 10)) - len(w) * math.log(10)
+    best = None
+    for mask in range(1 << (len(label) - 1)):
+        cuts = [0, *[i + 1 for i in range(len(label) - 1) if mask >> i & 1], len(label)]
+        words = [label[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+        if (p := sum(map(price, words))) > (best or (-math.inf,))[0]:
+            best = p, words
+    return best[1]
+
+
+def plain_verdicts(rows):
+    """Rules, exhaustive segmentation and naive Bayes over dictionaries; rows are (page_id, host, path, visible text)."""
+    letters = lambda t: [w for w in "".join(c if c.isalpha() else " " for c in t.lower()).split()]
+    counts = Counter(w for *_, text in rows for w in letters(text) if len(w) <= 24)
+    split = lru_cache(maxsize=None)(lambda x: plain_split(x, counts))
+    words = lambda host, path: [w for x in letters(host) + letters(path) for w in split(x)]
+    seen, classes = {"block": Counter(), "allow": Counter()}, Counter()
+    for _, host, path, _ in rows:
+        if verdict := plain_rule(host, path)[1]:
+            classes[verdict] += 1
+            seen[verdict].update(words(host, path))
+    kinds = len({w for _, host, path, _ in rows for w in words(host, path)})
+    of = {v: sum(c.values()) + kinds + 1 for v, c in seen.items()}
+
+    def judge(host, path):
+        odds = math.log((classes["block"] + 1) / (classes["allow"] + 1))
+        odds += sum(math.log((seen["block"][w] + 1) / of["block"]) - math.log((seen["allow"][w] + 1) / of["allow"]) for w in words(host, path))
+        return "block" if odds > 0 else "allow"
+
+    return {i: (*plain_rule(host, path)[:1], plain_rule(host, path)[1] or judge(host, path)) for i, host, path, _ in rows}
+
+
 def test_url_rules(spark):
     cases = {
         "http://A.Example.com/en/7?x": ("a.example.com", "/en/7", "example.com/en/7", "allow"),
         "https://example.net/de/8#/q": ("example.net", "/de/8", "example.net/de/8", "block"),
         "x://notexample.net/de/8": ("notexample.net", "/de/8", "net/de/", "allow"),
         "http://com/en/": ("com", "/en/", "com/en/", "block"),
-        "http://b.org?/es/": ("b.org", "", None, "allow"),
+        "http://b.org?/es/": ("b.org", "", None, None),
         "no address": ("", "", None, "allow"),
         None: ("", "", None, "allow"),
         "": ("", "", None, "allow"),
-        "http://É.com/x\ny": ("É.com", "/x\ny", None, "allow"),
+        "http://É.com/x\ny": ("É.com", "/x\ny", None, None),
+        "http://" + "long" * 3000 + "/" + "path" * 3000: ("long" * 3000, "/" + "path" * 3000, None, None),
     }
     rows = [(i, u, "<p>some words win more</p><script>no()</script>") for i, u in enumerate(cases)] + [(99, "http://b.org?/es/", None), (None, None, None)]
-    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "1 as host", "2 as label", "3 as n")
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "1 as host", "2 as label", "3 as n", "4 as word", "5 as verdict")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.verdicts(pages).collect()}
     assert len(got) == len(rows)
-    assert {i: got[i] for i in range(len(cases))} == dict(enumerate(cases.values()))
+    for i, want in enumerate(cases.values()):
+        assert got[i][:3] == want[:3] and got[i][3] in ((want[3],) if want[3] else ("allow", "block"))
+    assert got[99] == got[4] and got[None] == got[6]
     assert urls.verdicts(pages.where("false")).collect() == []
 
 
 def test_segmentation(spark):
-    counts = spark.createDataFrame([("spam", 50), ("farm", 40), ("spa", 30), ("m", 5), ("free", 60), ("bets", 40)], "word string, n bigint")
-    labels = spark.createDataFrame([("spamfarm",), ("freebets",), ("zq",), ("",)], "label string")
+    words = {"spam": 50, "farm": 40, "spa": 30, "m": 5, "free": 60, "bets": 40, "bet": 3, "s": 2}
+    counts = spark.createDataFrame([*words.items()], "word string, n bigint")
+    names = ["spamfarm", "freebets", "zq", "xfreez", "betsfarmspa", "qqqqfarm", "m"]
+    labels = spark.createDataFrame([(x,) for x in [*names, ""]], "label string")
     got = {r.label: r.w for r in urls.segment(labels, counts).groupBy("label").agg(F.sort_array(F.collect_list("word")).alias("w")).collect()}
-    assert got == {"spamfarm": ["farm", "spam"], "freebets": ["bets", "free"], "zq": ["q", "z"]}
+    assert got == {x: sorted(plain_split(x, words)) for x in names}
+    assert got["spamfarm"] == ["farm", "spam"] and got["freebets"] == ["bets", "free"] and got["zq"] == ["zq"]
+
+
+def url_table(n=400, seed=5):
+    """Names run together; their words tell which rule's pages they are like."""
+    rng = random.Random(seed)
+    bad, good, plain = ["casino", "bets", "pills"], ["garden", "music", "school"], ["the", "blue", "one"]
+    rows = []
+    for i in range(n):
+        kind = rng.choice(["bad", "good"])
+        name = "".join(rng.choice(bad if kind == "bad" else good) if k else rng.choice(plain) for k in range(3))
+        host, path = rng.choice([(f"{name}.com", "/en/x") if kind == "bad" else (f"{name}.net", "/de/y"), (f"www.{name}.info", "/p/1.html"), (f"{name}.info", "/" + rng.choice(bad if kind == "bad" else good))])
+        rows.append((i, host, path, " ".join(rng.choices(bad + good + plain, k=5)), kind))
+    return rows
+
+
+def test_url_verdicts_equal_a_plain_version(spark, monkeypatch):
+    rows = url_table()
+    pages = spark.createDataFrame([(i, f"http://{host}{path}?q", f"<p>{text}</p>") for i, host, path, text, _ in rows], "page_id bigint, url string, html string")
+    want = plain_verdicts([r[:4] for r in rows])
+    for rows_broadcast in (500_000, 0):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", rows_broadcast)
+        assert {r.page_id: (r.rule, r.verdict) for r in urls.verdicts(pages).collect()} == want
+    unruled = [(i, kind) for i, host, path, _, kind in rows if plain_rule(host, path)[0] is None]
+    assert sum((want[i][1] == "block") == (kind == "bad") for i, kind in unruled) > 0.95 * len(unruled) > 100
 
 
 def test_url_query(spark):
     rows = op5_url_filter(spark, SMALL).collect()
     assert len(rows) == small(spark, "pages").count()
-    for r in rows:
-        rule, verdict = plain_verdict(r.host, r.path)
-        assert r.rule == rule and verdict in (None, r.verdict)
-        if rule is None:
-            assert (r.verdict == "block") == any(s in r.host for s in ("casino", "spam", "bets", "pills", "adult", "ads-"))
+    pages = {r.page_id: re.sub(r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " ", r.html or "") for r in small(spark, "pages").collect()}
+    want = plain_verdicts([(r.page_id, r.host, r.path, pages[r.page_id]) for r in rows])
+    assert {r.page_id: (r.rule, r.verdict) for r in rows} == want
 
 
 def test_words_are_not_cut_by_their_frequency(spark):
@@ -227,5 +324,5 @@ def test_all_labels_are_read(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "LABEL_ROWS", 10, raising=False)
     got = sorted(map(tuple, toxicity.scores(docs, marks).collect()))
     assert {r[0] for r in got if r[3]} == bad
-    monkeypatch.setattr(toxicity, "broadcast_if_small", lambda df, rows: df)
+    monkeypatch.setattr(toxicity, "broadcast_if_small", lambda df, size: df)
     assert sorted(map(tuple, toxicity.scores(docs, marks).collect())) == got

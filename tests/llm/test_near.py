@@ -7,7 +7,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, simhash
+from tessera.llm import decontam, mapped, simhash
 from tests.llm.help import AWKWARD, documents, small
 
 
@@ -75,6 +75,64 @@ def test_links_lose_nothing(spark):
         assert {i: find(i) for i in up} == brute_components(dict(enumerate(fps)), 2)
 
 
+def test_trees_follow_few_edges():
+    """One tree for a shard: the groups of brute force, by far fewer distances than all pairs."""
+    rng = random.Random(12)
+    base = rng.getrandbits(32) << 32
+    for n, make in ((2048, lambda: base | rng.getrandbits(32)), (1500, lambda: base | 1 << rng.randrange(32) | 1 << rng.randrange(32) | 1 << rng.randrange(32))):
+        members = sorted({make() for _ in range(n)})
+        tree = simhash.BKTree()
+        found = simhash.shard_links(members, 2, tree)
+        assert tree.values == members and len(found) < len(members)
+        up = dict(zip(members, members, strict=True))
+
+        def find(i):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for a, b in found:
+            x, y = sorted((find(a), find(b)))
+            up[y] = x
+        assert {i: find(i) for i in members} == {members[i]: members[c] for i, c in brute_components(dict(enumerate(members)), 2).items()}
+        if n == 2048:
+            assert tree.calls < len(members) ** 2 / 4
+    assert all(c[(members[i] ^ members[k]).bit_count()] == k for i, c in enumerate(tree.children) for k in c.values())
+
+
+def test_rows_that_share_an_id(spark):
+    copy, other = "a b c d e f g h i j", "quite another text of some words here and there"
+    kept = simhash.one_of_each_group(documents(spark, [(1, copy), (5, copy), (5, other), (9, "t"), (9, "t"), (None, copy), (None, "u")]))
+    assert sorted((r.doc_id or -1, r.text) for r in kept.collect()) == [(-1, "u"), (1, copy), (5, other), (9, "t")]
+    assert kept.columns == documents(spark).columns
+
+
+def test_key_files_do_as_a_broadcast(spark, monkeypatch):
+    rows = [(i, f"text {i % 700}") for i in range(2000)]
+    want = sorted(r.doc_id for r in simhash.one_of_each_group(documents(spark, rows)).collect())
+    assert want == list(range(700))
+    monkeypatch.setattr(mapped, "BROADCAST_KEYS", 10)
+    monkeypatch.setattr(mapped, "FILE_KEYS", 100)
+    assert sorted(r.doc_id for r in simhash.one_of_each_group(documents(spark, rows)).collect()) == want
+
+
+def test_key_files_without_a_mounted_folder(tmp_path):
+    """As on an object store: files are fetched by address, a few held at once."""
+    folder = f"file://{tmp_path}/keys"
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))
+    for n in range(32):
+        part = keys[keys >> np.uint64(59) == n]
+        mapped.save(folder, f"key-{n:07d}", part)
+        mapped.save(folder, f"key-{n:07d}", part)  # a task that runs again
+        mapped.save(folder, f"value-{n:07d}", (part >> np.uint64(8)).astype(np.int64))
+    arrays = mapped.Arrays(folder, 5, "key", "value")
+    asked = rng.permutation(np.concatenate([keys, keys + np.uint64(1)]))
+    assert (arrays.has(asked) == (asked % np.uint64(2) == 0)).all() and len(arrays.files) <= 2 * mapped.HELD
+    asked.sort()
+    assert (arrays.get(asked, 1)[0] == np.where(asked % np.uint64(2) == 0, asked >> np.uint64(8), 0).astype(np.int64)).all()
+
+
 def test_awkward_documents(spark):
     got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(documents(spark)).collect()}
     assert {(1, 1), (5, 1), (2, 2), (3, 2), (4, 2)} <= got
@@ -153,9 +211,12 @@ def test_leaks(spark):
     assert got == {(1, 1): (8, 8), (1, 5): (8, 8), (7, 1): (7, 8), (7, 5): (7, 8), (3, 2): (1, 1), (None, 1): (8, 8), (None, 5): (8, 8)}
     kept = decontam.without_leaks(docs, bench)
     assert sorted(r.doc_id for r in kept.collect()) == [2, 4, 5, 6] and kept.columns == docs.columns
+    mixed = decontam.without_leaks(documents(spark, [(1, noise(30)), (1, item), (1, "short one too")]), bench)
+    assert [(r.doc_id, len(r.text.split())) for r in mixed.collect()] == [(1, 30)]
     assert decontam.leaks(documents(spark, []), bench).collect() == []
     assert decontam.leaks(docs, bench.where("false")).collect() == []
     assert decontam.without_leaks(docs, bench.where("false")).count() == len(rows)
+    assert decontam.leaks(docs, bench).dtypes == decontam.leaks(docs, bench.where("false")).dtypes
 
 
 def test_sketches_miss_nothing(spark):

@@ -1,8 +1,10 @@
 """Repeated strings and the pipeline against brute force."""
 
 import hashlib
+import os
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -36,15 +38,47 @@ def shared_text(seed):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "chunk", "collection"), [(1, 1 << 20, 16_384), (2, 300, 5)])
-def test_repeats_equal_brute_force(spark, monkeypatch, seed, chunk, collection):
-    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
-    monkeypatch.setattr(suffix_dedup, "COLLECTION", collection)
+@pytest.mark.parametrize(("seed", "chunk", "collection", "hot", "file"), [(1, 1 << 20, 16_384, 4096, 4 << 20), (2, 300, 5, 1, 200), (3, 250, 50, 4, 1000), (4, 1 << 20, 16_384, 12, 4 << 20)])
+def test_repeats_equal_brute_force(spark, monkeypatch, seed, chunk, collection, hot, file):
+    for name, value in (("CHUNK", chunk), ("COLLECTION", collection), ("HOT", hot), ("FILE_BYTES", file)):
+        monkeypatch.setattr(suffix_dedup, name, value)
     rows = shared_text(seed)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digest(suffix_dedup.deduplicated(documents(spark, rows).repartition(3))).collect()}
     assert got == {i: v[:4] for i, v in plain_dedup(rows).items()}
 
 
+def test_transform_and_common_prefixes(tmp_path):
+    """Against the sorted suffixes of aligned pieces, column by column, over several files."""
+    rng = np.random.default_rng(2)
+    columns = rng.integers(0, 3, (suffix_dedup.WIDTH, 40), dtype=np.uint8)
+    columns[:, 20:] = columns[:, :20]  # equal pieces
+    transform = suffix_dedup.Transform(str(tmp_path), columns.dtype, 40)
+    suffix_dedup.FILE_BYTES, before = 1000, suffix_dedup.FILE_BYTES
+    try:
+        suffix_dedup.construct(columns, transform)
+    finally:
+        suffix_dedup.FILE_BYTES = before
+    slices = list(transform.slices())
+    assert len(transform.files) > 5 and len(slices) == suffix_dedup.WIDTH
+    suffix = lambda i, t: bytes(columns[t:, i])
+    for t, (symbols, common) in zip(range(suffix_dedup.WIDTH - 1, -1, -1), slices, strict=True):
+        behind = sorted(range(40), key=lambda i: suffix(i, t + 1))
+        assert symbols.tolist() == [int(columns[t, i]) for i in behind]
+        inorder = sorted(suffix(i, t) for i in range(40))
+        assert common.tolist() == [0] + [len(os.path.commonprefix([a, b])) for a, b in zip(inorder, inorder[1:], strict=False)]
+    transform.close()
+    assert os.listdir(tmp_path) == []
+
+
+def test_very_long_texts(spark):
+    """Megabytes of one letter, of two periods, and of text that occurs in others."""
+    rng = random.Random(4)
+    prose = "".join(rng.choice("abcdefgh ") for _ in range(3_000_000))
+    rows = [(1, "a" * 2_000_000), (2, prose), (3, "x" * 50 + prose[1_000_000:1_700_000] + "y" * 50), (4, "ab" * 700_000)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.digest(suffix_dedup.deduplicated(documents(spark, rows))).collect()}
+    assert got == {1: (2_000_000, 1_999_999, 1), 2: (3_000_000, 0, 0), 3: (700_100, 700_000, 1), 4: (1_400_000, 1_399_998, 1)}
+
+
 def test_repeated_rows_and_empty_tables(spark):
     rng = random.Random(0)
     text = "".join(rng.choice("abc ") for _ in range(300))

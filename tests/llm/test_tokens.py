@@ -43,6 +43,17 @@ def test_chunks_are_spliced_rightly(spark, chunk, overlap):
         assert token_counts.count_huge(tokenizer, text, chunk, overlap) == len(ids(text))
 
 
+LONG_RUNS = ["\n" * 2_000_000, " " * 2_000_000, "x" * 2_000_000, "a b" + "\t" * 50_000 + "c " * 20_000 + "y" * 100_000, "\r\n \u3000" * 200_000]
+
+
+def test_long_runs_are_counted_and_packed(spark):
+    """White space and letters without a blank, through the splicing path and the packer."""
+    rows = [*enumerate(LONG_RUNS)]
+    docs = documents(spark, rows)
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, BPE).collect()} == {i: len(ids(t)) for i, t in rows}
+    assert check_packing(packing.pack(docs, BPE).collect(), rows) < 0.1
+
+
 def test_counts(spark):
     got = sorted(token_counts.token_counts(documents(spark), BPE).collect(), key=repr)
     want = sorted([(i, len((t or "").encode()), len(ids(t)), len(ids(t)) > 512) for i, t in AWKWARD], key=lambda r: repr(r))
