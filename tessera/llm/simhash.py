@@ -17,8 +17,9 @@ Near texts (five words, a similarity of 0.8 of the sets of distinct shingles) ar
 * A node is a distinct set of shingles. All sets are put in one order of shingles, those of common buckets last. Two sets of the
   wanted similarity share one of their first n - ceil(0.8 n) + 1 shingles, whatever the order: these are the shards of a node.
   At their first common shingle, what follows in either set must still hold the wanted number of common ones; and the parities
-  of a set's shingles over 512 buckets differ in no more bits than there are shingles in one set alone. Both bounds are exact,
-  so candidates are left out only where the similarity can't be reached. Whole sets then decide.
+  of a set's shingles over some buckets differ in no more bits than there are shingles in one set alone (512 buckets for a
+  first look, then as many as there are shingles). Both bounds are exact, so candidates are left out only where the
+  similarity can't be reached. Whole sets then decide; a pair is looked at once, and a set is made once.
 * The first candidates are neighbours within shards. After that, confirmed links make components, and each round looks at all
   pairs of a shard that aren't in one component: members outside the largest component of the shard are dealt into blocks
   of BLOCK members, each block with itself, with later ones and with the blocks of that component as its own task. A round
@@ -37,6 +38,7 @@ the keys of the rows that go are broadcast up to a fixed number, or looked up in
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -201,10 +203,28 @@ def set_id(h: np.ndarray) -> int:
     return _signed(xxhash.xxh64_intdigest(h.tobytes(), SEED))
 
 
-def parities(h: np.ndarray) -> bytes:
-    """For each bucket of hashes one bit: whether it holds an odd number."""
-    at = ((h * ORDERS[0]) >> np.uint64(64 - PARITY_BITS)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=1 << PARITY_BITS) & 1).tobytes()
+def parities(h: np.ndarray, bits: int = PARITY_BITS) -> bytes:
+    """For each of 2^bits buckets of hashes one bit: whether it holds an odd number."""
+    at = ((h * ORDERS[0]) >> np.uint64(64 - bits)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=1 << bits) & 1).tobytes()
+
+
+def wide_parities(h: np.ndarray) -> bytes:
+    """Parities over about as many buckets as there are hashes."""
+    return parities(h, max(PARITY_BITS, int(len(h)).bit_length()))
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """In how many bits two parities differ, those of more buckets being added up to the number of the other."""
+    a, b = (np.frombuffer(z, np.uint8) for z in (x, y))
+    if len(a) == len(b):
+        return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
+    a, b = (np.unpackbits(z) for z in (a, b))
+    while len(a) > len(b):
+        a = a[::2] ^ a[1::2]
+    while len(b) > len(a):
+        b = b[::2] ^ b[1::2]
+    return int((a ^ b).sum(dtype=np.int64))
 
 
 def least_common(n: np.ndarray, similarity: float) -> np.ndarray:
@@ -241,23 +261,24 @@ def commonness(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def text_sets(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(doc_id, rk, fp, n, bits, first): each row's key, the id of its set of shingles, their number, parities, and those that a near text may share first."""
+    """(doc_id, rk, fp, n, bits, wide, first): each row's key, the id of its set of shingles, their number, parities, and those that a near text may share first."""
     common = commonness(docs, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, ns, bits, first = [], [], [], []
+            fps, ns, bits, wide, first = [], [], [], [], []
             for text in b.column("text").to_pylist():
                 h = distinct_shingles(text, size)
                 fps.append(set_id(h))
                 ns.append(len(h))
                 bits.append(parities(h))
+                wide.append(wide_parities(h))
                 kept = len(h) - int(np.ceil(similarity * len(h) - 1e-6)) + 1 if len(h) else 0
                 first.append(h[np.lexsort((h, common[_bucket(h)]))[:kept]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rk"), pa.array(fps, pa.int64()), pa.array(ns, pa.int32()), pa.array(bits, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "rk", "fp", "n", "bits", "first"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rk"), pa.array(fps, pa.int64()), pa.array(ns, pa.int32()), pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "rk", "fp", "n", "bits", "wide", "first"])
 
     d = documents_of(docs).select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("rk"), F.col("text").cast("binary").alias("text"))
-    return d.mapInArrow(tidy(run), "doc_id bigint, rk bigint, fp bigint, n int, bits binary, first array<bigint>")
+    return d.mapInArrow(tidy(run), "doc_id bigint, rk bigint, fp bigint, n int, bits binary, wide binary, first array<bigint>")
 
 
 def text_shards(nodes: DataFrame, similarity: float) -> DataFrame:
@@ -269,6 +290,9 @@ def text_shards(nodes: DataFrame, similarity: float) -> DataFrame:
             if not b.num_rows:
                 continue
             rows = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks()
+            sh, fp = (rows.column(c).to_numpy() for c in ("sh", "fp"))
+            again = np.concatenate([[False], (sh[1:] == sh[:-1]) & (fp[1:] == fp[:-1])])  # rows that are the same
+            rows = rows.filter(pa.array(~again)).combine_chunks()
             sh, fp, n, pos = (rows.column(c).to_numpy() for c in ("sh", "fp", "n", "pos"))
             same = np.concatenate([[joined], sh[1:] == sh[:-1]])
             rest = n - pos
@@ -358,26 +382,28 @@ def open_pairs(shards: DataFrame, nodes: DataFrame, comps: DataFrame, limit: int
 
 
 def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` whose parities allow the similarity."""
+    """Those of ``pairs`` whose wide parities allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = b.column("n").to_numpy() + b.column("m").to_numpy()
-            ok = _differ(_bits(b.column("x")), _bits(b.column("y"))) <= n - 2 * least_common(n, similarity) if b.num_rows else np.empty(0, bool)
-            yield b.select(["src", "dst"]).filter(pa.array(ok, pa.bool_()))
+            far = np.array([apart(x, y) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)], dtype=np.int64)
+            yield b.select(["src", "dst"]).filter(pa.array(far <= n - 2 * least_common(n, similarity), pa.bool_()))
 
-    both = pairs.join(nodes.select(F.col("fp").alias("src"), "n", F.col("bits").alias("x")), "src")
-    both = both.join(nodes.select(F.col("fp").alias("dst"), F.col("n").alias("m"), F.col("bits").alias("y")), "dst")
+    both = pairs.join(nodes.select(F.col("fp").alias("src"), "n", F.col("wide").alias("x")), "src")
+    both = both.join(nodes.select(F.col("fp").alias("dst"), F.col("n").alias("m"), F.col("wide").alias("y")), "dst")
     return both.select("src", "dst", "n", "m", "x", "y").mapInArrow(tidy(run), "src bigint, dst bigint")
 
 
-def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (src, dst) whose texts share enough of their distinct shingles; a node's text is that of its first row.
+def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, similarity: float, made: list[DataFrame]) -> DataFrame:
+    """Those of ``pairs`` (src, dst; written) whose texts share enough of their distinct shingles; a node's text is that of its first row.
 
-    Only sorted hashes of linked texts move; a pair needs both of its own in memory, nothing else.
+    Only sorted hashes of linked texts move; a pair needs both of its own in memory, nothing else. ``made`` has the sets of earlier
+    calls, and gets those that this one makes.
     """
-    pairs = written(pairs.distinct(), "pairs")
     ends = pairs.select(F.explode(F.array("src", "dst")).alias("fp")).distinct()
+    for earlier in made:
+        ends = ends.join(earlier.select("fp"), "fp", "left_anti")
     wanted = nodes.join(ends, "fp").select(F.col("least.rk").alias("key"))
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,7 +422,8 @@ def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, si
 
     d = documents_of(docs)
     texts = among(d, row_key(d["doc_id"], d["text"]), wanted, "linked").select(F.col("text").cast("binary").alias("text"))
-    sets = written(texts.mapInArrow(tidy(shingles), "fp bigint, h binary").dropDuplicates(["fp"]), "shingles")
+    made.append(written(texts.mapInArrow(tidy(shingles), "fp bigint, h binary").dropDuplicates(["fp"]), "shingles"))
+    sets = reduce(DataFrame.unionByName, made)
     both = pairs.join(sets.select(F.col("fp").alias("src"), F.col("h").alias("x")), "src").join(sets.select(F.col("fp").alias("dst"), F.col("h").alias("y")), "dst")
     return both.select("src", "dst", "x", "y").mapInArrow(tidy(compare), "src bigint, dst bigint")
 
@@ -424,16 +451,18 @@ def near_text_groups(docs: DataFrame, size: int = TEXT_SHINGLE, similarity: floa
     """
     marked = written(text_sets(docs, size, similarity), "sets")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")).alias("least")
-    nodes = written(marked.groupBy("fp").agg(least, F.first(F.struct("n", "bits", "first")).alias("of")).select("fp", "least", "of.n", "of.bits", "of.first"), "nodes")
-    shards = written(text_shards(nodes, similarity), "shards")
-    pairs = shards.where("prev is not null").select(F.col("prev").alias("src"), F.col("fp").alias("dst")).distinct()
-    found, limit = written(confirmed(docs, nodes, possible(pairs, nodes, similarity), size, similarity), "near"), FIRST
+    nodes = written(marked.groupBy("fp").agg(least, F.first(F.struct("n", "bits", "wide")).alias("of")).select("fp", "least", "of.n", "of.bits", "of.wide"), "nodes")
+    shards = written(text_shards(among(marked, marked["rk"], nodes.select(F.col("least.rk").alias("key")), "first-rows"), similarity), "shards")
+    made: list[DataFrame] = []
+    check = lambda pairs: written(confirmed(docs, nodes, written(possible(pairs, nodes, similarity), "pairs"), size, similarity, made), "near")
+    tested = written(shards.where("prev is not null").select(F.col("prev").alias("src"), F.col("fp").alias("dst")).distinct(), "candidates")
+    found, limit = check(tested), FIRST
     while True:
         comps = written(components(found).select(F.col("id").alias("fp"), "comp"), "components")
         pairs = written(open_pairs(shards, nodes, comps, limit, similarity, block), "candidates")
-        some = pairs.where("src is not null")
+        some = written(pairs.where("src is not null").join(tested, ["src", "dst"], "left_anti"), "new-candidates")
         if not some.isEmpty():
-            found = found.unionByName(written(confirmed(docs, nodes, some, size, similarity), "near"))
+            found, tested = found.unionByName(check(some)), tested.unionByName(some)
         if pairs.where("src is null").isEmpty():
             break
         limit *= GROWTH
