@@ -7,7 +7,9 @@ its still open windows hold is laid end to end and cut at window bounds, so a pa
 
 A task holds its open windows only: at most some hundred KB of ids for each thousand levels. Placement needs nothing from
 other partitions, so there is no shuffle and no bottleneck; padding is under one window for each input partition. A retried
-task reads the same rows and gives the same result. Null and empty texts are the end id alone; repeated rows are packed each.
+task reads the same rows and gives the same result. Null and empty texts are the end id alone; repeated rows are packed each, and
+rows that share an id are documents of their own. A very long text is encoded whole, four bytes an id, and cut into full windows.
+An empty table gives no rows.
 """
 
 from __future__ import annotations

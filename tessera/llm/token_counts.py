@@ -6,7 +6,8 @@ remembers nothing over a cut. A cut counts if the left chunk goes on far enough
 characters) that its own end cannot have made it. If no cut agrees, the overlap is doubled, at last to the whole text. Files
 of tokenizers for which this isn't proven are encoded whole.
 
-Null and empty texts have 0 tokens. Rows stay rows: repeated ids are counted one by one. An empty table gives none.
+Null and empty texts have 0 tokens. Rows stay rows: repeated ids are counted one by one. An empty table gives none. Very long
+texts are counted whole; a single word of more than a chunk, such as a run of white space, goes to the library in one piece.
 """
 
 from __future__ import annotations

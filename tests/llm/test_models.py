@@ -124,6 +124,53 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.count() == len(rows) + 3 - len(bad) and kept.columns == docs.columns
 
 
+def test_scores_equal_a_plain_version(spark):
+    """Lexicon, votes, posteriors and classifier over lists."""
+    rows, labels, _ = toxic_corpus(700)
+    learn = {i: y for i, _, y in labels if crc32(str(i).encode()) % 5}
+    toxic, clean = ([(i, t) for i, t in rows if learn.get(i) == y] for y in (1, 0))
+    words = lambda t: set(re.sub("[^a-z]", " ", t.lower()).split())
+    a, b = Counter(w for t in {t for _, t in toxic} for w in words(t)), Counter(w for _, t in clean for w in words(t))
+    rate, marks = len(toxic) / (len(toxic) + len(clean)), []
+    for w, n in a.items():
+        gain = 2 * (n * math.log(n / ((n + b[w]) * rate)) + (b[w] * math.log(b[w] / ((n + b[w]) * (1 - rate))) if b[w] else 0))
+        odds = math.log((n + 0.5) / (len(toxic) + 1)) - math.log((b[w] + 0.5) / (len(clean) + 1))
+        if n >= 3 and gain >= 20 and odds >= math.log(8):
+            marks.append((-gain, w))
+    marks = [w for _, w in sorted(marks)]
+    assert {"blarg", "snork", "frobble", "gleep"} <= set(marks)
+    frame = lambda some: spark.createDataFrame([(t.encode(),) for _, t in some], "text binary")
+    assert toxicity.lexicon(frame(toxic), frame(clean)) == marks
+
+    read = [toxicity.Voters(marks).read(t.encode()) for _, t in rows]
+    for (_, t), (votes, hits) in zip(rows, read, strict=True):
+        assert hits == sorted(marks.index(w) for w in words(t) & set(marks))
+        assert all((votes >> k & 1) == any(h % 8 == k for h in hits) for k in range(8)) and (votes >> 8 & 1) == (len(hits) > 1)
+    patterns = Counter((v, learn.get(i, -1)) for (i, _), (v, _) in zip(rows, read, strict=True))
+    model = toxicity.fit_label_model(*np.array([*patterns]).T, np.array([*patterns.values()], dtype=float))
+    x = np.zeros((len(rows), len(marks) + 17))
+    for row, (votes, hits) in zip(x, read, strict=True):
+        row[hits] = 1
+        row[len(marks) : -1] = [votes >> k & 1 for k in range(16)]
+        row[-1] = 1
+    y, w = model.posterior(np.array([v for v, _ in read])), np.zeros(x.shape[1])
+    ridge = np.diag([1.0] * (x.shape[1] - 1) + [1e-3])
+    for _ in range(200):  # reweighted least squares
+        p = 1 / (1 + np.exp(-x @ w))
+        v = np.maximum(p * (1 - p), 1e-9)
+        w = np.linalg.solve(x.T * v @ x + ridge, x.T @ (v * (x @ w) + y - p))
+    got = {r.doc_id: r.score for r in toxicity.scores(documents(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()}
+    assert np.allclose([got[i] for i, _ in rows], 1 / (1 + np.exp(-x @ w)), atol=1e-4)
+
+
+def test_toxic_rows_go_by_their_own_text(spark):
+    rows, labels, bad = toxic_corpus()
+    one = next(i for i in sorted(bad))
+    docs = documents(spark, [*rows, (one, "a clean text under the same id")])
+    kept = toxicity.without_toxic(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    assert [r.text for r in kept.where(kept["doc_id"] == one).collect()] == ["a clean text under the same id"]
+
+
 def test_toxicity_without_labels(spark):
     docs = documents(spark)
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
