@@ -164,6 +164,12 @@ def _offsets(spark: SparkSession, d: str) -> DataFrame:
     return read_lines_with_offset(spark, path)
 
 
+def _offset_search(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of that file that hold either word, fetched by their offsets."""
+    found = _offsets(spark, d).select(F.col("docno").alias("doc_id"), F.col("line").alias("text"))
+    return search.with_snippets(search.boolean(search.postings(found), "building machinery OR"), found)
+
+
 def _batches(spark: SparkSession, d: str) -> DataFrame:
     """Events that arrive week by week, counted by batch."""
     path = fresh_path(spark, "arrivals")
@@ -229,6 +235,7 @@ QUERIES: dict[str, Query] = {
     "event_batches": _batches,
     "log_mass": _log_mass,
     "line_offsets": _offsets,
+    "offset_search": _offset_search,
     "random_kv": lambda s, d: random_key_values(s, 1000, 2, 100, seed=7),
 }
 
@@ -316,6 +323,7 @@ ORACLE: dict[str, str] = {
     "event_batches": "select row_number() over (order by w) - 1 as batch, cnt, first_ts from (select date_trunc('week', ts) as w, count(*) as cnt, min(ts) as first_ts from events group by 1)",
     "log_mass": "select event_type as k, round(ln(sum(value)), 6) as x from events where value > 0 group by event_type",
     "line_offsets": "with l as (select c_custkey, c_name || ' ' || c_mktsegment as line from customer) select (coalesce(sum(octet_length(encode(line)) + 1) over (order by c_custkey rows between unbounded preceding and 1 preceding), 0))::bigint as docno, line from l",
+    "offset_search": "with l as (select c_custkey, c_mktsegment, c_name || ' ' || c_mktsegment as line from customer), o as (select c_mktsegment, (coalesce(sum(octet_length(encode(line)) + 1) over (order by c_custkey rows between unbounded preceding and 1 preceding), 0))::bigint as docno, line as snippet from l) select docno, snippet from o where c_mktsegment in ('BUILDING', 'MACHINERY')",
     "random_kv": f"select {_draw(1)} || {_draw(2)} as k, ({_draw(0, False)} % 100)::int as v from range(1000) as t(id)",
     "range_partition": f"with e as ({_EDGE}), v as (select src as id from e union select dst from e) select id, cast(floor(id / (select max(id) + 1 from v)::double * 5) % 5 as int) as part from v",
     "node_dump": f"with e as ({_EDGE}), v as (select src as id from e union select dst from e), a as (select v.id, list_sort(list_filter(list(e.dst), lambda x: x is not null)) as adj from v left join e on e.src = v.id group by v.id) select id, '{{' || id || ' ' || len(adj) || ' [' || array_to_string(list_transform(adj[1:10], lambda x: x::varchar), ', ') || ']}}' as txt from a",
