@@ -34,8 +34,9 @@ def bfs(nodes: DataFrame, source: int, steps: int | None = None) -> DataFrame:
     """(id, dist, adj): dist null where the source does not reach. Links to ids without a row are dropped.
 
     Each step sends only from the last frontier, so all steps together read each edge once; the loop ends with an empty one. The
-    adjacency lists stay where they are: a step writes its frontier, (id, dist), alone.
+    adjacency lists are written once: a step writes its frontier, (id, dist), alone.
     """
+    nodes = cut(nodes.select("id", "adj"))
     ids = nodes.select("id")
     frontier = cut(ids.where(F.col("id") == source).select("id", F.lit(0).alias("dist")))
     if frontier.isEmpty():
@@ -85,10 +86,10 @@ def pagerank(
     """
     if steps is None and tolerance is None:
         raise ValueError("steps or a tolerance are needed")
-    n = nodes.count() if n is None else n
+    structure = nodes.repartition("id").persist(StorageLevel.MEMORY_AND_DISK) if copartitioned else nodes
+    n = structure.count() if n is None else n
     if n <= 0:
         raise ValueError("a graph needs nodes")
-    structure = nodes.repartition("id").persist(StorageLevel.MEMORY_AND_DISK) if copartitioned else nodes
     prior: Column = F.lit(1.0 / n) if source is None else F.when(F.col("id") == source, 1.0).otherwise(0.0)
     ranks = nodes.sparkSession.read.schema("id int, p double").parquet(rank_path(keep, first)) if first else structure.select("id", prior.alias("p"))
     step = first

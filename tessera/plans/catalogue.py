@@ -222,7 +222,7 @@ QUERIES: dict[str, Query] = {
     "graph_encoded": _encoded,
     "pagerank_5": _log_rank,
     "pagerank_resumed_5": _resumed,
-    "pagerank_tolerance": lambda s, d: _log_rank(s, d, steps=None, tolerance=1e-9),
+    "pagerank_tolerance": lambda s, d: _log_rank(s, d, steps=None, tolerance=1e-13),
     "pagerank_top20": lambda s, d: counting.top_k(_log_rank(s, d), "logp", 20, "id"),
     "pagerank_copartitioned_5": lambda s, d: _log_rank(s, d, copartitioned=True),
     "pagerank_personalized_5": _personal,
@@ -318,7 +318,7 @@ ORACLE: dict[str, str] = {
     "bfs_report": f"{_BFS}, s as (select dist, count(*) as n from x group by dist) select dist, n, sum(n) over (order by dist)::bigint as reached from s",
     "graph_encoded": f"with e as materialized ({_EDGE}), v as (select src as id from e union select dst from e) select v.id, count(e.dst) as degree, coalesce(sum(e.dst), 0)::bigint as total, min(e.dst) as first_dst from v left join e on e.src = v.id group by v.id",
     "pagerank_resumed_5": f"{_rank_sql(5, _EVEN)} select id, round(ln(p), 5) as logp from r5",
-    "pagerank_tolerance": f"{_rank_sql(40, _EVEN)} select id, round(ln(p), 5) as logp from r40",
+    "pagerank_tolerance": f"{_rank_sql(60, _EVEN)} select id, round(ln(p), 5) as logp from r60",
     "kv_bytes": "select upper(hex(encode(event_type))) as k, printf('%08X', floor(value)::int & 4294967295::bigint) as v from events",
     "event_batches": "select row_number() over (order by w) - 1 as batch, cnt, first_ts from (select date_trunc('week', ts) as w, count(*) as cnt, min(ts) as first_ts from events group by 1)",
     "log_mass": "select event_type as k, round(ln(sum(value)), 6) as x from events where value > 0 group by event_type",
