@@ -21,7 +21,7 @@ of the text for rows that share an id), then by start.
    of each distinct piece is found by partial minima, and all other places of the piece are lost. If an anchor still has
    more than HOT distinct pieces, their windows are dealt on by a 128-bit hash of the whole window, again with partial minima;
    else its pieces go through step 3 with the first places alone. Joins back to places are salted.
-6. The removed ranges of a document meet its text in a join, and are cut out.
+6. The removed ranges of a document meet its text in a join, and are cut out. Texts without a removed range don't move.
 
 The textbook method keeps one transform of all suffixes of all documents and needs as many rounds as the longest document has bytes,
 each over everything; here a collection needs 168 rounds over its own pieces. Collections end at about COLLECTION pieces.
@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import salted_join, small_batches, tidy
-from tessera.llm.mapped import keys_of, load_bytes, remove, save_bytes, save_keys, shared_folder
+from tessera.llm.mapped import among, keys_of, load_bytes, remove, save_bytes, save_keys, shared_folder
 from tessera.plans.lineage import written
 
 SPAN, ANCHOR = 100, 32
@@ -347,7 +347,11 @@ def deduplicated(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
     d = docs.select(F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"), F.coalesce(docs["doc_id"].cast("bigint"), F.lit(2**63 - 1)).alias("d"), F.xxhash64(text).alias("th"), text.alias("text"))
     found = removed_ranges(d.select("d", "th", "text"))
     cuts = found.groupBy("d", "th").agg(F.collect_set(F.struct("start", "stop")).alias("cuts")).select(F.col("d").alias("cd"), F.col("th").alias("cth"), F.col("cuts.start").alias("starts"), F.col("cuts.stop").alias("stops"))
-    joined = d.join(cuts, (d["d"] == cuts["cd"]) & (d["th"] == cuts["cth"]), "left").select("row", "text", "starts", "stops")
+    cuts = written(cuts, "cuts")
+    key, keys = F.xxhash64(d["d"], d["th"]), cuts.select(F.xxhash64("cd", "cth").alias("key")).distinct()
+    joined = among(d, key, keys, "cut-rows").join(cuts, (d["d"] == cuts["cd"]) & (d["th"] == cuts["cth"]), "left").select("row", "text", "starts", "stops")
+    none = F.lit(0).cast("bigint")
+    whole = among(d, key, keys, "whole-rows", without=True).select("row", F.col("text").alias("kept"), F.octet_length("text").cast("bigint").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -359,7 +363,7 @@ def deduplicated(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["row", "kept", "n_bytes", "n_removed", "n_spans"])
 
     schema = joined.select("row").schema.add("kept", "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
-    return joined.mapInArrow(tidy(cut), schema)
+    return joined.mapInArrow(tidy(cut), schema).unionByName(whole)
 
 
 def cut_out(text: bytes, starts: list[int] | None, stops: list[int] | None) -> tuple[bytes, int]:
