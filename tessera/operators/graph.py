@@ -122,8 +122,9 @@ def components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame
     others: minima are pre-aggregated, and the join that spreads them is a plain equi-join that adaptive execution splits.
     """
     links = cut(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    rows = links.count()
     while True:
-        before = links
+        before, rows_before = links, rows
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -132,7 +133,8 @@ def components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         links = cut(small)
-        if links.count() == before.count() and links.join(before, ["u", "v"], "left_anti").isEmpty():  # no row has changed
+        rows = links.count()
+        if rows == rows_before and links.join(before, ["u", "v"], "left_anti").isEmpty():  # no row has changed
             break
     found = links.select(F.col("u").alias("id"), F.col("v").alias("comp"))
     if vertices is None:
