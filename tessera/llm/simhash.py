@@ -55,7 +55,7 @@ from tessera.plans.lineage import written
 SEED, SHINGLE, RADIUS, SHARD = 42, 3, 2, 2048
 #: For near texts: words of a shingle, share of common distinct shingles, members of a block, candidates of a member in the
 #: first round and their growth, bits of a bucket of shingles whose occurrences are counted, bits of a bucket of parities.
-TEXT_SHINGLE, SIMILARITY, BLOCK, FIRST, GROWTH, COMMON_BITS, PARITY_BITS = 5, 0.8, 2048, 4, 16, 18, 9
+TEXT_SHINGLE, SIMILARITY, BLOCK, FIRST, GROWTH, COMMON_BITS, PARITY_BITS = 5, 0.8, 2048, 16, 64, 18, 9
 _MASK = (1 << 64) - 1
 #: Odd factors that mix hashes anew.
 ORDERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
