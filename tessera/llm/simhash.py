@@ -20,7 +20,7 @@ Near texts (five words, a similarity of 0.8 of the sets of distinct shingles) ar
   of a set's shingles over some buckets differ in no more bits than there are shingles in one set alone (512 buckets for a
   first look, then as many as there are shingles). Both bounds are exact, so candidates are left out only where the
   similarity can't be reached. Whole sets then decide; a pair is looked at once, and a set is made once.
-* The first candidates are neighbours within shards. After that, confirmed links make components, and each round looks at all
+* The first candidates are the members of a shard with its first member. After that, confirmed links make components, and each round looks at all
   pairs of a shard that aren't in one component: members outside the largest component of the shard are dealt into blocks
   of BLOCK members, each block with itself, with later ones and with the blocks of that component as its own task. A round
   hands on a limited number of candidates for each member, and rounds with a larger number follow until nothing was held back.
@@ -282,10 +282,10 @@ def text_sets(docs: DataFrame, size: int, similarity: float) -> DataFrame:
 
 
 def text_shards(nodes: DataFrame, similarity: float) -> DataFrame:
-    """(sh, fp, n, pos, prev): nodes under their first shingles, where two nodes at least have one; prev is the neighbour that may be near."""
+    """(sh, fp, n, pos, head): nodes under their first shingles, where two nodes at least have one; head is the first of them if it may be near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, joined, before = None, False, None  # the last row, whether it has a neighbour before it, and that neighbour if it may be near
+        held, head, joined, near = None, None, False, False  # the last row, the head of its shard (fp, n, pos), whether it is another, and may be near
         for b in batches:
             if not b.num_rows:
                 continue
@@ -293,23 +293,25 @@ def text_shards(nodes: DataFrame, similarity: float) -> DataFrame:
             sh, fp = (rows.column(c).to_numpy() for c in ("sh", "fp"))
             again = np.concatenate([[False], (sh[1:] == sh[:-1]) & (fp[1:] == fp[:-1])])  # rows that are the same
             rows = rows.filter(pa.array(~again)).combine_chunks()
-            sh, fp, n, pos = (rows.column(c).to_numpy() for c in ("sh", "fp", "n", "pos"))
-            same = np.concatenate([[joined], sh[1:] == sh[:-1]])
-            rest = n - pos
-            may = np.concatenate([[False], same[1:] & (np.minimum(rest[1:], rest[:-1]) >= least_common(n[1:] + n[:-1], similarity))])
-            prev = np.concatenate([[0], fp[:-1]])
-            if before is not None:
-                may[0], prev[0] = True, before
-            keep = same[:-1] | same[1:]
-            out = rows.slice(0, len(sh) - 1).append_column("prev", pa.array(prev[:-1], pa.int64(), mask=~may[:-1]))
+            sh, *of = (rows.column(c).to_numpy() for c in ("sh", "fp", "n", "pos"))
+            new = np.concatenate([[True], sh[1:] != sh[:-1]])
+            start = np.maximum.accumulate(np.where(new, np.arange(len(sh)), 0))
+            heads = [x[start] for x in of]
+            if held is not None:
+                for x, known in zip(heads, head, strict=True):
+                    x[start == 0] = known
+            other = (np.arange(len(sh)) != start) | ((start == 0) & joined)
+            may = other & (np.minimum(of[1] - of[2], heads[1] - heads[2]) >= least_common(of[1] + heads[1], similarity))
+            keep = other[:-1] | ~new[1:]
+            out = rows.slice(0, len(sh) - 1).append_column("head", pa.array(heads[0][:-1], pa.int64(), mask=~may[:-1]))
             for x in out.filter(pa.array(keep, pa.bool_())).combine_chunks().to_batches():
-                yield pa.RecordBatch.from_arrays(x.columns, ["sh", "fp", "n", "pos", "prev"])
-            held, joined, before = rows.slice(len(sh) - 1).combine_chunks().to_batches()[0], bool(same[-1]), int(prev[-1]) if may[-1] else None
+                yield pa.RecordBatch.from_arrays(x.columns, ["sh", "fp", "n", "pos", "head"])
+            held, head, joined, near = rows.slice(len(sh) - 1).combine_chunks().to_batches()[0], [int(x[-1]) for x in heads], bool(other[-1]), bool(may[-1])
         if joined:
-            yield pa.RecordBatch.from_arrays([*held.columns, pa.array([before], pa.int64())], ["sh", "fp", "n", "pos", "prev"])
+            yield pa.RecordBatch.from_arrays([*held.columns, pa.array([head[0] if near else None], pa.int64())], ["sh", "fp", "n", "pos", "head"])
 
     keyed = nodes.select("fp", "n", F.posexplode("first").alias("pos", "sh")).select("sh", "fp", "n", "pos")
-    return keyed.repartition("sh").sortWithinPartitions("sh", "fp").mapInArrow(tidy(run), "sh bigint, fp bigint, n int, pos int, prev bigint")
+    return keyed.repartition("sh").sortWithinPartitions("sh", "fp").mapInArrow(tidy(run), "sh bigint, fp bigint, n int, pos int, head bigint")
 
 
 def _bits(column: pa.Array) -> np.ndarray:
@@ -428,9 +430,13 @@ def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, si
     return both.select("src", "dst", "x", "y").mapInArrow(tidy(compare), "src bigint, dst bigint")
 
 
-def _named(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """(fp, first): for each node the first row of all nodes that the links reach."""
-    linked = components(written(found.distinct(), "links")).select(F.col("id").alias("fp"), "comp")
+def _components(found: DataFrame) -> DataFrame:
+    """(fp, comp) of the linked nodes."""
+    return written(components(found).select(F.col("id").alias("fp"), "comp"), "components")
+
+
+def _named(nodes: DataFrame, linked: DataFrame) -> DataFrame:
+    """(fp, first): for each node the first row of all nodes of its component; ``linked`` has fp and comp of those that aren't alone."""
     named = nodes.select("fp", "least").join(linked, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     names = written(named.groupBy("comp").agg(F.min("least").alias("first")), "names")
     return salted_join(named.select("fp", "comp"), names, ["comp"]).select("fp", "first")
@@ -440,7 +446,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id): the contract's fingerprints, linked at two or fewer differing bits."""
     marked = written(fingerprints(docs, size), "fingerprints")
     nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    named = written(_named(nodes, links(block_shards(nodes), RADIUS)), "named")
+    named = written(_named(nodes, _components(written(links(block_shards(nodes), RADIUS).distinct(), "links"))), "named")
     return salted_join(marked, named, ["fp"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first").alias("component_id"))
 
 
@@ -455,18 +461,21 @@ def near_text_groups(docs: DataFrame, size: int = TEXT_SHINGLE, similarity: floa
     shards = written(text_shards(among(marked, marked["rk"], nodes.select(F.col("least.rk").alias("key")), "first-rows"), similarity), "shards")
     made: list[DataFrame] = []
     check = lambda pairs: written(confirmed(docs, nodes, written(possible(pairs, nodes, similarity), "pairs"), size, similarity, made), "near")
-    tested = written(shards.where("prev is not null").select(F.col("prev").alias("src"), F.col("fp").alias("dst")).distinct(), "candidates")
+    tested = written(shards.where("head is not null").select(F.col("head").alias("src"), F.col("fp").alias("dst")).distinct(), "candidates")
     found, limit = check(tested), FIRST
+    comps = _components(found)
     while True:
-        comps = written(components(found).select(F.col("id").alias("fp"), "comp"), "components")
         pairs = written(open_pairs(shards, nodes, comps, limit, similarity, block), "candidates")
         some = written(pairs.where("src is not null").join(tested, ["src", "dst"], "left_anti"), "new-candidates")
         if not some.isEmpty():
-            found, tested = found.unionByName(check(some)), tested.unionByName(some)
+            more, tested = check(some), tested.unionByName(some)
+            if not more.isEmpty():
+                found = found.unionByName(more)
+                comps = _components(found)
         if pairs.where("src is null").isEmpty():
             break
         limit *= GROWTH
-    named = written(_named(nodes, found).select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.rk").alias("first")), "named")
+    named = written(_named(nodes, comps).select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.rk").alias("first")), "named")
     return salted_join(marked.select("doc_id", "rk", "fp"), named, ["fp"]).select("doc_id", "rk", "component_id", "first")
 
 

@@ -331,6 +331,9 @@ def test_short_near_texts_are_all_found(spark):
 
 def test_shards_that_end_a_partition(spark):
     nodes = spark.createDataFrame([(i, 5, [1, 2, 100 + i]) for i in range(6)], "fp bigint, n int, first array<bigint>")
-    got = {(r.sh, r.fp, r.pos): r.prev for r in simhash.text_shards(nodes.coalesce(1), 0.8).collect()}
-    assert {*got} == {(k, i, k - 1) for k in (1, 2) for i in range(6)}
-    assert all(prev == (fp - 1 if fp else None) for (sh, fp, _), prev in got.items() if sh == 1)
+    for batch in (10_000, 1, 2, 5):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = {(r.sh, r.fp, r.pos): r.head for r in simhash.text_shards(nodes.union(nodes).coalesce(1), 0.8).collect()}
+        assert {*got} == {(k, i, k - 1) for k in (1, 2) for i in range(6)}
+        assert all(head == (0 if fp else None) for (sh, fp, _), head in got.items() if sh == 1)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
