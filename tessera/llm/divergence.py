@@ -25,6 +25,7 @@ names do no harm; an empty table gives no rows.
 from __future__ import annotations
 
 import os
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,28 +46,53 @@ BYTES = 2
 #: Rows that a task compares at once, about; pairs that it holds before it adds them up.
 BLOCK, HELD = 65_536, 1 << 20
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Terms that a task holds before it hands on what it has counted.
+COUNTED = 1 << 18
+#: What a byte of UTF-8 becomes: A-Z lower-cased, other letters and all bytes beyond ASCII kept, everything else a blank.
+LETTERS = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
-def terms(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(text, _UPPER, _LOWER), _BETWEEN), "")
+def terms(text: bytes) -> list[bytes]:
+    return text.translate(LETTERS).split()
 
 
 def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.coalesce(docs[c].cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """(lang, source, term, cnt, docs): occurrences of terms and documents that have them, partial sums of tasks."""
+    names = ["lang", "source", "term", "cnt", "docs"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], tuple[Counter[bytes], Counter[bytes]]] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (cnt, seen) in held.items():
+                own = [*cnt]
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(x, pa.string()), len(own)) for x in (lang, source)] + [pa.array(own, pa.binary()), pa.array([*cnt.values()], pa.int64()), pa.array([seen[t] for t in own], pa.int64())], names)
+            held.clear()
+
+        for b in batches:
+            for lang, source, text in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
+                cnt, seen = held.setdefault((lang, source), (Counter(), Counter()))
+                found = terms(text)
+                cnt.update(found)
+                seen.update({*found})
+            if sum(len(cnt) for cnt, _ in held.values()) > COUNTED:
+                yield from out()
+        yield from out()
+
+    rows = _plain(docs).withColumn("text", F.col("text").cast("binary")).mapInArrow(tidy(run), "lang string, source string, term binary, cnt bigint, docs bigint")
+    return rows.withColumn("term", F.col("term").cast("string"))
+
+
 def cells(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(lang, source, term, cnt, of_lang, leads): occurrences of kept terms in each source that has them, and in the language.
 
-    A token and a document's first sight of a term are a row each of one partial aggregate, so texts are cut once. ``leads`` is true
-    in one row of each term of a language.
+    ``leads`` is true in one row of each term of a language.
     """
-    cut = _plain(docs).select("lang", "source", terms(F.col("text")).alias("t"))
-    both = F.array(F.struct(F.lit(1).alias("one"), F.col("t").alias("t")), F.struct(F.lit(0).alias("one"), F.array_distinct("t").alias("t")))
-    seen = cut.select("lang", "source", F.inline(both)).select("lang", "source", "one", F.explode("t").alias("term"))
-    held = seen.groupBy("lang", "source", "term").agg(F.sum("one").alias("cnt"), F.sum(F.lit(1) - F.col("one")).alias("docs"))
+    held = counted(docs).groupBy("lang", "source", "term").agg(F.sum("cnt").alias("cnt"), F.sum("docs").alias("docs"))
     of_term = Window.partitionBy("lang", "term")  # a row for each source
     summed = held.select("lang", "source", "term", "cnt", F.sum("cnt").over(of_term).alias("of_lang"), F.sum("docs").over(of_term).alias("docs"), (F.min("source").over(of_term) == F.col("source")).alias("leads"))
     return summed.where(F.col("docs") >= min_docs).drop("docs")

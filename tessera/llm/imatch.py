@@ -4,7 +4,8 @@ The lexicon keeps the terms whose inverse document frequency, ln(documents / doc
 is in one of e^high documents at least makes room for e^high times the mean number of distinct terms of a text, so its size doesn't grow
 with the number of documents; it is broadcast if its counted rows and bytes allow it, else the join shuffles with a salt.
 
-A fingerprint has the hash of all its lexicon terms, and hashes of the terms in randomised subsets of the lexicon. A subset that holds
+A fingerprint has the hash of all its lexicon terms, and hashes of the terms in randomised subsets of the lexicon; terms are sorted as 64-bit
+numbers, by which they are dealt to subsets too. A subset that holds
 many terms of a text changes with any edit, and one that holds none says nothing: so subsets of one term or so in a text are wanted,
 and their size follows the text. At level l the lexicon is dealt by a hash into 2^l subsets, of which the first SUBSETS are looked at; a text
 of n distinct terms has the levels floor(log2 n) and the next. Levels are nested, equal texts have equal levels, and texts that differ
@@ -32,8 +33,8 @@ from tessera.llm.common import salted_join
 from tessera.llm.decontam import words
 from tessera.plans.lineage import written
 
-#: The band of inverse document frequency, the subsets of a level, hex digits of a subset's hash.
-LOW, HIGH, SUBSETS, DIGITS = 1.0, 8.0, 64, 4
+#: The band of inverse document frequency, the subsets of a level, bits of a subset's hash.
+LOW, HIGH, SUBSETS, BITS = 1.0, 8.0, 32, 16
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -80,43 +81,40 @@ def edited(docs: DataFrame) -> DataFrame:
     return base.join(begins, "k").select("k", "row.doc_id", "row.n_chars", "copies", "prev_k", F.col("row.text").alias("text"), F.concat(own, "begin").alias("edited"))
 
 
-def _slots(term: Column, level: Column) -> Column:
-    """array<int>: 0, and the subsets of both levels that are looked at and hold the term; those of the second come after those of the first."""
-    h = F.xxhash64(term)
-    at = lambda l: h.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), l) - 1)
-    slot = lambda l, first: F.when(at(l) < SUBSETS, at(l).cast("int") + first)
-    return F.array(F.lit(0), slot(level, 1), slot(level + 1, 1 + SUBSETS))
-
-
 def signatures(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(k, of, base0, level0, low0, high0, base1, ..) of the two texts t0 and t1 of each key; low and high are the subsets' hashes at the two levels.
+    """(k, of, base0, low0, high0, base1, low1, high1) of the two texts t0 and t1 of each key, ``of`` having their levels besides.
 
-    ``of`` travels in a row of its own, without terms. Bases of texts without lexicon terms are null.
+    low and high are the subsets' hashes at the two levels, with the subset's number before the hash. ``of`` travels in a row of its own,
+    without terms. Bases of texts without lexicon terms are null.
     """
-    cut = texts.select("k", "of", F.array_distinct(words(F.col("t0"))).alias("a"), F.array_distinct(words(F.col("t1"))).alias("b"))
     level = lambda c: F.floor(F.log2(F.greatest(F.size(c), F.lit(1)))).cast("int")
-    side = lambda i, c, l: F.struct(F.lit(i).alias("side"), l.alias("level"), c.alias("t"))
-    sides = cut.select("k", "of", F.inline(F.array(side(0, F.col("a"), level("a")), side(1, F.col("b"), level("b")), side(2, F.array().cast("array<string>"), F.lit(0)))))
-    each = sides.select("k", F.when(F.col("side") == 2, F.col("of")).alias("of"), "side", "level", F.explode_outer("t").alias("term"))
-    known = salted_join(each, terms.withColumn("known", F.lit(True)), ["term"], "left").where("known or side = 2")
-    spread = known.select("k", "of", "side", "level", "term", F.explode(_slots(F.col("term"), F.col("level"))).alias("slot")).where("slot is not null")
-    hashed = spread.groupBy("k", "side", "level", "slot").agg(F.md5(F.concat_ws(" ", F.sort_array(F.collect_list("term")))).alias("hash"), F.first("of").alias("of"))
-    mark = F.concat(F.lower(F.lpad(F.hex((F.col("slot") - 1) % SUBSETS), 2, "0")), F.left("hash", F.lit(DIGITS)))
-    out = [F.first("of", ignorenulls=True).alias("of")]
+    cut = texts.select("k", "of", F.array_distinct(words(F.col("t0"))).alias("a"), F.array_distinct(words(F.col("t1"))).alias("b"))
+    cut = cut.select("k", F.struct("of.*", level("a").alias("level0"), level("b").alias("level1")).alias("of"), "a", "b")
+    side = lambda i, c: F.struct(F.lit(i).alias("side"), c.alias("t"))
+    sides = cut.select("k", "of", F.inline(F.array(side(0, F.col("a")), side(1, F.col("b")), side(2, F.array().cast("array<string>")))))
+    each = sides.select("k", F.when(F.col("side") == 2, F.col("of")).alias("of"), "side", F.explode_outer("t").alias("term"))
+    known = salted_join(each, terms.withColumn("h", F.xxhash64("term")), ["term"], "left").where("h is not null or side = 2")
+    listed = [F.sort_array(F.collect_list(F.when(F.col("side") == i, F.col("h")))).alias(f"h{i}") for i in (0, 1)]
+    held = known.select("k", "of", "side", "h").groupBy("k").agg(F.first("of", ignorenulls=True).alias("of"), *listed)
+
+    def subsets(h: str, level: Column) -> Column:
+        mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), level) - 1
+        few = F.filter(h, lambda x: x.bitwiseAND(mask) < SUBSETS)
+        numbers = F.array_sort(F.array_distinct(F.transform(few, lambda x: x.bitwiseAND(mask))))
+        own = lambda n: F.xxhash64(F.filter(few, lambda x: x.bitwiseAND(mask) == n)).bitwiseAND(F.lit((1 << BITS) - 1))
+        return F.transform(numbers, lambda n: (n * (1 << BITS) + own(n)).cast("int"))
+
+    out = []
     for i in (0, 1):
-        own = F.col("side") == i
-        out += [
-            F.max(F.when(own & (F.col("slot") == 0), F.left("hash", F.lit(16)))).alias(f"base{i}"),
-            F.max(F.when(own, F.col("level"))).alias(f"level{i}"),
-            F.sort_array(F.collect_list(F.when(own & F.col("slot").between(1, SUBSETS), mark))).alias(f"low{i}"),
-            F.sort_array(F.collect_list(F.when(own & (F.col("slot") > SUBSETS), mark))).alias(f"high{i}"),
-        ]
-    return hashed.groupBy("k").agg(*out)
+        at = F.col(f"of.level{i}")
+        out += [F.when(F.size(f"h{i}") > 0, F.xxhash64(f"h{i}")).alias(f"base{i}"), subsets(f"h{i}", at).alias(f"low{i}"), subsets(f"h{i}", at + 1).alias(f"high{i}")]
+    return held.select("k", "of", *out)
 
 
 def fingerprint(s: str) -> Column:
     """The text form: hash of all terms, level, hashes of both levels' subsets."""
-    return F.concat_ws(":", f"base{s}", F.col(f"level{s}").cast("string"), F.array_join(f"low{s}", ""), F.array_join(f"high{s}", ""))
+    marks = lambda c: F.array_join(F.transform(c, lambda x: F.lpad(F.hex(x), (BITS + 8) // 4, "0")), "")
+    return F.lower(F.concat_ws(":", F.lpad(F.hex(f"base{s}"), 16, "0"), F.col(f"level{s}").cast("string"), marks(f"low{s}"), marks(f"high{s}")))
 
 
 def likeness(s: str, t: str) -> Column:
@@ -138,10 +136,12 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataF
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row."""
     terms = written(lexicon(docs, low, high), "lexicon")
     texts = edited(docs)
-    marked = texts.select("k", F.struct("doc_id", "n_chars", "copies", "prev_k", F.sha2("edited", 256).alias("edited_sha256")).alias("of"), F.col("text").alias("t0"), F.col("edited").alias("t1"))
-    found = signatures(marked, terms).select("*", "of.*").drop("of").na.fill(0, ["level0", "level1"])
-    own, changed = F.lower(F.hex(F.substring("k", 1, 8))), F.left("edited_sha256", F.lit(16))  # of whole texts
-    found = written(found.withColumn("base0", F.coalesce("base0", own)).withColumn("base1", F.coalesce("base1", changed)), "signatures")
+    of = F.struct("doc_id", "n_chars", "copies", "prev_k", F.unhex(F.sha2("edited", 256)).alias("edited_sha256"))
+    found = signatures(texts.select("k", of.alias("of"), F.col("text").alias("t0"), F.col("edited").alias("t1")), terms).select("*", "of.*").drop("of")
+    whole = lambda c: F.conv(F.hex(F.substring(c, 1, 8)), 16, -10).cast("bigint")  # noqa: E731  the first 64 bits of a text's SHA-256
+    found = found.withColumn("base0", F.coalesce("base0", whole("k"))).withColumn("base1", F.coalesce("base1", whole("edited_sha256")))
+    found = written(found, "signatures")
     follower = found.select(F.col("prev_k").alias("k"), *[F.col(f"{c}0").alias(f"{c}2") for c in ("base", "level", "low", "high")])
-    both = found.join(follower, "k").select("doc_id", "n_chars", "edited_sha256", fingerprint("0").alias("fingerprint"), fingerprint("1").alias("edited_fingerprint"), likeness("0", "1").alias("near_edited"), likeness("0", "2").alias("near_next"), "copies")
+    both = found.join(follower, "k")
+    both = both.select("doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), fingerprint("0").alias("fingerprint"), fingerprint("1").alias("edited_fingerprint"), likeness("0", "1").alias("near_edited"), likeness("0", "2").alias("near_next"), "copies")
     return both.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).drop("copies", "copy")
