@@ -5,26 +5,31 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import int_bytes, string_bytes
 from tessera.operators import counting, graph, search
 from tessera.plans.lineage import fresh_path
-from tessera.sources.text import LETTERS, get_key, lines, put_table, random_key_values, read_lines, read_lines_with_offset, spread, table
-from tessera.streaming.events import arrive, batch_counts, hourly_count, run_available, stream_of
+from tessera.sources.arrivals import arrivals
+from tessera.sources.text import LETTERS, get_key, lines, put_table, random_pairs, read_lines, read_lines_with_offset, spread, table, write_collection
+from tessera.streaming.events import BatchLog, arrive, batch_counts, hourly_count, run_available, stream_of
+from tessera.streaming.spine import closed_windows, count_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 TERM = "les"
 RPN = {"boolean_and": "und la AND", "boolean_or": "scum trash OR", "boolean_nested": "the le OR und AND"}
+LINES = "scum trash OR"
 SOURCE = 1
-#: What is written once in a session and then looked up, by session, tables and name.
-_STORED: dict[tuple[str, str, str], str] = {}
+BUCKETS = 8
+#: What is written once in a session and then looked up, by session, name, and the files and times of the table it was made from.
+_STORED: dict[tuple, str] = {}
 
 
-def _once(spark: SparkSession, d: str, name: str, make: Callable[[], str]) -> str:
-    key = (spark.sparkContext.applicationId, d, name)
+def _once(spark: SparkSession, d: str, source: str, name: str, make: Callable[[], str]) -> str:
+    files = table(spark, d, source).select("_metadata.file_path", "_metadata.file_modification_time").distinct().collect()
+    key = (spark.sparkContext.applicationId, name, tuple(sorted(map(tuple, files))))
     if key not in _STORED:
         _STORED[key] = make()
     return _STORED[key]
@@ -54,7 +59,31 @@ def _stored_posts(spark: SparkSession, d: str) -> DataFrame:
         search.store(_posts(spark, d), path)
         return path
 
-    return search.stored(spark, _once(spark, d, "index", make))
+    return search.stored(spark, _once(spark, d, "documents", "index", make))
+
+
+def _stored_bits(spark: SparkSession, d: str) -> DataFrame:
+    def make() -> str:
+        path = fresh_path(spark, "bitmaps")
+        search.store_bitmaps(_posts(spark, d), path)
+        return path
+
+    return search.stored_bitmaps(spark, _once(spark, d, "documents", "bitmaps", make))
+
+
+def _snippets_of(spark: SparkSession, d: str) -> DataFrame:
+    def make() -> str:
+        path = fresh_path(spark, "snippets")
+        search.store_snippets(_documents(spark, d), path)
+        return path
+
+    return spark.read.schema("docno bigint, snippet string").parquet(_once(spark, d, "documents", "snippets", make))
+
+
+def _index_build(spark: SparkSession, d: str) -> DataFrame:
+    """Builds the index of bitmaps anew and reads it whole."""
+    built = search.store_bitmaps(_posts(spark, d), fresh_path(spark, "bitmaps"))
+    return built.groupBy("term").agg(F.sum(F.bitmap_count("bits")).alias("df"))
 
 
 def _kv_lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +92,7 @@ def _kv_lookup(spark: SparkSession, d: str) -> DataFrame:
         put_table(_words(spark, d), name, "term")
         return name
 
-    return get_key(spark, _once(spark, d, "words", make), "term", TERM)
+    return get_key(spark, _once(spark, d, "documents", "words", make), "term", TERM)
 
 
 def _kv_bytes(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +130,7 @@ def _cooccur_stripes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _boolean(name: str) -> Query:
-    return lambda spark, d: search.with_snippets(search.boolean(_stored_posts(spark, d), RPN[name]), _documents(spark, d))
+    return lambda spark, d: search.with_snippets(search.docnos(search.boolean_bits(_stored_bits(spark, d), RPN[name])), _snippets_of(spark, d))
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
@@ -131,8 +160,38 @@ def _personal(spark: SparkSession, d: str) -> DataFrame:
     return graph.pagerank(_nodes(spark, d), 5, source=SOURCE).select("id", F.round("p", 8).alias("p"))
 
 
-def _bfs(spark: SparkSession, d: str) -> DataFrame:
-    return graph.bfs(_nodes(spark, d), SOURCE)
+def _bfs(spark: SparkSession, d: str, log: list[dict] | None = None) -> DataFrame:
+    """(id, dist) of what is reached."""
+    e = edges(spark, d)
+    return graph.bfs_links(e, _ids(e), SOURCE, log=log)
+
+
+def _ids(e: DataFrame) -> DataFrame:
+    return e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+
+
+def _bfs_distance(spark: SparkSession, d: str) -> DataFrame:
+    return _ids(edges(spark, d)).join(_bfs(spark, d), "id", "left").select("id", "dist")
+
+
+def _bfs_counters(spark: SparkSession, d: str) -> DataFrame:
+    """What each step of a search reports of itself."""
+    log: list[dict] = []
+    _bfs(spark, d, log)
+    return spark.createDataFrame(log, "step int, frontier bigint, reached bigint, sent bigint")
+
+
+def _pagerank_counters(spark: SparkSession, d: str) -> DataFrame:
+    log: list[dict] = []
+    graph.pagerank(_nodes(spark, d), 5, log=log)
+    return spark.createDataFrame(log, "step int, active bigint, lost double").withColumn("lost", F.round("lost", 8))
+
+
+def _bucketed(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks over a structure that lies on disk by id; all steps join it as it is."""
+    path = fresh_path(spark, "structure")
+    graph.store_structure(_nodes(spark, d), path, BUCKETS)
+    return _ranks(graph.pagerank(graph.open_structure(spark, path, BUCKETS), 5, copartitioned=False))
 
 
 def _component_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -157,34 +216,100 @@ def _dump(spark: SparkSession, d: str) -> DataFrame:
     return graph.node_text(_nodes(spark, d).withColumn("degree", F.size("adj")), "degree")
 
 
+def _customers(spark: SparkSession, d: str) -> str:
+    """Customers as text, a file for each nation."""
+
+    def make() -> str:
+        path = fresh_path(spark, "customers")
+        rows = table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", F.concat_ws(" ", "c_name", "c_mktsegment").alias("line"))
+        write_collection(rows, path, ["nation"], ["c_custkey"])
+        return path
+
+    return _once(spark, d, "customer", "customers", make)
+
+
+def _nation() -> Column:
+    return F.regexp_extract("file", "nation=([0-9]+)/", 1).cast("int").alias("nation")
+
+
 def _offsets(spark: SparkSession, d: str) -> DataFrame:
-    """Customers as one text file; each line with the byte it begins at."""
-    path = fresh_path(spark, "customers")
-    table(spark, d, "customer").orderBy("c_custkey").select(F.concat_ws(" ", "c_name", "c_mktsegment").alias("line")).coalesce(1).write.text(path)
-    return read_lines_with_offset(spark, path)
+    """Each line of these files with the byte it begins at."""
+    return read_lines_with_offset(spark, _customers(spark, d)).select(_nation(), "docno", "line")
 
 
 def _offset_search(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of that file that hold either word, fetched by their offsets."""
-    found = _offsets(spark, d).select(F.col("docno").alias("doc_id"), F.col("line").alias("text"))
-    return search.with_snippets(search.boolean(search.postings(found), "building machinery OR"), found)
+    """Lines of these files that hold either word, fetched by their offsets."""
+
+    def make() -> str:
+        path = fresh_path(spark, "customer-lines")
+        search.store_line_index(read_lines_with_offset(spark, _customers(spark, d)), path)
+        return path
+
+    index = search.stored_line_index(spark, _once(spark, d, "customer", "customer-lines", make))
+    return search.matching_lines(index, "building machinery OR").select(_nation(), "docno", F.col("line").alias("snippet"))
+
+
+def _line_search(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of all documents, a file for each language and source, that satisfy a query, fetched by their offsets."""
+
+    def make() -> str:
+        text, path = fresh_path(spark, "collection"), fresh_path(spark, "lines")
+        docs = table(spark, d, "documents").select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+        write_collection(docs, text, ["lang", "source"], ["doc_id", "line_no"])
+        search.store_line_index(read_lines_with_offset(spark, text), path)
+        return path
+
+    index = search.stored_line_index(spark, _once(spark, d, "documents", "lines", make))
+    part = lambda name: F.regexp_extract("file", f"/{name}=([^/]*)/", 1).alias(name)
+    return search.matching_lines(index, LINES).select(part("lang"), part("source"), "docno", F.col("line").alias("snippet"))
+
+
+def _arrivals(spark: SparkSession, rows: DataFrame, late: bool) -> tuple[DataFrame, str]:
+    """Events that arrive week by week, the latest week first if ``late``, as a stream, and where its query may live."""
+    location = fresh_path(spark, "arrivals")
+    week = F.date_trunc("week", "ts")
+    arrive(rows, f"{location}/in", F.format_string("%05d", 99_999 - F.datediff(week, F.lit("1970-01-01"))) if late else F.date_format(week, "yyyy-MM-dd"))
+    return arrivals(spark, f"{location}/in", rows.schema, location), location
 
 
 def _batches(spark: SparkSession, d: str) -> DataFrame:
-    """Events that arrive week by week, counted by batch."""
-    path = fresh_path(spark, "arrivals")
-    arrive(_events(spark, d), path)
-    return batch_counts(stream_of(spark, path))
+    """Arrivals counted batch by batch, in order of their names."""
+    stream, location = _arrivals(spark, _events(spark, d), late=False)
+    return batch_counts(stream, location=location)
+
+
+def _batch_log(spark: SparkSession, d: str) -> DataFrame:
+    """What the engine reports of the batches of an hourly count."""
+    stream, location = _arrivals(spark, _events(spark, d), late=False)
+    log = BatchLog()
+    run_available(hourly_count(stream), "hourly", location, log=log)
+    return log.table(spark)
+
+
+def _errors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").where("event_type = 'error'").select("ts")
+
+
+def _spine(spark: SparkSession, d: str) -> DataFrame:
+    """Errors by the hour from arrivals that are late, hours without errors included."""
+    stream, location = _arrivals(spark, _errors(spark, d), late=True)
+    return count_windows(stream, location).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "cnt")
+
+
+def _window_folders(spark: SparkSession, d: str) -> DataFrame:
+    """The folders of the hours that are over."""
+    stream, location = _arrivals(spark, _errors(spark, d), late=True)
+    count_windows(stream, location)
+    return closed_windows(stream, location)
 
 
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
-    counts = hourly_count(stream_of(spark, f"{d}/events*.parquet").select("ts"), delay="1 day")
-    return run_available(counts, "hourly").select("window_start", "cnt")
+    return run_available(hourly_count(stream_of(spark, f"{d}/events*.parquet").select("ts")), "hourly").select("window_start", "cnt")
 
 
 def _reached(spark: SparkSession, d: str) -> DataFrame:
     """The report of a search: nodes at each distance, and reached so far."""
-    sizes = graph.reachable(_bfs(spark, d)).groupBy("dist").agg(F.count("*").alias("n"))
+    sizes = _bfs(spark, d).groupBy("dist").agg(F.count("*").alias("n"))
     return graph.running_total(sizes)
 
 
@@ -209,22 +334,25 @@ QUERIES: dict[str, Query] = {
     "posting_list": _posts,
     "term_df": lambda s, d: search.term_df(_posts(s, d)),
     "inverted_index": _index,
-    "lookup_postings": lambda s, d: search.with_snippets(search.lookup(_stored_posts(s, d), TERM), _documents(s, d)),
+    "lookup_postings": lambda s, d: search.with_snippets(search.lookup(_stored_posts(s, d), TERM), _snippets_of(s, d)),
     "tf_histogram": lambda s, d: search.tf_histogram(_stored_posts(s, d), TERM),
     **{name: _boolean(name) for name in RPN},
+    "index_build": _index_build,
     "graph_edges": edges,
     "graph_stats": lambda s, d: graph.graph_stats(_nodes(s, d)),
-    "bfs_distance": lambda s, d: _bfs(s, d).select("id", "dist"),
-    "bfs_frontier_sizes": lambda s, d: graph.reachable(_bfs(s, d)).groupBy("dist").agg(F.count("*").alias("n")),
-    "bfs_reachable": lambda s, d: graph.reachable(_bfs(s, d)).select("id", "dist"),
-    "bfs_at_distance": lambda s, d: graph.at_distance(_bfs(s, d), 3).select("id", "dist"),
+    "bfs_distance": _bfs_distance,
+    "bfs_frontier_sizes": lambda s, d: _bfs(s, d).groupBy("dist").agg(F.count("*").alias("n")),
+    "bfs_reachable": _bfs,
+    "bfs_at_distance": lambda s, d: graph.at_distance(_bfs(s, d), 3),
+    "bfs_counters": _bfs_counters,
     "bfs_report": _reached,
     "graph_encoded": _encoded,
     "pagerank_5": _log_rank,
     "pagerank_resumed_5": _resumed,
     "pagerank_tolerance": lambda s, d: _log_rank(s, d, steps=None, tolerance=1e-13),
     "pagerank_top20": lambda s, d: counting.top_k(_log_rank(s, d), "logp", 20, "id"),
-    "pagerank_copartitioned_5": lambda s, d: _log_rank(s, d, copartitioned=True),
+    "pagerank_copartitioned_5": _bucketed,
+    "pagerank_counters": _pagerank_counters,
     "pagerank_personalized_5": _personal,
     "connected_components": lambda s, d: graph.components(edges(s, d)),
     "component_counts": _component_counts,
@@ -236,7 +364,11 @@ QUERIES: dict[str, Query] = {
     "log_mass": _log_mass,
     "line_offsets": _offsets,
     "offset_search": _offset_search,
-    "random_kv": lambda s, d: random_key_values(s, 1000, 2, 100, seed=7),
+    "line_search": _line_search,
+    "event_batch_log": _batch_log,
+    "event_spine": _spine,
+    "window_folders": _window_folders,
+    "random_kv": lambda s, d: random_pairs(table(s, d, "events").select(F.col("event_id").alias("id")), 2, 100, seed=7),
 }
 
 _TOKENS = "list_filter(list_transform(regexp_split_to_array(lower({0}), '[ \\t\\n\\r\\f]+'), lambda t: regexp_replace(t, '^[^a-z]+|[^a-z]+$', '', 'g')), lambda t: t <> '')"
@@ -283,6 +415,10 @@ def _draw(place: int, letter: bool = True) -> str:
 
 _EVEN, _ONE = "1.0::double / n", f"(case when id = {SOURCE} then 1.0 else 0.0 end)::double"
 
+_BEFORE = "(coalesce(sum(octet_length(encode(line)) + 1) over (partition by {0} order by {1} rows between unbounded preceding and 1 preceding), 0))::bigint"
+_CUSTOMERS = f"with c as (select c_nationkey as nation, c_custkey, c_mktsegment, c_name || ' ' || c_mktsegment as line from customer), l as (select *, {_BEFORE.format('nation', 'c_custkey')} as docno from c)"
+_HOURS = "with c as (select date_trunc('hour', ts) as h, count(*) as n from events where event_type = 'error' group by 1), s as (select x.h, coalesce(c.n, 0) as n from (select unnest(generate_series(min(h), max(h), interval 1 hour)) as h from c) x left join c on c.h = x.h)"
+
 ORACLE: dict[str, str] = {
     "word_count": f"{_DOC} select term, count(*) as cnt from w group by term",
     "word_count_top20": f"{_DOC} select term, count(*) as cnt from w group by term order by cnt desc, term limit 20",
@@ -322,9 +458,20 @@ ORACLE: dict[str, str] = {
     "kv_bytes": "select upper(hex(encode(event_type))) as k, printf('%08X', floor(value)::int & 4294967295::bigint) as v from events",
     "event_batches": "select row_number() over (order by w) - 1 as batch, cnt, first_ts from (select date_trunc('week', ts) as w, count(*) as cnt, min(ts) as first_ts from events group by 1)",
     "log_mass": "select event_type as k, round(ln(sum(value)), 6) as x from events where value > 0 group by event_type",
-    "line_offsets": "with l as (select c_custkey, c_name || ' ' || c_mktsegment as line from customer) select (coalesce(sum(octet_length(encode(line)) + 1) over (order by c_custkey rows between unbounded preceding and 1 preceding), 0))::bigint as docno, line from l",
-    "offset_search": "with l as (select c_custkey, c_mktsegment, c_name || ' ' || c_mktsegment as line from customer), o as (select c_mktsegment, (coalesce(sum(octet_length(encode(line)) + 1) over (order by c_custkey rows between unbounded preceding and 1 preceding), 0))::bigint as docno, line as snippet from l) select docno, snippet from o where c_mktsegment in ('BUILDING', 'MACHINERY')",
-    "random_kv": f"select {_draw(1)} || {_draw(2)} as k, ({_draw(0, False)} % 100)::int as v from range(1000) as t(id)",
+    "line_offsets": f"{_CUSTOMERS} select nation, docno, line from l",
+    "offset_search": f"{_CUSTOMERS} select nation, docno, line as snippet from l where c_mktsegment in ('BUILDING', 'MACHINERY')",
+    "line_search": (
+        "with s as (select doc_id, lang, source, string_split(text, chr(10)) as a from documents), l as (select doc_id, lang, source, i, a[i] as line from s, unnest(range(1, len(a) + 1)) as u(i)),"
+        f" o as (select lang, source, line, {_BEFORE.format('lang, source', 'doc_id, i')} as docno from l)"
+        f" select lang, source, docno, case when length(line) > 80 then substr(line, 1, 80) || '...' else line end as snippet from o where list_has_any({_TOKENS.format('line')}, ['scum', 'trash'])"
+    ),
+    "index_build": f"{_DOC} select term, count(distinct doc_id) as df from w group by term",
+    "bfs_counters": f"{_BFS}, s as (select dist, count(*) as n from x group by dist), m as (select dist + 1 as step, count(*) as sent from e join x on e.src = x.id group by dist) select dist as step, n as frontier, sum(n) over (order by dist)::bigint as reached, coalesce(sent, 0) as sent from s left join m on step = dist",
+    "pagerank_counters": _rank_sql(5, _EVEN) + " " + " union all ".join(f"select {i}::int as step, (select count(*) from m{i} where m > 0) as active, (select round(missing, 8) from x{i}) as lost" for i in range(1, 6)),
+    "event_batch_log": "with w as (select date_trunc('week', ts) as w, count(*) as n, count(distinct date_trunc('hour', ts)) as h from events group by 1) select row_number() over (order by w) - 1 as batch, n as rows, sum(h) over (order by w)::bigint as state_rows from w",
+    "event_spine": f"{_HOURS} select h as window_start, n as cnt from s",
+    "window_folders": f"{_HOURS} select strftime(h, '%Y-%m-%dT%H-%M-%S') as \"window\", '(all,' || n || ')' as line from s where h < (select max(h) from s)",
+    "random_kv": f"select {_draw(1)} || {_draw(2)} as k, ({_draw(0, False)} % 100)::int as v from (select event_id as id from events)",
     "range_partition": f"with e as ({_EDGE}), v as (select src as id from e union select dst from e) select id, cast(floor(id / (select max(id) + 1 from v)::double * 5) % 5 as int) as part from v",
     "node_dump": f"with e as ({_EDGE}), v as (select src as id from e union select dst from e), a as (select v.id, list_sort(list_filter(list(e.dst), lambda x: x is not null)) as adj from v left join e on e.src = v.id group by v.id) select id, '{{' || id || ' ' || len(adj) || ' [' || array_to_string(list_transform(adj[1:10], lambda x: x::varchar), ', ') || ']}}' as txt from a",
     "event_count_hourly": "select date_trunc('hour', ts) as window_start, count(*) as cnt from events group by 1",
