@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import documents_of, row_key, salted_join, tidy
 from tessera.llm.mapped import among
 from tessera.operators.graph import components
-from tessera.plans.lineage import written
+from tessera.plans.lineage import discard, written
 
 SEED, SHINGLE, RADIUS, SHARD = 42, 3, 2, 2048
 #: For near texts: words of a shingle, share of common distinct shingles, members of a block, candidates of a member in the
@@ -460,7 +460,14 @@ def near_text_groups(docs: DataFrame, size: int = TEXT_SHINGLE, similarity: floa
     nodes = written(marked.groupBy("fp").agg(least, F.first(F.struct("n", "bits", "wide")).alias("of")).select("fp", "least", "of.n", "of.bits", "of.wide"), "nodes")
     shards = written(text_shards(among(marked, marked["rk"], nodes.select(F.col("least.rk").alias("key")), "first-rows"), similarity), "shards")
     made: list[DataFrame] = []
-    check = lambda pairs: written(confirmed(docs, nodes, written(possible(pairs, nodes, similarity), "pairs"), size, similarity, made), "near")
+
+    def check(pairs: DataFrame) -> DataFrame:
+        """The near ones of candidates; of the step's tables the sets alone stay."""
+        left = written(possible(pairs, nodes, similarity), "pairs")
+        near = written(confirmed(docs, nodes, left, size, similarity, made), "near")
+        discard(left)
+        return near
+
     tested = written(shards.where("head is not null").select(F.col("head").alias("src"), F.col("fp").alias("dst")).distinct(), "candidates")
     found, limit = check(tested), FIRST
     comps = _components(found)
@@ -470,18 +477,24 @@ def near_text_groups(docs: DataFrame, size: int = TEXT_SHINGLE, similarity: floa
         if not some.isEmpty():
             more, tested = check(some), tested.unionByName(some)
             if not more.isEmpty():
-                found = found.unionByName(more)
+                found, before = found.unionByName(more), comps
                 comps = _components(found)
-        if pairs.where("src is null").isEmpty():
+                discard(before)
+        last = pairs.where("src is null").isEmpty()
+        discard(pairs)
+        if last:
             break
         limit *= GROWTH
+    discard(shards, *made)
     named = written(_named(nodes, comps).select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.rk").alias("first")), "named")
-    return salted_join(marked.select("doc_id", "rk", "fp"), named, ["fp"]).select("doc_id", "rk", "component_id", "first")
+    groups = written(salted_join(marked.select("doc_id", "rk", "fp"), named, ["fp"]).select("doc_id", "rk", "component_id", "first"), "groups")
+    discard(marked, nodes, named)
+    return groups
 
 
 def one_of_each_group(docs: DataFrame, size: int = TEXT_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each group of near texts, all columns as they are; see the head of this module for which."""
-    groups = written(near_text_groups(docs, size, similarity), "groups")
+    groups = near_text_groups(docs, size, similarity)
     gone = groups.where("rk <> first").select(F.col("rk").alias("key")).distinct()
     again = written(groups.where("rk = first").groupBy("rk").count().where("count > 1").select(F.col("rk").alias("key")), "again")
     rest = among(docs, row_key(docs["doc_id"], docs["text"]), gone, "gone", without=True)
