@@ -12,6 +12,7 @@ missed or guessed: hashes only choose what to verify.
 The benchmark's sketches are broadcast if their counted rows and bytes allow it, and so are the ids of candidates; else both joins
 shuffle. Each text is cut into words once, whatever the number of item lengths below five. Null or empty texts have no
 shingles and never match; in ``leaks`` rows with one doc_id count as one document, ``without_leaks`` judges rows by id and text.
+Item rows with the same id and words are one item; those that share an id but not the words are items each, and null ids are ids like others.
 An item without words matches nothing; an empty table gives no rows, an empty benchmark no leak. No Python runs on executors.
 """
 
@@ -55,7 +56,7 @@ def item_shingles(items: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(item_id, size, n, shingle, hash): the distinct shingles of each item that has words."""
     w = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).withColumn("size", F.least(F.size("w"), F.lit(shingle)))
     texts = F.coalesce(*[F.when(F.col("size") == k, shingle_texts(F.col("w"), k)) for k in range(1, shingle + 1)])
-    s = w.select("item_id", "size", F.explode(F.array_distinct(texts)).alias("shingle"))
+    s = w.select("item_id", "size", F.explode(F.array_distinct(texts)).alias("shingle")).distinct()
     parts = F.transform(F.split("shingle", " "), lambda x: F.xxhash64(x))
     hashed = F.coalesce(*[F.when(F.col("size") == k, F.xxhash64(*[F.get(parts, F.lit(i)) for i in range(k)])) for k in range(1, shingle + 1)])
     counts = s.groupBy("item_id").agg(F.count("*").alias("n"))
@@ -75,10 +76,13 @@ def sketches(shingles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, item_id, n_shared, n_shingles, containment) of every document and item with containment >= threshold."""
     docs = docs.select(docs["doc_id"], docs["text"])
-    of_items = written(item_shingles(items.select(items["item_id"], items["text"]), shingle), "items")
+    of_text = F.sha2(F.array_join(words(items["text"]), " "), 256)
+    kind = items.schema["item_id"].dataType
+    items = items.select(F.struct(items["item_id"].alias("id"), of_text.alias("text")).alias("item_id"), items["text"])  # a struct is never null
+    of_items = written(item_shingles(items, shingle), "items")
     sizes, weight = sorted(of_items.agg(F.collect_set("size")).first()[0]), weigh(of_items)
     if not sizes:
-        nothing = docs.select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"))
+        nothing = docs.select("doc_id", F.lit(None).cast(kind).alias("item_id"))
         return nothing.select("doc_id", "item_id", *[F.lit(0).cast("bigint").alias(c) for c in ("n_shared", "n_shingles")], F.lit(0.0).alias("containment")).where("false")
 
     worded = docs.select("doc_id", words(F.col("text")).alias("w"))
@@ -91,7 +95,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, shing
     pairs = _runs(near, sizes, "shingle").join(part, ["size", "shingle"]).select("doc_id", "item_id", "n", "shingle").distinct()
     shared = pairs.groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("n_shared"))
     kept = shared.where(F.col("n_shared") >= F.col("n") * threshold - 1e-9)
-    return kept.select("doc_id", "item_id", "n_shared", F.col("n").alias("n_shingles"), (F.col("n_shared") / F.col("n")).alias("containment"))
+    return kept.select("doc_id", F.col("item_id.id").alias("item_id"), "n_shared", F.col("n").alias("n_shingles"), (F.col("n_shared") / F.col("n")).alias("containment"))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

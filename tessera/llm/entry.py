@@ -132,7 +132,12 @@ LLM_ORACLE: dict[str, str] = {
     "op11_vector_codes": _vector_codes(6),
     "op13_divergence": _DIVERGENCE,
     "op7_top_k": "with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as q from embeddings where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0), s as (select a.vec_id as query_id, b.vec_id, list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i]))::bigint as score from v a join v b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id and len(a.q) = len(b.q)) select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s qualify rank <= 20",
-    "op1_decontamination": f"with d as (select doc_id, {_WORDS} as w from documents), b as (select item_id, {_WORDS} as w from benchmark), ds as ({_SHINGLES.format('doc_id', 'd')}), bs as ({_SHINGLES.format('item_id', 'b')}), n as (select item_id, count(*) as n_shingles from bs group by item_id), x as (select doc_id, item_id, count(*) as n_shared from ds join bs on ds.s = bs.s group by doc_id, item_id) select doc_id, x.item_id, n_shared, n_shingles, n_shared::double / n_shingles as containment from x join n on x.item_id = n.item_id where n_shared >= n_shingles * 0.8 - 1e-9",
+    "op1_decontamination": (
+        f"with d as (select doc_id, {_WORDS} as w from documents), b as (select row_number() over () as i, item_id, w from (select distinct item_id, {_WORDS} as w from benchmark)),"
+        f" ds as ({_SHINGLES.format('doc_id', 'd')}), bs as ({_SHINGLES.format('i', 'b')}), n as (select i, count(*) as n_shingles from bs group by i),"
+        " x as (select doc_id, i, count(*) as n_shared from ds join bs on ds.s = bs.s group by doc_id, i)"
+        " select doc_id, b.item_id, n_shared, n_shingles, n_shared::double / n_shingles as containment from x join n on x.i = n.i join b on b.i = n.i where n_shared >= n_shingles * 0.8 - 1e-9"
+    ),
     "op9_chat": (
         "with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -1, x.t, x.r, '</s>[INST] ok [/INST]' from (values (0, 'user'), (1, 'assistant')) as x(t, r)),"
         " e as (select *, 9 + length(replace(replace(replace(role, '\\', '\\e'), '<', '\\l'), '[', '\\b')) + 7 + length(replace(replace(replace(text, '\\', '\\e'), '<', '\\l'), '[', '\\b')) + 7 as n from c)"

@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -116,6 +117,19 @@ def test_key_files_do_as_a_broadcast(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.one_of_each_group(documents(spark, rows)).collect()) == want
 
 
+def test_a_lost_file_raises(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mapped, "FILE_KEYS", 8)
+    monkeypatch.setattr(mapped, "MAPS", 3)
+    folder, bits = mapped.save_keys(spark.createDataFrame([(i << 58,) for i in range(20)], "key bigint"), "keys", 64)
+    asked = np.arange(64, dtype=np.uint64) << np.uint64(58)
+    arrays = mapped.Arrays(folder, bits, "key")
+    assert arrays.has(asked).tolist() == [i < 20 for i in range(64)] and len(arrays.files) <= 3  # empty files included
+    mapped.remove(folder, ["key-0000005.npy"])
+    for place in (folder, f"file://{folder}"):
+        with pytest.raises(FileNotFoundError):
+            mapped.Arrays(place, bits, "key").has(asked)
+
+
 def test_key_files_without_a_mounted_folder(tmp_path):
     """As on an object store: files are fetched by address, a few held at once."""
     folder = f"file://{tmp_path}/keys"
@@ -237,6 +251,16 @@ def test_leaks(spark):
     assert decontam.leaks(docs, bench).dtypes == decontam.leaks(docs, bench.where("false")).dtypes
 
 
+def test_repeated_items_and_null_ids(spark):
+    item, other = "alpha beta gamma delta epsilon zeta eta theta iota kappa", "one two three four five six seven"
+    items = [(1, item), (1, item), (1, item.upper() + "!"), (None, item), (None, other), (2, item), (2, other), (2, "tiny"), (3, None), (3, None)]
+    docs = documents(spark, [(1, f"x {item} y"), (2, other), (3, "a tiny b"), (4, "nothing")])
+    got = sorted((r.doc_id, str(r.item_id), r.n_shared, r.n_shingles) for r in decontam.leaks(docs, spark.createDataFrame(items, "item_id int, text string")).collect())
+    assert got == [(1, "1", 6, 6), (1, "2", 6, 6), (1, "None", 6, 6), (2, "2", 3, 3), (2, "None", 3, 3), (3, "2", 1, 1)]
+    kept = decontam.without_leaks(docs, spark.createDataFrame([(1, item), (1, item)], "item_id int, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4]
+
+
 def test_sketches_miss_nothing(spark):
     rng = random.Random(3)
     items = [(i, " ".join(f"i{i}x{j}" for j in range(rng.randrange(5, 90)))) for i in range(40)]
