@@ -305,12 +305,19 @@ def test_segmentation(spark):
     words = {"spam": 50, "farm": 40, "spa": 30, "m": 5, "free": 60, "bets": 40, "bet": 3, "s": 2}
     counts = spark.createDataFrame([*words.items()], "word string, n bigint")
     names = ["spamfarm", "freebets", "zq", "xfreez", "betsfarmspa", "qqqqfarm", "m"]
-    labels = spark.createDataFrame([(x,) for x in [*names, ""]], "label string")
-    got = {r.label: r.w for r in urls.segment(labels, counts).groupBy("label").agg(F.sort_array(F.collect_list("word")).alias("w")).collect()}
+    labels = spark.createDataFrame([*enumerate([*names, ""])], "l bigint, label string")
+    got = {r.label: r.w for r in urls.segment(labels, counts).join(labels, "l").groupBy("label").agg(F.sort_array(F.collect_list("word")).alias("w")).collect()}
     assert got == {x: sorted(plain_split(x, words)) for x in names}
     assert got["spamfarm"] == ["farm", "spam"] and got["freebets"] == ["bets", "free"] and got["zq"] == ["zq"]
 
 
+def test_a_label_of_100000_letters(spark):
+    long = "spamfarmzq" * 10_000
+    pages = spark.createDataFrame([(1, f"http://{long}.info/{long}/{'a/' * 5000}", "<p>spam farm</p>"), (2, "http://farm.com/en/x", "<p>spam</p>"), (3, f"http://{long}.com/en/", None)], "page_id bigint, url string, html string")
+    got = {r.page_id: (len(r.host), r.rule, r.verdict) for r in urls.verdicts(pages).collect()}
+    assert got == {1: (100_005, None, "block"), 2: (8, "com/en/", "block"), 3: (100_004, "com/en/", "block")}
+
+
 def url_table(n=400, seed=5):
     """Names run together; their words tell which rule's pages they are like."""
     rng = random.Random(seed)
