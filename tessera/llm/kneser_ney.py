@@ -191,6 +191,10 @@ def train(docs: DataFrame) -> dict:
 
     def merge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, blocks in _groups(batches):
+            if not (blocks := [b for b in blocks if len(b)]):
+                for kind, nothing in (("pair", np.empty(0, np.uint64)), ("count", np.empty(0, np.uint32)), ("context", np.empty(0, np.uint64)), ("stats", np.empty((4, 0), np.int64))):
+                    save(folder, f"{kind}-{s:07d}", nothing)
+                continue
             v, w, n = (np.concatenate(x) for x in zip(*map(_unpack, blocks), strict=True))
             h = pair_hash(v, w, hot)
             order = np.argsort(h, kind="stable")
@@ -219,6 +223,10 @@ def train(docs: DataFrame) -> dict:
 
     def merge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, blocks in _groups(batches):
+            if not (blocks := [b for b in blocks if len(b)]):
+                save(folder, f"word-{s:07d}", np.empty(0, np.uint64))
+                save(folder, f"uses-{s:07d}", np.empty((2, 0), np.int64))
+                continue
             parts = []
             for b in blocks:
                 k = int(np.frombuffer(b, np.int64, 1)[0])
@@ -230,9 +238,10 @@ def train(docs: DataFrame) -> dict:
             save(folder, f"uses-{s:07d}", np.stack([n, types]))
             yield pa.RecordBatch.from_arrays([pa.array([_sums(types) + [len(words), 0]], pa.list_(pa.int64()))], ["sums"])
 
-    dealt = docs.select("text").mapInArrow(tidy(count), "shard bigint, block binary").repartition("shard").sortWithinPartitions("shard")
+    every = spark.range(1 << bits).select(F.col("id").alias("shard"), F.lit(b"").alias("block"))  # so that each shard has its files
+    dealt = docs.select("text").mapInArrow(tidy(count), "shard bigint, block binary").unionByName(every).repartition("shard").sortWithinPartitions("shard")
     pairs = written(dealt.mapInArrow(tidy(merge_pairs), "shard bigint, block binary, context bigint, sums array<bigint>"), "word-blocks")
-    words = written(pairs.where("shard is not null").select("shard", "block").repartition("shard").sortWithinPartitions("shard").mapInArrow(tidy(merge_words), "sums array<bigint>"), "word-sums")
+    words = written(pairs.where("shard is not null").select("shard", "block").unionByName(every).repartition("shard").sortWithinPartitions("shard").mapInArrow(tidy(merge_words), "sums array<bigint>"), "word-sums")
     total = lambda df: [x or 0 for x in df.agg(*[F.sum(F.get("sums", F.lit(i))) for i in range(6)]).first()]
     of_hot = pairs.where("context is not null").groupBy("context").agg(*[F.sum(F.get("sums", F.lit(i))) for i in range(4)]).collect()
     stats = {r[0] % (1 << 64): list(r[1:]) for r in of_hot}

@@ -1,6 +1,7 @@
 """Sorted arrays in the shared folder: workers map them into memory, or fetch them file by file where the folder is no mounted path.
 
-Keys are dealt to files by their leading bits, so the file of a key follows from the key, and nothing is listed or loaded beforehand.
+Keys are dealt to files by their leading bits, so the file of a key follows from the key, and nothing is listed or loaded beforehand. Every
+file of a kind is there, an empty one for leading bits without keys: a file that is missing was lost, and raises.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import tidy
 from tessera.plans.lineage import fresh_path, written
 
-#: Fetched files that a worker holds at once; keys in one file, about; keys that may be broadcast.
-HELD, FILE_KEYS, BROADCAST_KEYS = 8, 1 << 20, 1_000_000
+#: Fetched files, and mapped ones, that a worker holds at once; keys in one file, about; keys that may be broadcast.
+HELD, MAPS, FILE_KEYS, BROADCAST_KEYS = 8, 4096, 1 << 20, 1_000_000
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
@@ -84,12 +85,14 @@ def save(folder: str, name: str, array: np.ndarray) -> None:
     save_bytes(folder, f"{name}.npy", held.getbuffer())
 
 
-def load(folder: str, name: str) -> np.ndarray | None:
+def load(folder: str, name: str) -> np.ndarray:
     if "://" not in folder:
         path = f"{folder}/{name}.npy"
-        return np.load(path, mmap_mode="r") if os.path.exists(path) else None
+        return np.load(path, mmap_mode="r" if os.path.getsize(path) > 256 else None)  # what has hardly more than a header isn't mapped
     data = load_bytes(folder, f"{name}.npy")
-    return None if data is None else np.load(io.BytesIO(data))
+    if data is None:
+        raise FileNotFoundError(f"{folder}/{name}.npy")
+    return np.load(io.BytesIO(data))
 
 
 class Arrays:
@@ -97,13 +100,15 @@ class Arrays:
 
     def __init__(self, folder: str, bits: int, key: str, value: str | None = None):
         self.folder, self.shift, self.key, self.value = folder, np.uint64(64 - bits), key, value
-        self.files: OrderedDict[str, np.ndarray | None] = OrderedDict()
+        self.files: OrderedDict[str, np.ndarray] = OrderedDict()
 
-    def _file(self, kind: str, number: int) -> np.ndarray | None:
+    def _file(self, kind: str, number: int) -> np.ndarray:
         name = f"{kind}-{number:07d}"
-        if name not in self.files:
+        if name in self.files:
+            self.files.move_to_end(name)
+        else:
             self.files[name] = load(self.folder, name)
-            if "://" in self.folder and len(self.files) > 2 * HELD:
+            if len(self.files) > (2 * HELD if "://" in self.folder else MAPS):
                 self.files.popitem(last=False)
         return self.files[name]
 
@@ -113,7 +118,7 @@ class Arrays:
         numbers, first = np.unique(keys >> self.shift, return_index=True)
         for n, i, j in zip(numbers.tolist(), first, np.append(first[1:], len(keys)), strict=True):
             known = self._file(self.key, n)
-            if known is not None and len(known):
+            if len(known):
                 at = np.minimum(np.searchsorted(known, keys[i:j]), len(known) - 1)
                 yield n, i, j, at, known[at] == keys[i:j]
 
@@ -144,14 +149,19 @@ def save_keys(keys: DataFrame, label: str, count: int) -> tuple[str, int]:
     shift = np.uint64(64 - bits)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b.column("key").to_numpy() for b in batches]
-        found = np.sort(np.concatenate(held).view(np.uint64)) if held else np.empty(0, np.uint64)
-        numbers, first = np.unique(found >> shift, return_index=True)
-        for n, i, j in zip(numbers.tolist(), first, np.append(first[1:], len(found))[: len(first)], strict=True):
+        held, own = [np.empty(0, np.uint64)], []
+        for b in batches:
+            held.append(b.column("key").drop_null().to_numpy().view(np.uint64))
+            own += b.column("number").drop_null().to_pylist()
+        found = np.sort(np.concatenate(held))
+        for n in own:
+            i, j = np.searchsorted(found >> shift, [n, n + 1])
             save(folder, f"key-{n:07d}", found[i:j])
         yield pa.RecordBatch.from_arrays([pa.array([len(found)], pa.int64())], ["n"])
 
-    dealt = keys.select("key").repartition(1 << bits, F.shiftrightunsigned("key", 64 - bits))
+    numbers = keys.sparkSession.range(1 << bits).select(F.lit(None).cast("bigint").alias("key"), F.col("id").alias("number"))
+    both = keys.select("key", F.lit(None).cast("bigint").alias("number")).unionByName(numbers)
+    dealt = both.repartition(1 << bits, F.coalesce("number", F.shiftrightunsigned("key", 64 - bits)))
     written(dealt.mapInArrow(tidy(keep), "n bigint"), f"{label}-sums")
     return folder, bits
 
