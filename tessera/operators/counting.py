@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import adjacent, around, tokenize
+from tessera.plans.lineage import written
 
-#: Entries of one map, about.
-PART = 65_536
+#: Entries of one map, about; words of more that are broadcast at most.
+PART, HEAVY = 65_536, 100_000
 
 
 def word_count(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -49,17 +50,30 @@ def bigram_relfreq_pairs(lines: DataFrame, line: str = "line") -> DataFrame:
     return shares.unionByName(total.select("l", F.lit("*").alias("r"), F.col("total").cast("double").alias("val")))
 
 
-def _in_parts(pairs: DataFrame, part: int) -> DataFrame:
-    """(l, r, .., part): the neighbours of a word that has more than ``part`` are dealt to several maps, by a hash."""
-    kinds = pairs.groupBy("l").agg(F.count("r").alias("kinds")).where(F.col("kinds") > part)
-    number = F.pmod(F.xxhash64("r"), F.ceil(F.col("kinds") / part)).cast("int")
-    return pairs.join(kinds, "l", "left").withColumn("part", F.coalesce(number, F.lit(0))).drop("kinds")
+def _stripes(pairs: DataFrame, part: int) -> DataFrame:
+    """(l, part, total, e): the entries (r, cnt) of each word, and the sum of all its counts. A word of more than ``part`` neighbours has several rows, by a hash.
+
+    The pairs are written once. Words of so many neighbours are few: as many as fit ``part`` times into the pairs at most. Where there are
+    none, nothing is joined; up to HEAVY of them are broadcast.
+    """
+    pairs = written(pairs, "pairs")
+    heavy = written(pairs.groupBy("l").agg(F.count("r").alias("kinds"), F.sum("cnt").alias("whole")).where(F.col("kinds") > part), "heavy")
+    n = heavy.count()
+    if n:
+        pairs = pairs.join(F.broadcast(heavy) if n <= HEAVY else heavy, "l", "left")
+        number = F.coalesce(F.pmod(F.xxhash64("r"), F.ceil(F.col("kinds") / part)).cast("int"), F.lit(0))
+        whole = F.coalesce(F.first("whole"), F.sum("cnt"))
+    else:
+        number, whole = F.lit(0), F.sum("cnt")
+    entries = F.collect_list(F.when(F.col("r").isNotNull(), F.struct("r", "cnt")))
+    return pairs.withColumn("part", number).groupBy("l", "part").agg(whole.alias("total"), entries.alias("e"))
 
 
 def bigram_relfreq_stripes(lines: DataFrame, line: str = "line", part: int = PART) -> DataFrame:
     """(l, part, freqs map<string,double>): one map for each word, or several with about ``part`` neighbours each."""
-    shares, _ = _shares(lines, line)
-    return _in_parts(shares, part).groupBy("l", "part").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("r", "val")))).alias("freqs"))
+    counts = _pairs(lines, line).where(F.col("l").isNotNull()).groupBy("l", "r").agg(F.count("*").alias("cnt"))
+    shares = F.transform("e", lambda x: F.struct(x["r"], x["cnt"] / F.col("total")))
+    return _stripes(counts, part).select("l", "part", F.map_from_entries(shares).alias("freqs"))
 
 
 def cooccur_pairs(lines: DataFrame, window: int = 2, line: str = "line") -> DataFrame:
@@ -72,9 +86,7 @@ def cooccur_stripes(lines: DataFrame, window: int = 2, line: str = "line", part:
     """(l, part, counts map<string,bigint>), as in bigram_relfreq_stripes; a word that is always alone on its line has an empty map."""
     alone = F.array(F.struct(F.col("t")[0].alias("l"), F.lit(None).cast("string").alias("r")))
     met = lines.select(tokenize(F.col(line)).alias("t")).select(F.inline(F.when(F.size("t") == 1, alone).otherwise(around(F.col("t"), window))))
-    counts = _in_parts(met.groupBy("l", "r").agg(F.count("r").alias("cnt")), part)
-    listed = counts.groupBy("l", "part").agg(F.array_sort(F.collect_list(F.when(F.col("r").isNotNull(), F.struct("r", "cnt")))).alias("e"))
-    return listed.select("l", "part", F.map_from_entries("e").alias("counts"))
+    return _stripes(met.groupBy("l", "r").agg(F.count("r").alias("cnt")), part).select("l", "part", F.map_from_entries("e").alias("counts"))
 
 
 def log_sum_by_key(pairs: DataFrame, key: str = "k", value: str = "x") -> DataFrame:
