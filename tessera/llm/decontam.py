@@ -18,8 +18,6 @@ An item without words matches nothing; an empty table gives no rows, an empty be
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
