@@ -224,6 +224,34 @@ def test_scores_beyond_64_bits(spark):
     assert got == want
 
 
+def test_sums_below_64_bits_count(spark):
+    """A query without a threshold keeps rows whose scores are cut to the lowest number."""
+    rows = [(0, [2.0**57, 2.0**57]), *((i, [-(2.0**57), -(2.0**57)]) for i in range(1, 4))]
+    v = topk.quantized(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    got = [tuple(r) for r in topk.top_k(v, v.where("vec_id = 0"), 5, 2, 2).orderBy("rank").collect()]
+    assert got == [(0, i, i, -(2**63)) for i in (1, 2, 3)]
+
+
+def test_whole_blocks_are_pruned(spark):
+    """Vectors around 40 centres: few pairs of blocks are sent, no result is lost."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(0, 1, (40, 24))
+    x = centres[rng.integers(0, 40, 6000)] + rng.normal(0, 0.05, (6000, 24))
+    v = topk.quantized(spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id bigint, embedding array<double>")).persist()
+    q = v.where("vec_id % 20 = 0")
+    data, asked, turns = topk.arranged(v, q, 10, 64, 8)
+    assert data.selectExpr("sum(octet_length(ids)) / 8").first()[0] == 6000
+    assert topk.block_pairs(asked, data, turns, 10, False).count() < 0.2 * data.count() * asked.count()
+    ints = np.floor(64 * x).astype(np.int64)
+    want = set()
+    for i in range(0, 6000, 20):
+        scores = ints @ ints[i]
+        scores[i] = np.iinfo(np.int64).min
+        want |= {(i, n + 1, int(j), int(scores[j])) for n, j in enumerate(np.lexsort((np.arange(6000), ~scores))[:10])}
+    assert set(map(tuple, topk.top_k(v, q, 10, 64, 8).collect())) == want
+    v.unpersist()
+
+
 def test_bounds_prune():
     """Vectors near a plane: few pairs get an exact score, and none that counts is lost."""
     rng = np.random.default_rng(3)
