@@ -42,8 +42,8 @@ K, EVERY, SCALE = 20, 20, 64
 #: Rows of a block of data and of queries; query blocks of a slice; segments of each resolution; components that are turned at most.
 BLOCK, QUERY_BLOCK, SLICE, LEVELS, ROTATED = 4096, 512, 16, (8, 16, 32), 1024
 #: Share of pairs up to which survivors are picked out one by one; leading coordinates of a box; rows that cells come from, about; boxes in a row;
-#: data blocks that thresholds come from.
-FEW, LEAD, CELL_SAMPLE, BOXES, NEAREST = 0.05, 31, 20_000, 256, 4
+#: data blocks that thresholds come from; slices of a task on large tables.
+FEW, LEAD, CELL_SAMPLE, BOXES, NEAREST, GROUPS = 0.05, 31, 20_000, 256, 4, 64
 LOWEST = -(2**63)
 
 
@@ -358,7 +358,9 @@ def meetings(data: DataFrame, asked: DataFrame, pairs: DataFrame, turns: dict[in
                 else:
                     yield answer(now, block, *row)
 
-    tasks = rows.unionByName(sent).repartition("block", "slice").sortWithinPartitions("block", "slice", F.col("asked").asc_nulls_first())
+    groups, cores = copies.count(), data.sparkSession.sparkContext.defaultParallelism
+    spread = max(1, min(groups, max(4 * cores, groups // GROUPS)))  # work follows pairs, not the bytes that AQE would coalesce by
+    tasks = rows.unionByName(sent).repartition(spread, "block", "slice").sortWithinPartitions("block", "slice", F.col("asked").asc_nulls_first())
     return tasks.mapInArrow(tidy(run), schema)
 
 
