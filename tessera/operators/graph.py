@@ -267,7 +267,13 @@ def partition_graph(nodes: DataFrame, parts: int, n: int | None = None, by_range
     return nodes.repartition(parts, key)
 
 
-def node_text(nodes: DataFrame, value: str) -> DataFrame:
-    """(id, txt): ``{id value [first ten neighbours]}``."""
+def node_text(nodes: DataFrame, value: str, digits: int | None = None) -> DataFrame:
+    """(id, txt): ``{id value [first ten neighbours]}``, the value with so many ``digits`` after the point if they are given."""
     some = F.concat_ws(", ", F.slice("adj", 1, 10).cast("array<string>"))
-    return nodes.select("id", F.format_string("{%d %s [%s]}", F.col("id"), F.col(value).cast("string"), some).alias("txt"))
+    said = F.col(value).cast("string") if digits is None else F.format_string(f"%.{digits}f", F.col(value).cast("double"))
+    return nodes.select("id", F.format_string("{%d %s [%s]}", F.col("id"), said, some).alias("txt"))
+
+
+def rank_lines(ranks: DataFrame, value: str, digits: int = 5) -> DataFrame:
+    """(id, line): id, tab, value with so many ``digits`` after the point."""
+    return ranks.select("id", F.format_string(f"%d\t%.{digits}f", F.col("id"), F.col(value).cast("double")).alias("line"))

@@ -212,6 +212,12 @@ def _encoded(spark: SparkSession, d: str) -> DataFrame:
     return nodes.select("id", F.size("adj").cast("bigint").alias("degree"), F.aggregate("adj", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"), F.element_at(F.when(F.size("adj") > 0, F.col("adj")), 1).alias("first_dst"))
 
 
+def _rank_dump(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes with their ranks after five steps, as text."""
+    nodes = _nodes(spark, d)
+    return graph.node_text(nodes.join(graph.pagerank(nodes, 5).select("id", F.ln("p").alias("logp")), "id"), "logp", 4)
+
+
 def _dump(spark: SparkSession, d: str) -> DataFrame:
     return graph.node_text(_nodes(spark, d).withColumn("degree", F.size("adj")), "degree")
 
@@ -357,7 +363,9 @@ QUERIES: dict[str, Query] = {
     "connected_components": lambda s, d: graph.components(edges(s, d)),
     "component_counts": _component_counts,
     "range_partition": _ranges,
+    "pagerank_top20_lines": lambda s, d: graph.rank_lines(counting.top_k(_log_rank(s, d), "logp", 20, "id"), "logp"),
     "node_dump": _dump,
+    "pagerank_dump": _rank_dump,
     "event_count_hourly": lambda s, d: hourly_count(_events(s, d)),
     "event_count_stream": _event_stream,
     "event_batches": _batches,
@@ -473,6 +481,8 @@ ORACLE: dict[str, str] = {
     "window_folders": f"{_HOURS} select strftime(h, '%Y-%m-%dT%H-%M-%S') as \"window\", '(all,' || n || ')' as line from s where h < (select max(h) from s)",
     "random_kv": f"select {_draw(1)} || {_draw(2)} as k, ({_draw(0, False)} % 100)::int as v from (select event_id as id from events)",
     "range_partition": f"with e as ({_EDGE}), v as (select src as id from e union select dst from e) select id, cast(floor(id / (select max(id) + 1 from v)::double * 5) % 5 as int) as part from v",
+    "pagerank_top20_lines": f"{_rank_sql(5, _EVEN)} select id, printf('%d', id) || chr(9) || printf('%.5f', logp) as line from (select id, round(ln(p), 5) as logp from r5 order by logp desc, id limit 20)",
+    "pagerank_dump": f"{_rank_sql(5, _EVEN)}, a as (select v.id, list_sort(list_filter(list(e.dst), lambda x: x is not null)) as adj from v left join e on e.src = v.id group by v.id) select id, '{{' || id || ' ' || printf('%.4f', ln(p)) || ' [' || array_to_string(list_transform(adj[1:10], lambda x: x::varchar), ', ') || ']}}' as txt from a join r5 using (id)",
     "node_dump": f"with e as ({_EDGE}), v as (select src as id from e union select dst from e), a as (select v.id, list_sort(list_filter(list(e.dst), lambda x: x is not null)) as adj from v left join e on e.src = v.id group by v.id) select id, '{{' || id || ' ' || len(adj) || ' [' || array_to_string(list_transform(adj[1:10], lambda x: x::varchar), ', ') || ']}}' as txt from a",
     "event_count_hourly": "select date_trunc('hour', ts) as window_start, count(*) as cnt from events group by 1",
     "event_count_stream": "select date_trunc('hour', ts) as window_start, count(*) as cnt from events group by 1",

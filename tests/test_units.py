@@ -387,3 +387,9 @@ def test_bfs_queries_go_to_the_end(spark, monkeypatch):
     chain = spark.createDataFrame([(i, [i + 1]) for i in range(1, 15)] + [(15, [])], "id int, adj array<int>")
     monkeypatch.setattr(catalogue, "edges", lambda s, d: graph.links_of(chain))
     assert {r.id: r.dist for r in catalogue._bfs(spark, "").collect()} == {i: i - 1 for i in range(1, 16)}
+
+
+def test_numbers_as_text(spark):
+    nodes = spark.createDataFrame([(1, -1.5, [2, 3]), (2, -0.00004, []), (3, 12345.67891, list(range(12)))], "id int, v double, adj array<int>")
+    assert [r.txt for r in graph.node_text(nodes, "v", 4).orderBy("id").collect()] == ["{1 -1.5000 [2, 3]}", "{2 -0.0000 []}", "{3 12345.6789 [0, 1, 2, 3, 4, 5, 6, 7, 8, 9]}"]
+    assert [r.line for r in graph.rank_lines(nodes, "v").orderBy("id").collect()] == ["1\t-1.50000", "2\t-0.00004", "3\t12345.67891"]
