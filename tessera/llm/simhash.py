@@ -13,7 +13,9 @@ Only links that join two groups leave the task, so a shard of m members gives m
 lost. The trees are built where their shard's rows meet instead of being broadcast: fingerprints grow with the documents,
 so no bound on a broadcast of all trees could be proven, and collecting them is ruled out.
 
-Near texts (five words, a similarity of 0.8 of the sets of distinct shingles) are found by the sets alone, without fingerprints:
+Groups of near texts begin with these: rows whose fingerprints are linked are in one group, as they are for the query. Fingerprints
+within the radius miss most texts with a few changed words, so what they leave apart is looked at further: texts of a similarity of 0.8 of
+their sets of distinct five-word shingles are joined too, and none of these links is lost:
 * A node is a distinct set of shingles. All sets are put in one order of shingles, those of common buckets last. Two sets of the
   wanted similarity share one of their first n - ceil(0.8 n) + 1 shingles, whatever the order: these are the shards of a node.
   At their first common shingle, what follows in either set must still hold the wanted number of common ones; and the parities
@@ -260,13 +262,13 @@ def commonness(docs: DataFrame, size: int) -> np.ndarray:
     return np.frombuffer(b"".join(bytes(r["n"]) for r in sorted(got, key=lambda r: r["chunk"])), np.uint8)
 
 
-def text_sets(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(doc_id, rk, fp, n, bits, wide, first): each row's key, the id of its set of shingles, their number, parities, and those that a near text may share first."""
+def text_sets(docs: DataFrame, size: int, similarity: float, marked: bool = False) -> DataFrame:
+    """(doc_id, rk, fp, n, bits, wide, first, sim): each row's key, the id of its set of shingles, their number, parities, those that a near text may share first, and the row's fingerprint."""
     common = commonness(docs, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, ns, bits, wide, first = [], [], [], [], []
+            fps, ns, bits, wide, first, sims = [], [], [], [], [], []
             for text in b.column("text").to_pylist():
                 h = distinct_shingles(text, size)
                 fps.append(set_id(h))
@@ -275,10 +277,11 @@ def text_sets(docs: DataFrame, size: int, similarity: float) -> DataFrame:
                 wide.append(wide_parities(h))
                 kept = len(h) - int(np.ceil(similarity * len(h) - 1e-6)) + 1 if len(h) else 0
                 first.append(h[np.lexsort((h, common[_bucket(h)]))[:kept]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rk"), pa.array(fps, pa.int64()), pa.array(ns, pa.int32()), pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "rk", "fp", "n", "bits", "wide", "first"])
+                sims.append(_signed(fingerprint(shingle_hashes(text, SHINGLE))) if marked else None)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rk"), pa.array(fps, pa.int64()), pa.array(ns, pa.int32()), pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), pa.array(first, pa.list_(pa.int64())), pa.array(sims, pa.int64())], ["doc_id", "rk", "fp", "n", "bits", "wide", "first", "sim"])
 
     d = documents_of(docs).select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("rk"), F.col("text").cast("binary").alias("text"))
-    return d.mapInArrow(tidy(run), "doc_id bigint, rk bigint, fp bigint, n int, bits binary, wide binary, first array<bigint>")
+    return d.mapInArrow(tidy(run), "doc_id bigint, rk bigint, fp bigint, n int, bits binary, wide binary, first array<bigint>, sim bigint")
 
 
 def text_shards(nodes: DataFrame, similarity: float) -> DataFrame:
@@ -442,20 +445,37 @@ def _named(nodes: DataFrame, linked: DataFrame) -> DataFrame:
     return salted_join(named.select("fp", "comp"), names, ["comp"]).select("fp", "first")
 
 
+def fingerprint_components(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, comp) of the distinct fingerprints that have a link."""
+    return _components(written(links(block_shards(nodes), radius).distinct(), "links"))
+
+
+def fingerprint_links(rows: DataFrame, radius: int) -> DataFrame:
+    """(src, dst): of the sets ``fp`` whose fingerprints ``sim`` are in one component, each with the smallest."""
+    pairs = written(rows.select("fp", "sim").distinct(), "set-fingerprints")
+    comps = fingerprint_components(pairs.select(F.col("sim").alias("fp")).distinct(), radius)
+    named = written(salted_join(pairs, comps.withColumnRenamed("fp", "sim"), ["sim"], "left").select("fp", F.coalesce("comp", "sim").alias("comp")), "set-components")
+    least = written(named.groupBy("comp").agg(F.min("fp").alias("src"), F.max("fp").alias("most")).where("src <> most").select("comp", "src"), "least-sets")
+    found = written(salted_join(named, least, ["comp"]).where("src <> fp").select("src", F.col("fp").alias("dst")).distinct(), "fingerprint-links")
+    discard(pairs, comps, named, least)
+    return found
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id): the contract's fingerprints, linked at two or fewer differing bits."""
     marked = written(fingerprints(docs, size), "fingerprints")
     nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    named = written(_named(nodes, _components(written(links(block_shards(nodes), RADIUS).distinct(), "links"))), "named")
+    named = written(_named(nodes, fingerprint_components(nodes)), "named")
     return salted_join(marked, named, ["fp"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first").alias("component_id"))
 
 
-def near_text_groups(docs: DataFrame, size: int = TEXT_SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """(doc_id, rk, component_id, first) of near texts: chains of pairs whose sets of distinct shingles reach the similarity.
+def near_text_groups(docs: DataFrame, size: int = TEXT_SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK, radius: int | None = None) -> DataFrame:
+    """(doc_id, rk, component_id, first) of near texts: chains of pairs whose sets of distinct shingles reach the similarity, and with
+    a ``radius`` of pairs whose fingerprints differ in so many bits or fewer.
 
     rk is the row's key, component_id the smallest id of the group and ``first`` the key of the row that stands for it.
     """
-    marked = written(text_sets(docs, size, similarity), "sets")
+    marked = written(text_sets(docs, size, similarity, radius is not None), "sets")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")).alias("least")
     nodes = written(marked.groupBy("fp").agg(least, F.first(F.struct("n", "bits", "wide")).alias("of")).select("fp", "least", "of.n", "of.bits", "of.wide"), "nodes")
     shards = written(text_shards(among(marked, marked["rk"], nodes.select(F.col("least.rk").alias("key")), "first-rows"), similarity), "shards")
@@ -468,8 +488,15 @@ def near_text_groups(docs: DataFrame, size: int = TEXT_SHINGLE, similarity: floa
         discard(left)
         return near
 
-    tested = written(shards.where("head is not null").select(F.col("head").alias("src"), F.col("fp").alias("dst")).distinct(), "candidates")
-    found, limit = check(tested), FIRST
+    found = None if radius is None else fingerprint_links(marked, radius)
+    comps = None if found is None else _components(found)
+    tested = shards.where("head is not null").select(F.col("head").alias("src"), F.col("fp").alias("dst")).distinct()
+    if comps is not None:
+        of = lambda c: comps.select(F.col("fp").alias(c), F.col("comp").alias(f"{c}_comp"))
+        tested = tested.join(of("src"), "src", "left").join(of("dst"), "dst", "left").where("src_comp is null or dst_comp is null or src_comp <> dst_comp").select("src", "dst")
+    tested, limit = written(tested, "candidates"), FIRST
+    near = check(tested)
+    found = near if found is None else found.unionByName(near)
     comps = _components(found)
     while True:
         pairs = written(open_pairs(shards, nodes, comps, limit, similarity, block), "candidates")
@@ -493,8 +520,8 @@ def near_text_groups(docs: DataFrame, size: int = TEXT_SHINGLE, similarity: floa
 
 
 def one_of_each_group(docs: DataFrame, size: int = TEXT_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each group of near texts, all columns as they are; see the head of this module for which."""
-    groups = near_text_groups(docs, size, similarity)
+    """One row of each group of near texts, by fingerprints and by sets, all columns as they are; see the head of this module for which."""
+    groups = near_text_groups(docs, size, similarity, radius=RADIUS)
     gone = groups.where("rk <> first").select(F.col("rk").alias("key")).distinct()
     again = written(groups.where("rk = first").groupBy("rk").count().where("count > 1").select(F.col("rk").alias("key")), "again")
     rest = among(docs, row_key(docs["doc_id"], docs["text"]), gone, "gone", without=True)

@@ -361,3 +361,32 @@ def test_shards_that_end_a_partition(spark):
         assert {*got} == {(k, i, k - 1) for k in (1, 2) for i in range(6)}
         assert all(head == (0 if fp else None) for (sh, fp, _), head in got.items() if sh == 1)
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_the_stage_groups_by_fingerprints(spark):
+    """Equal fingerprints of texts whose sets of shingles are far apart; near sets whose fingerprints are far apart; and a chain of both."""
+    turns = ["a b c " * 1000 + " ".join(f"x{i}y{j}" for j in range(20)) for i in range(2)]
+    w = [f"w{i}" for i in range(300)]
+    edited = [" ".join(w), " ".join([*w[:100], "changed", *w[101:200], "too", *w[201:]])]
+    texts = [*turns, *edited, turns[1] + " z"]
+    fps = [plain_fingerprint(t) for t in texts]
+    sets = [shingle_set(t) for t in texts]
+    near = lambda i, j: 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])
+    assert (fps[0] ^ fps[1]).bit_count() <= 2 and not near(0, 1)
+    assert (fps[2] ^ fps[3]).bit_count() > 2 and near(2, 3)
+    kept = simhash.one_of_each_group(documents(spark, [*enumerate(texts)]))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
+
+
+def test_the_stage_against_brute_force(spark):
+    """All pairs of the small table: chains of fingerprints within two bits and of near sets, no group more or less."""
+    texts = {r.doc_id: r.text for r in small(spark, "documents").select("doc_id", "text").collect()}
+    words = {i: (t or "").encode().lower().split() for i, t in texts.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set()) for i, w in words.items()}
+    want = brute_components({i: plain_fingerprint(t) for i, t in texts.items()}, 2)
+    for a, b in combinations(sorted(texts), 2):
+        if want[a] != want[b] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+            x, y = sorted((want[a], want[b]))
+            want = {i: x if c == y else c for i, c in want.items()}
+    kept = simhash.one_of_each_group(small(spark, "documents"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({*want.values()})
