@@ -22,8 +22,9 @@ their sets of distinct five-word shingles are joined too, and none of these link
   of a set's shingles over some buckets differ in no more bits than there are shingles in one set alone (512 buckets for a
   first look, then as many as there are shingles). Both bounds are exact, so candidates are left out only where the
   similarity can't be reached. Whole sets then decide; a pair is looked at once, and a set is made once.
-* The first candidates are the members of a shard with its first member. After that, confirmed links make components, and each round looks at all
-  pairs of a shard that aren't in one component: members outside the largest component of the shard are dealt into blocks
+* The first candidates are the members of a shard with its first member and with the SMALL - 1 members before each; all pairs of a
+  shard of SMALL members or fewer are among them. After that, confirmed links make components, and each round looks at all
+  pairs of a larger shard that aren't in one component: members outside the largest component of the shard are dealt into blocks
   of BLOCK members, each block with itself, with later ones and with the blocks of that component as its own task. A round
   hands on a limited number of candidates for each member, and rounds with a larger number follow until nothing was held back.
 Groups are chains of near pairs; none is lost but by equal 64-bit hashes.
@@ -55,9 +56,10 @@ from tessera.operators.graph import components
 from tessera.plans.lineage import discard, written
 
 SEED, SHINGLE, RADIUS, SHARD = 42, 3, 2, 2048
-#: For near texts: words of a shingle, share of common distinct shingles, members of a block, candidates of a member in the
-#: first round and their growth, bits of a bucket of shingles whose occurrences are counted, bits of a bucket of parities.
-TEXT_SHINGLE, SIMILARITY, BLOCK, FIRST, GROWTH, COMMON_BITS, PARITY_BITS = 5, 0.8, 2048, 16, 64, 18, 9
+#: For near texts: words of a shingle, share of common distinct shingles, members of a shard whose pairs are all first candidates, members
+#: of a block, candidates of a member in the first round and their growth, bits of a bucket of shingles whose occurrences are counted, bits of
+#: a bucket of parities.
+TEXT_SHINGLE, SIMILARITY, SMALL, BLOCK, FIRST, GROWTH, COMMON_BITS, PARITY_BITS = 5, 0.8, 16, 2048, 16, 64, 20, 9
 _MASK = (1 << 64) - 1
 #: Odd factors that mix hashes anew.
 ORDERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
@@ -247,13 +249,13 @@ def commonness(docs: DataFrame, size: int) -> np.ndarray:
         for b in batches:
             h = [distinct_shingles(t, size) for t in b.column("text").to_pylist()]
             n += np.bincount(_bucket(np.concatenate([*h, np.empty(0, np.uint64)])), minlength=len(n))
-        yield pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array([x.tobytes() for x in np.split(n, chunks)], pa.binary())], ["chunk", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array([x.astype(np.uint32).tobytes() for x in np.split(n, chunks)], pa.binary())], ["chunk", "n"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for chunk, n in zip(b.column("chunk").to_pylist(), b.column("n").to_pylist(), strict=True):
-                total[chunk] = total.get(chunk, 0) + np.frombuffer(n, np.int64)
+                total[chunk] = total.get(chunk, 0) + np.frombuffer(n, np.uint32).astype(np.int64)
         levels = [np.rint(4 * np.log2(n + 1)).astype(np.uint8).tobytes() for n in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.array(levels, pa.binary())], ["chunk", "n"])
 
@@ -285,36 +287,61 @@ def text_sets(docs: DataFrame, size: int, similarity: float, marked: bool = Fals
 
 
 def text_shards(nodes: DataFrame, similarity: float) -> DataFrame:
-    """(sh, fp, n, pos, head): nodes under their first shingles, where two nodes at least have one; head is the first of them if it may be near."""
+    """(sh, fp, n, pos, head, nth, others): nodes under their first shingles, where two nodes at least have one.
+
+    nth is a node's place in its shard, from 0; head is the first node of the shard, and others are those of the SMALL - 1 nodes before
+    it but the head, as far as they may be near.
+    """
+    names = ["sh", "fp", "n", "pos", "head", "nth", "others"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, head, joined, near = None, None, False, False  # the last row, the head of its shard (fp, n, pos), whether it is another, and may be near
-        for b in batches:
-            if not b.num_rows:
-                continue
-            rows = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks()
-            sh, fp = (rows.column(c).to_numpy() for c in ("sh", "fp"))
-            again = np.concatenate([[False], (sh[1:] == sh[:-1]) & (fp[1:] == fp[:-1])])  # rows that are the same
-            rows = rows.filter(pa.array(~again)).combine_chunks()
+        held, head, nth = None, None, 0  # the last rows of the last shard, its head (fp, n, pos), and the place of the first of them
+
+        def step(rows: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+            """What is known of ``rows``, of which all held ones but one have gone out before; and what to hold of them."""
+            nonlocal held, head, nth
             sh, *of = (rows.column(c).to_numpy() for c in ("sh", "fp", "n", "pos"))
             new = np.concatenate([[True], sh[1:] != sh[:-1]])
             start = np.maximum.accumulate(np.where(new, np.arange(len(sh)), 0))
-            heads = [x[start] for x in of]
+            place, heads = np.arange(len(sh)) - start, [x[start] for x in of]
             if held is not None:
+                place[start == 0] += nth
                 for x, known in zip(heads, head, strict=True):
                     x[start == 0] = known
-            other = (np.arange(len(sh)) != start) | ((start == 0) & joined)
-            may = other & (np.minimum(of[1] - of[2], heads[1] - heads[2]) >= least_common(of[1] + heads[1], similarity))
-            keep = other[:-1] | ~new[1:]
-            out = rows.slice(0, len(sh) - 1).append_column("head", pa.array(heads[0][:-1], pa.int64(), mask=~may[:-1]))
-            for x in out.filter(pa.array(keep, pa.bool_())).combine_chunks().to_batches():
-                yield pa.RecordBatch.from_arrays(x.columns, ["sh", "fp", "n", "pos", "head"])
-            held, head, joined, near = rows.slice(len(sh) - 1).combine_chunks().to_batches()[0], [int(x[-1]) for x in heads], bool(other[-1]), bool(may[-1])
-        if joined:
-            yield pa.RecordBatch.from_arrays([*held.columns, pa.array([head[0] if near else None], pa.int64())], ["sh", "fp", "n", "pos", "head"])
+            may = (place > 0) & (np.minimum(of[1] - of[2], heads[1] - heads[2]) >= least_common(of[1] + heads[1], similarity))
+            begin = 0 if held is None else held.num_rows - 1
+            near = [np.empty((2, 0), np.int64)]
+            for d in range(1, SMALL):
+                i = begin + np.flatnonzero(np.arange(begin, len(sh)) - d >= start[begin:])
+                i = i[place[i] > d]
+                j = i - d
+                ok = np.minimum(of[1][i] - of[2][i], of[1][j] - of[2][j]) >= least_common(of[1][i] + of[1][j], similarity)
+                near.append(np.stack([i[ok], of[0][j[ok]]]))
+            i, others = np.concatenate(near, axis=1)
+            order = np.argsort(i, kind="stable")
+            ends = np.searchsorted(i[order], np.arange(len(sh) + 1))
+            out = [*(rows.column(c) for c in names[:4]), pa.array(heads[0], pa.int64(), mask=~may), pa.array(place, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(others[order], pa.int64()))]
+            keep = (place > 0) | np.concatenate([~new[1:], [False]])
+            keep[:begin] = False
+            if not last:
+                keep[-1] = False
+            yield from pa.table(out, names=names).filter(pa.array(keep)).combine_chunks().to_batches()
+            first = max(start[-1], len(sh) - SMALL)
+            held, head, nth = rows.slice(first).combine_chunks(), [int(x[-1]) for x in heads], int(place[first])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            b = pa.Table.from_batches([b])
+            rows = (b if held is None else pa.concat_tables([held, b])).combine_chunks()
+            sh, fp = (rows.column(c).to_numpy() for c in ("sh", "fp"))
+            again = np.concatenate([[False], (sh[1:] == sh[:-1]) & (fp[1:] == fp[:-1])])  # rows that are the same
+            yield from step(rows.filter(pa.array(~again)).combine_chunks(), False)
+        if held is not None:
+            yield from step(held, True)
 
     keyed = nodes.select("fp", "n", F.posexplode("first").alias("pos", "sh")).select("sh", "fp", "n", "pos")
-    return keyed.repartition("sh").sortWithinPartitions("sh", "fp").mapInArrow(tidy(run), "sh bigint, fp bigint, n int, pos int, head bigint")
+    return keyed.repartition("sh").sortWithinPartitions("sh", "fp").mapInArrow(tidy(run), "sh bigint, fp bigint, n int, pos int, head bigint, nth int, others array<bigint>")
 
 
 def _bits(column: pa.Array) -> np.ndarray:
@@ -490,7 +517,8 @@ def near_text_groups(docs: DataFrame, size: int = TEXT_SHINGLE, similarity: floa
 
     found = None if radius is None else fingerprint_links(marked, radius)
     comps = None if found is None else _components(found)
-    tested = shards.where("head is not null").select(F.col("head").alias("src"), F.col("fp").alias("dst")).distinct()
+    firsts = F.concat(F.when(F.col("head").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("head")), "others")
+    tested = shards.select(F.explode(firsts).alias("src"), F.col("fp").alias("dst")).distinct()
     if comps is not None:
         of = lambda c: comps.select(F.col("fp").alias(c), F.col("comp").alias(f"{c}_comp"))
         tested = tested.join(of("src"), "src", "left").join(of("dst"), "dst", "left").where("src_comp is null or dst_comp is null or src_comp <> dst_comp").select("src", "dst")
@@ -498,8 +526,11 @@ def near_text_groups(docs: DataFrame, size: int = TEXT_SHINGLE, similarity: floa
     near = check(tested)
     found = near if found is None else found.unionByName(near)
     comps = _components(found)
+    large = among(shards, F.col("sh"), shards.where(F.col("nth") == SMALL).select(F.col("sh").alias("key")), "large").select("sh", "fp", "n", "pos")
+    large = written(large, "large-shards")
+    discard(shards)
     while True:
-        pairs = written(open_pairs(shards, nodes, comps, limit, similarity, block), "candidates")
+        pairs = written(open_pairs(large, nodes, comps, limit, similarity, block), "candidates")
         some = written(pairs.where("src is not null").join(tested, ["src", "dst"], "left_anti"), "new-candidates")
         if not some.isEmpty():
             more, tested = check(some), tested.unionByName(some)
@@ -512,7 +543,7 @@ def near_text_groups(docs: DataFrame, size: int = TEXT_SHINGLE, similarity: floa
         if last:
             break
         limit *= GROWTH
-    discard(shards, *made)
+    discard(large, *made)
     named = written(_named(nodes, comps).select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.rk").alias("first")), "named")
     groups = written(salted_join(marked.select("doc_id", "rk", "fp"), named, ["fp"]).select("doc_id", "rk", "component_id", "first"), "groups")
     discard(marked, nodes, named)

@@ -390,3 +390,18 @@ def test_the_stage_against_brute_force(spark):
             want = {i: x if c == y else c for i, c in want.items()}
     kept = simhash.one_of_each_group(small(spark, "documents"))
     assert sorted(r.doc_id for r in kept.collect()) == sorted({*want.values()})
+
+
+def test_small_shards_have_all_pairs(spark):
+    """Whatever the batches: of shards of SMALL nodes or fewer each pair is a first candidate, of larger ones those of near places."""
+    sizes = {7: 2, 8: 3, 9: simhash.SMALL, 10: simhash.SMALL + 1, 11: 3 * simhash.SMALL, 12: 1}
+    rows = [(100 * sh + i, 5, [sh]) for sh, size in sizes.items() for i in range(size)]
+    nodes = spark.createDataFrame([*rows, *rows[::2]], "fp bigint, n int, first array<bigint>").coalesce(1)
+    for batch in (10_000, 1, 2, 5, 17):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = simhash.text_shards(nodes, 0.8).collect()
+        assert sorted((r.sh, r.fp, r.nth) for r in got) == sorted((sh, 100 * sh + i, i) for sh, size in sizes.items() if size > 1 for i in range(size))
+        pairs = {(x, r.fp) for r in got for x in [*([] if r.head is None else [r.head]), *r.others]}
+        assert pairs == {(100 * sh + i, 100 * sh + j) for sh, size in sizes.items() for i, j in combinations(range(size), 2) if i == 0 or j - i < simhash.SMALL}
+        assert sum(len(r.others) + (r.head is not None) for r in got) == len(pairs)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
