@@ -97,18 +97,23 @@ def signatures(texts: DataFrame, terms: DataFrame) -> DataFrame:
     listed = [F.sort_array(F.collect_list(F.when(F.col("side") == i, F.col("h")))).alias(f"h{i}") for i in (0, 1)]
     held = known.select("k", "of", "side", "h").groupBy("k").agg(F.first("of", ignorenulls=True).alias("of"), *listed)
 
-    def subsets(h: str, level: Column) -> Column:
-        mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), level) - 1
-        few = F.filter(h, lambda x: x.bitwiseAND(mask) < SUBSETS)
-        numbers = F.array_sort(F.array_distinct(F.transform(few, lambda x: x.bitwiseAND(mask))))
-        own = lambda n: F.xxhash64(F.filter(few, lambda x: x.bitwiseAND(mask) == n)).bitwiseAND(F.lit((1 << BITS) - 1))
-        return F.transform(numbers, lambda n: (n * (1 << BITS) + own(n)).cast("int"))
-
-    out = []
-    for i in (0, 1):
-        at = F.col(f"of.level{i}")
-        out += [F.when(F.size(f"h{i}") > 0, F.xxhash64(f"h{i}")).alias(f"base{i}"), subsets(f"h{i}", at).alias(f"low{i}"), subsets(f"h{i}", at + 1).alias(f"high{i}")]
-    return held.select("k", "of", *out)
+    mask = lambda level: F.call_function("shiftleft", F.lit(1).cast("bigint"), level) - 1
+    few = lambda h, m: F.filter(h, lambda x: x.bitwiseAND(F.col(m)) < SUBSETS)
+    numbers = lambda of: F.transform(f"few{of}", lambda x: x.bitwiseAND(F.col(f"mask{of}")))
+    # Each step has its own columns, so that a list is filtered once for all subsets; a term of the subsets of one level is in those of the level below.
+    both = (0, 1)
+    at = {i: F.col(f"of.level{i}") for i in both}
+    base = [F.when(F.size(f"h{i}") > 0, F.xxhash64(f"h{i}")).alias(f"base{i}") for i in both]
+    masks = held.select("k", "of", "h0", "h1", *[mask(at[i] + j).alias(f"mask{i}{j}") for i in both for j in both])
+    low = masks.select("k", "of", "mask00", "mask01", "mask10", "mask11", *base, *[few(f"h{i}", f"mask{i}0").alias(f"few{i}0") for i in both])
+    high = low.select("*", *[few(f"few{i}0", f"mask{i}1").alias(f"few{i}1") for i in both])
+    numbered = high.select("*", *[F.array_sort(F.array_distinct(numbers(f"{i}{j}"))).alias(f"numbers{i}{j}") for i in both for j in both])
+
+    def subsets(of: str) -> Column:
+        own = lambda n: F.xxhash64(F.filter(f"few{of}", lambda x: x.bitwiseAND(F.col(f"mask{of}")) == n)).bitwiseAND(F.lit((1 << BITS) - 1))
+        return F.transform(f"numbers{of}", lambda n: (n * (1 << BITS) + own(n)).cast("int"))
+
+    return numbered.select("k", "of", *[x for i in both for x in (F.col(f"base{i}"), subsets(f"{i}0").alias(f"low{i}"), subsets(f"{i}1").alias(f"high{i}"))])
 
 
 def fingerprint(s: str) -> Column:

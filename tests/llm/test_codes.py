@@ -220,3 +220,12 @@ def test_lexicon_band(spark):
     docs = documents(spark, [(i, "all " + ("half " if i % 2 else "") + f"own{chr(97 + i)}") for i in range(20)])
     kept = {r["term"] for r in imatch.lexicon(docs, 0.5, 2.0).collect()}
     assert kept == {"half"} and docs.where(F.lit(False)).count() == 0
+
+
+def test_a_list_of_hashes_is_filtered_once(spark):
+    """Each subset would else go through all terms of its text again: the few that any subset holds are a column of their own."""
+    terms = spark.createDataFrame([(f"t{i}",) for i in range(40)], "term string")
+    texts = spark.createDataFrame([(1, "t1 t2 t3 t4", "t1 t2")], "k int, t0 string, t1 string").withColumn("of", F.struct(F.lit(1).alias("x")))
+    plan = imatch.signatures(texts, terms)._jdf.queryExecution().optimizedPlan().toString()
+    assert [len(re.findall(rf"\bfilter\(h{i}#", plan)) for i in (0, 1)] == [1, 1]
+    assert not re.search(r"filter\(filter\(", plan)
