@@ -27,17 +27,22 @@ def broadcast_if_small(df: DataFrame, size: tuple[int, int]) -> DataFrame:
     return F.broadcast(df) if size[0] <= BROADCAST_ROWS and size[1] <= BROADCAST_BYTES else df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` marked for a join that shuffles it. Spark's own estimate is the bytes of compressed files, whatever rows are exploded from them, so it would broadcast what doesn't fit the driver."""
+    return df.hint("merge")
+
+
 def salted_join(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
     """A join of ``df`` with ``small``, of which each key has few rows, that doesn't send all rows of a hot key to one task.
 
-    Small sides are broadcast; others are copied once for each salt. ``how`` is inner or left.
+    Small sides are broadcast; others are copied once for each salt, and the copies shuffled. ``how`` is inner or left.
     """
     size = weigh(small)
     if size[0] <= BROADCAST_ROWS and size[1] <= BROADCAST_BYTES:
         return df.join(F.broadcast(small), on, how)
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
     copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "__salt"], how).drop("__salt")
+    return salted.join(shuffled(copies), [*on, "__salt"], how).drop("__salt")
 
 
 #: Bytes of one Arrow batch: what a Python worker and its executor hold of a partition at once.
